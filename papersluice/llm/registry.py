@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from papersluice.llm import chat, mixing, packing, quality, search, sharding, urls
+from papersluice.llm import chat, mixing, packing, quality, search, sharding, toxicity, urls
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op3_link_graph_filter": urls.op3_link_graph_filter,
     "op4_segment_top_k": search.op4_segment_top_k,
     "op5_incremental_chat": chat.op5_incremental_chat,
+    "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
     "op8_quality_ledger": quality.op8_quality_ledger,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
