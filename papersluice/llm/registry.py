@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from papersluice.llm import chat, mixing, packing, quality, search, sharding, toxicity, urls
+from papersluice.llm import chat, lines, mixing, near, packing, quality, search, sharding, toxicity, urls
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
+    "op2_winnowed_lines": lines.op2_winnowed_lines,
     "op3_link_graph_filter": urls.op3_link_graph_filter,
     "op4_segment_top_k": search.op4_segment_top_k,
     "op5_incremental_chat": chat.op5_incremental_chat,
+    "op6_lsh_forest_join": near.op6_lsh_forest_join,
     "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
     "op8_quality_ledger": quality.op8_quality_ledger,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
