@@ -125,7 +125,8 @@ def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 def kept_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The documents that the policy keeps; columns as in docs, which may have any names."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return ledger(packed, "_text", ["_row"]).where(passes(policy)).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    judged = ledger(packed, "_text", ["_row"]).select("_row", F.explode(F.array("failed")).alias("failed"))  # else the filter, pushed below the lambdas, repeats their arrays for each element
+    return judged.where(passes(policy)).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
