@@ -71,5 +71,41 @@ class Dialect:
     def head(self, a: str) -> str:
         return self.at(a, "0")
 
+    def total(self, a: str) -> str:
+        """Sum of doubles, in order; 0 for none."""
+        return f"coalesce(list_sum({a}), 0)::DOUBLE" if self.duck else f"aggregate({a}, 0D, (acc, v) -> acc + v)"
+
+    def sort(self, a: str) -> str:
+        return f"list_sort({a})" if self.duck else f"array_sort({a})"
+
+    def max(self, a: str) -> str:
+        return f"list_max({a})" if self.duck else f"array_max({a})"
+
+    def struct(self, **parts: str) -> str:
+        if self.duck:
+            return "{" + ", ".join(f"'{k}': {v}" for k, v in parts.items()) + "}"
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
+
+    def chars(self, t: str, p: str) -> str:
+        """How many characters are of the class p, written without brackets."""
+        return f"length(regexp_replace({t}, {self.lit(f'[^{p}]')}, '', 'g'))" if self.duck else f"length(regexp_replace({t}, {self.lit(f'[^{p}]')}, ''))"
+
+    def number(self, x: str, digits: int) -> str:
+        """With so many digits after the point."""
+        return f"CAST(CAST({x} AS DECIMAL(18, {digits})) AS VARCHAR)" if self.duck else f"CAST(CAST({x} AS DECIMAL(18, {digits})) AS STRING)"
+
+    def double(self, x: str) -> str:
+        return f"CAST({x} AS DOUBLE)"
+
+
+Stage = dict[str, str]
+
+
+def staged(d: Dialect, source: str, stages: list[Stage]) -> str:
+    """Nested selects, each adding the columns of a stage, so that later ones can name them."""
+    for k, stage in enumerate(stages):
+        source = f"(SELECT *, {', '.join(f'{v} AS {c}' for c, v in stage.items())} FROM {source} q{k})"
+    return source
+
 
 SPARK, DUCK = Dialect(False), Dialect(True)

@@ -90,10 +90,11 @@ def aadhaar(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E741
       {_valid(d, d.all(t, r'\b([0-9]{12})\b'), is_aadhaar)}, {_valid(d, runs, is_aadhaar)}, CASE WHEN {is_aadhaar(d, near)} THEN {near} END)"""
     clean = lambda x: collapsed(d, d.sub(x, "[@:.,]", " "))
     camel = lambda x: collapsed(d, d.sub(x, "([a-z])([A-Z])", r"\1 \2" if d.duck else "$1 $2"))
-    line = lambda i: d.at(l, i)
-    top = d.head(d.keep(d.range("1", f"least({d.size(l)}, 5)"), lambda i: f"coalesce({name_aadhaar(d, camel(line(i)))}, false)", "i"))
-    follows = f"coalesce({name_aadhaar(d, camel(line(f'{top} + 1')))} AND {_none_of(line(f'{top} + 1'), ['dob', 'address', 'pata', 'birth', 'gender'])}, false)"
-    by_line = f"CASE WHEN {top} IS NOT NULL THEN CASE WHEN {follows} THEN concat({camel(line(top))}, ' ', {camel(line(f'{top} + 1'))}) ELSE {camel(line(top))} END END"
+    named = lambda x: d.struct(c=camel(x), ok=f"coalesce({name_aadhaar(d, camel(x))}, false)", more=_none_of(x, ["dob", "address", "pata", "birth", "gender"]))
+    shown = d.map(d.slice(l, "1", 5), named)
+    four = d.map(d.range("0", f"least({d.size(l)} - 1, 4)"), lambda i: d.struct(a=d.at(shown, i), b=d.at(shown, f"{i} + 1")), "i")
+    hit = d.map(d.keep(four, lambda x: f"{x}.a.ok"), lambda x: f"CASE WHEN coalesce({x}.b.ok AND {x}.b.more, false) THEN concat({x}.a.c, ' ', {x}.b.c) ELSE {x}.a.c END")
+    by_line = d.head(hit)
     name = f"""coalesce({_valid(d, d.map(d.all(t, r'(?i)(?:name|नाम|नामा|नाभ)\s*[:.-]?\s*([A-Za-z \t]{3,50})'), clean), name_aadhaar)}, {by_line},
       {_valid(d, d.map(d.all(t, r'([A-Z][A-Za-z]{2,}(?:[ \t@:.,]+[A-Z][A-Za-z]+)*)'), clean), name_aadhaar)})"""
     label = r"(?i)(?:dob|d0b|date\s+of\s+birth|जन्म\s+तिथि|dop)[/\s\w]*\s*[:.-]?\s*"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from papersluice.plans import field_queries, text_queries
+from papersluice.plans import decision_queries, field_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **field_queries.QUERIES}
-SQL = {**text_queries.SQL, **field_queries.SQL}
+_PARTS = (decision_queries, text_queries, field_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

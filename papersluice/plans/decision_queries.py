@@ -1,0 +1,122 @@
+"""Queries over the full triage of cards, and over quality metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papersluice.functions.dialect import DUCK, SPARK, Dialect, staged
+from papersluice.plans import triage as tr
+from papersluice.session import read_table
+from papersluice.sources import fixtures, rules
+
+_METRICS = """CAST(200 + abs(c_acctbal) / 10 AS DOUBLE) AS blur_score, CAST(15 + c_custkey % 220 AS DOUBLE) AS brightness_score, CAST(100000 * (1 + c_custkey % 25) AS DOUBLE) AS resolution_score,
+  CAST((c_custkey % 19 + 3) / CAST(20 AS DOUBLE) AS DOUBLE) AS contrast_score, CAST(0.01 AS DOUBLE) AS edge_density, CAST((c_custkey % 12) / CAST(230 AS DOUBLE) AS DOUBLE) AS glare_ratio"""
+
+
+def input_sql(d: Dialect, customer: str, clean: bool = False) -> str:
+    """Card texts as documents with lines and image metrics."""
+    lines = d.split("full_text", "chr(10)")
+    each = d.map(d.range("0", d.size(lines)), lambda i: d.struct(text=d.at("ls", i), confidence=f"CAST(50 + (doc_id * 31 + {i} * 17) % 50 AS DOUBLE)"), "i")
+    cards = fixtures.cards_sql(customer, clean)
+    return f"""(SELECT doc_id, {each.replace(d.size(lines), d.size("ls"))} AS lines, blur_score, brightness_score, resolution_score, contrast_score, edge_density, glare_ratio
+  FROM (SELECT doc_id, {lines} AS ls FROM ({cards}) c0) c JOIN (SELECT c_custkey, {_METRICS} FROM {customer}) m ON c.doc_id = m.c_custkey)"""
+
+
+def card_input(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {input_sql(SPARK, f'parquet.`{sf_dir}/customer.parquet`', clean)}")
+
+
+def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.triage(card_input(spark, sf_dir))
+
+
+def full_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = triaged(spark, sf_dir)
+    return out.select("doc_id", "doc_type", "decision", F.round("final_score", 9).alias("final_score"), "hard_rejection", F.array_join("reasons", "; ").alias("reasons"), F.size("fields").alias("n_fields"), "total_words")
+
+
+def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [c for c in tr.RESULT if c.endswith("_score")]
+    return triaged(spark, sf_dir).select("doc_id", *[F.round(c, 9).alias(c) for c in names])
+
+
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tr.run_stages(fixtures.image_metrics(spark, sf_dir), [tr.quality_gate(SPARK), tr.quality_parts(SPARK), tr.quality_score(SPARK)])
+    return m.select("doc_id", "quality_passed", F.array_join("quality_reasons", "; ").alias("reasons"), F.round("image_quality_score", 9).alias("score"), F.col("blur_score"))
+
+
+def api_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = triaged(spark, sf_dir)
+    pairs = F.map_from_entries("fields")
+    return out.select("doc_id", "decision", F.round("final_score", 3).alias("score"), F.coalesce(F.get("reasons", F.lit(0)), F.lit("-")).alias("reason"), F.coalesce(pairs["name"], pairs["owner_name"]).alias("name"), F.coalesce(pairs["aadhaar_number"], pairs["pan_number"], pairs["registration_number"]).alias("id_number"))
+
+
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triaged(spark, sf_dir).rollup("doc_type", "decision").agg(F.count("*").alias("n_docs"), F.round(F.avg("final_score"), 6).alias("mean_score"), F.grouping_id().cast("int").alias("level"))
+
+
+def typed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed records' own confidence (mean over present fields) and decision, by the defaults of each field."""
+    out = triaged(spark, sf_dir)
+    conf = F.lit(None).cast("map<string,double>")
+    for k, fields in rules.DEFAULT_CONFIDENCE.items():
+        conf = F.when(F.col("doc_type") == k, F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])).otherwise(conf)
+    key = F.create_map(*[F.lit(x) for k, fields in rules.DEFAULT_CONFIDENCE.items() for x in (k, next(iter(fields)))])
+    one = out.withColumns({"conf": conf, "key": key[F.col("doc_type")]})
+    values = F.filter(F.transform("fields", lambda f: F.struct(f["field_name"].alias("field_name"), f["value"].alias("value"), F.try_element_at("conf", f["field_name"]).alias("confidence"))), lambda f: f["confidence"].isNotNull())
+    two = one.withColumn("typed", values)
+    mean = F.when(F.size("typed") > 0, F.aggregate("typed", F.lit(0.0), lambda a, f: a + f["confidence"]) / F.size("typed")).otherwise(0.0)
+    three = two.withColumn("overall", F.round(mean, 9))
+    present = F.exists("typed", lambda f: f["field_name"] == F.col("key"))
+    return three.select("doc_id", "doc_type", F.size("typed").alias("n_fields"), "overall", F.when(~present, "REJECT").when(F.col("overall") > 0.85, "ACCEPT").when(F.col("overall") > 0.6, "REVIEW").otherwise("REJECT").alias("typed_decision"))
+
+
+def split_errors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that can be processed, error rows): a document needs an id and lines; others don't stop the job but give a row of decision 'error'."""
+    good = F.col("doc_id").isNotNull() & F.col("lines").isNotNull() & (F.size("lines") > 0) & ~F.exists("lines", lambda x: x["text"].rlike("^###"))
+    bad = docs.where(~F.coalesce(good, F.lit(False)))
+    errors = bad.select("doc_id", F.lit(None).cast("string").alias("doc_type"), F.lit("error").alias("decision"), F.lit(0.0).alias("final_score"), F.lit(True).alias("hard_rejection"), F.lit("Processing error: unreadable lines").alias("reasons"))
+    return docs.where(good), errors
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of any type in one job; unreadable ones (noise) become error rows."""
+    good, errors = split_errors(card_input(spark, sf_dir))
+    done = tr.triage(good).select("doc_id", "doc_type", "decision", F.round("final_score", 9).alias("final_score"), "hard_rejection", F.array_join("reasons", "; ").alias("reasons"))
+    return done.unionByName(errors)
+
+
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_errors(card_input(spark, sf_dir))[1]
+
+
+def threshold_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on either side of the decision thresholds."""
+    t = rules.THRESHOLDS
+    out = triaged(spark, sf_dir)
+    return out.select(F.lit(t["accept"]).alias("accept"), F.lit(t["review"]).alias("review"), (F.col("final_score") >= t["accept"]).alias("above_accept"), (F.col("final_score") >= t["review"]).alias("above_review")).groupBy("accept", "review", "above_accept", "above_review").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (full_triage, document_confidence, quality_gate, api_view, decision_summary, typed_documents, batch, error_rows, threshold_info)}
+_BRANCHES, _BASE = tr.triage_sql(DUCK, input_sql(DUCK, "customer"))
+_WITH = f"WITH base AS (SELECT * FROM {_BASE} b), tri AS (SELECT * FROM {_BRANCHES} t)"
+_VALUE = lambda *names: "coalesce(" + ", ".join(f"list_filter(fields, lambda x: x.field_name = '{n}')[1].value" for n in names) + ")"
+_CONF = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN CASE x.field_name " + " ".join(f"WHEN '{f}' THEN {c}" for f, c in fs.items()) + " END" for k, fs in rules.DEFAULT_CONFIDENCE.items()) + " END"
+_KEY = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN '{next(iter(fs))}'" for k, fs in rules.DEFAULT_CONFIDENCE.items()) + " END"
+_ROW = "doc_id, doc_type, decision, round(final_score, 9) AS final_score, hard_rejection, array_to_string(reasons, '; ') AS reasons"
+_NOISE = "len(list_filter(lines, lambda x: regexp_matches(x.text, '^###'))) > 0"
+_ERROR = f"SELECT doc_id, CAST(NULL AS VARCHAR) AS doc_type, 'error' AS decision, 0.0::DOUBLE AS final_score, true AS hard_rejection, 'Processing error: unreadable lines' AS reasons FROM {input_sql(DUCK, 'customer')} n WHERE {_NOISE}"
+SQL = {
+    "full_triage": f"{_WITH} SELECT {_ROW}, len(fields) AS n_fields, total_words FROM tri",
+    "document_confidence": f"{_WITH} SELECT doc_id, {', '.join(f'round({c}, 9) AS {c}' for c in tr.RESULT if c.endswith('_score'))} FROM tri",
+    "quality_gate": f"SELECT doc_id, quality_passed, array_to_string(quality_reasons, '; ') AS reasons, round(image_quality_score, 9) AS score, blur_score FROM {staged(DUCK, '(' + fixtures.METRICS.format(table='lineitem') + ')', [tr.quality_gate(DUCK), tr.quality_parts(DUCK), tr.quality_score(DUCK)])} m",
+    "api_view": f"{_WITH} SELECT doc_id, decision, round(final_score, 3) AS score, coalesce(reasons[1], '-') AS reason, {_VALUE('name', 'owner_name')} AS name, {_VALUE('aadhaar_number', 'pan_number', 'registration_number')} AS id_number FROM tri",
+    "decision_summary": f"{_WITH} SELECT doc_type, decision, count(*) AS n_docs, round(avg(final_score), 6) AS mean_score, CAST(grouping(doc_type, decision) AS INT) AS level FROM tri GROUP BY ROLLUP (doc_type, decision)",
+    "typed_documents": f"""{_WITH}, c AS (SELECT doc_id, doc_type, {_KEY} AS key, list_filter(list_transform(fields, lambda x: {{'f': x.field_name, 'c': CAST({_CONF} AS DOUBLE)}}), lambda x: x.c IS NOT NULL) AS typed FROM tri),
+      o AS (SELECT *, round(CASE WHEN len(typed) > 0 THEN list_sum(list_transform(typed, lambda x: x.c)) / len(typed) ELSE 0 END, 9) AS overall FROM c)
+      SELECT doc_id, doc_type, len(typed) AS n_fields, overall, CASE WHEN len(list_filter(typed, lambda x: x.f = key)) = 0 THEN 'REJECT' WHEN overall > 0.85 THEN 'ACCEPT' WHEN overall > 0.6 THEN 'REVIEW' ELSE 'REJECT' END AS typed_decision FROM o""",
+    "batch": f"{_WITH} SELECT {_ROW} FROM tri WHERE doc_id NOT IN (SELECT doc_id FROM ({_ERROR}) e) UNION ALL {_ERROR}",
+    "error_rows": _ERROR,
+    "threshold_info": f"{_WITH} SELECT {rules.THRESHOLDS['accept']}::DOUBLE AS accept, {rules.THRESHOLDS['review']}::DOUBLE AS review, final_score >= {rules.THRESHOLDS['accept']} AS above_accept, final_score >= {rules.THRESHOLDS['review']} AS above_review, count(*) AS n_docs FROM tri GROUP BY ALL",
+}
