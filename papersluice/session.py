@@ -21,14 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Intermediate tables written so far, which release() removes.
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and return the table read back.
 
     Cuts the lineage (a lost executor costs no recomputation of what stands
     before) and gives the planner a true size, so that it broadcasts the table
-    only when it really is small.
+    only when it really is small. keep: release() leaves the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far. Only where every result that reads them has been written."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
