@@ -92,7 +92,8 @@ class Dialect:
 
     def number(self, x: str, digits: int) -> str:
         """With so many digits after the point."""
-        return f"CAST(CAST({x} AS DECIMAL(18, {digits})) AS VARCHAR)" if self.duck else f"CAST(CAST({x} AS DECIMAL(18, {digits})) AS STRING)"
+        shifted = f"floor({x} * {10**digits} + 0.5) / {self.double(10**digits)}"
+        return f"CAST(CAST({shifted} AS DECIMAL(18, {digits})) AS {'VARCHAR' if self.duck else 'STRING'})"
 
     def double(self, x: str) -> str:
         return f"CAST({x} AS DOUBLE)"
