@@ -1,0 +1,109 @@
+"""Queries over fields of cards: merging, scoring, confidence, boxes; and decision rates over event time."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papersluice.functions import sql
+from papersluice.functions.dialect import DUCK
+from papersluice.operators import classify, extract, fields, layout, words
+from papersluice.plans.decision_queries import _WITH, triaged
+from papersluice.session import read_table
+from papersluice.sources import fixtures, rules
+from papersluice.streaming.triage import decision_rate as rate
+
+AS_OF = "2024-12-31"
+
+
+def card_fields(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
+    typed = classify.classify(fixtures.cards(spark, sf_dir, clean), "full_text").select("doc_id", "doc_type", "full_text")
+    return extract.extract_fields(typed.select(F.inline(F.array(F.struct("*")))))
+
+
+def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return card_fields(spark, sf_dir)
+
+
+def merge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.merge_passes(card_fields(spark, sf_dir), card_fields(spark, sf_dir, clean=True))
+
+
+def schema_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, tables = card_fields(spark, sf_dir), rules.rule_tables(spark)
+    docs = classify.classify(fixtures.cards(spark, sf_dir), "full_text").select("doc_id", "doc_type")
+    out = fields.schema_scores(docs, rows, tables["field_weights"], tables["required_fields"])
+    return out.select("doc_id", "doc_type", F.round("schema_score", 9).alias("schema_score"), F.array_join("missing_critical", ", ").alias("missing_critical"), F.array_join("missing_required", ", ").alias("missing_required"))
+
+
+def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.field_confidence(card_fields(spark, sf_dir), words.line_words(fixtures.card_lines(spark, sf_dir)))
+
+
+def pattern_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.pattern_scores(card_fields(spark, sf_dir))
+
+
+def consistency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.consistency(card_fields(spark, sf_dir), AS_OF)
+
+
+def field_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.field_boxes(card_fields(spark, sf_dir), fixtures.card_lines(spark, sf_dir))
+
+
+def field_spatial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.spatial_scores(field_boxes(spark, sf_dir))
+
+
+def anchor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of each type over card texts."""
+    c = fixtures.cards(spark, sf_dir).select("doc_id", F.explode(F.array("full_text")).alias("full_text"))
+    parts = {f"{k}_{n}": v for k in rules.TYPES for n, v in zip(("required", "optional", "score"), classify.anchor_score(F.col("full_text"), k), strict=True)}
+    return c.select("doc_id", *[F.round(v, 9).alias(n) if n.endswith("score") else v.alias(n) for n, v in parts.items()])
+
+
+def decision_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by five-minute windows; a card's event is the one of its number."""
+    done = triaged(spark, sf_dir).select("doc_id", "doc_type", "decision")
+    events = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = rate(done.join(events, "doc_id"))
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUERIES = {f.__name__: f for f in (extracted_fields, merge_passes, schema_score, field_confidence, pattern_score, consistency_rules, field_boxes, field_spatial_score, anchor_score, decision_rate)}
+
+
+def _fields_sql(cards: str) -> str:
+    """The long table of fields for the checking engine."""
+    parts = []
+    for k in rules.TYPES:
+        names = list(extract.EXTRACTORS[k](DUCK, "_t", "_l", "_w"))
+        pairs = [(n, n) for n in names] + list(extract.ALIASES[k].items())
+        each = DUCK.array(*[DUCK.struct(n=f"'{n}'", v=c) for n, c in pairs])
+        source = f"(SELECT * FROM {sql.classified(cards, 'full_text', 'doc_id, full_text')} c WHERE doc_type = '{k}')"
+        parts.append(f"SELECT doc_id, '{k}' AS doc_type, e.n AS field_name, e.v AS value FROM (SELECT doc_id, unnest({each}) AS e FROM {extract.wide_sql(DUCK, source, k)} w) u WHERE e.v IS NOT NULL")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+_FIELDS = f"fields AS MATERIALIZED (SELECT * FROM {_fields_sql(fixtures.CARDS)} f)"
+_DOCS = f"docs AS (SELECT doc_id, doc_type FROM {sql.classified(fixtures.CARDS, 'full_text')} c)"
+_PRIORITY = " OR ".join(f"(doc_type = '{k}' AND field_name IN ({', '.join(repr(n) for n in ns)}))" for k, ns in rules.PRIORITY.items())
+_values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+_BOXES = f"""SELECT doc_id, field_name, line_num, x, y, w, h FROM (SELECT f.doc_id, f.field_name, l.line_num, l.x, l.y, l.w, l.h, row_number() OVER (PARTITION BY f.doc_id, f.field_name ORDER BY l.line_num) AS rn
+  FROM fields f JOIN {fixtures.CARD_LINES} l ON f.doc_id = l.doc_id AND (contains(lower(trim(l.text)), lower(trim(f.value))) OR contains(lower(trim(f.value)), lower(trim(l.text))))) b WHERE rn = 1"""
+SQL = {
+    "extracted_fields": f"WITH {_FIELDS} SELECT * FROM fields",
+    "merge_passes": f"""WITH {_FIELDS}, clean AS (SELECT * FROM {_fields_sql(fixtures.CLEAN_CARDS)} g),
+      m AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.doc_type, b.doc_type) AS doc_type, coalesce(a.field_name, b.field_name) AS field_name, a.value AS v1, b.value AS v2 FROM fields a FULL JOIN clean b ON a.doc_id = b.doc_id AND a.field_name = b.field_name)
+      SELECT doc_id, doc_type, field_name, CASE WHEN {_PRIORITY} THEN coalesce(v2, v1) ELSE coalesce(v1, v2) END AS value FROM m""",
+    "schema_score": f"""WITH {_FIELDS}, {_DOCS}, wt(doc_type, field_name, weight) AS (VALUES {_values([(t, f, w) for t, ws in rules.FIELD_WEIGHTS.items() for f, w in ws.items()])}), rq(doc_type, field_name) AS (VALUES {_values([(t, f) for t, fs in rules.REQUIRED.items() for f in fs])}),
+      s AS (SELECT d.doc_id, d.doc_type, round(sum(CASE WHEN f.value IS NOT NULL THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE, 9) AS schema_score, coalesce(string_agg(wt.field_name, ', ' ORDER BY wt.field_name) FILTER (f.value IS NULL AND weight >= {rules.CRITICAL_WEIGHT}), '') AS missing_critical
+        FROM docs d JOIN wt USING (doc_type) LEFT JOIN fields f ON f.doc_id = d.doc_id AND f.field_name = wt.field_name GROUP BY ALL),
+      m AS (SELECT d.doc_id, string_agg(rq.field_name, ', ' ORDER BY rq.field_name) AS missing_required FROM docs d JOIN rq USING (doc_type) LEFT JOIN fields f ON f.doc_id = d.doc_id AND f.field_name = rq.field_name WHERE f.value IS NULL GROUP BY d.doc_id)
+      SELECT s.*, coalesce(m.missing_required, '') AS missing_required FROM s LEFT JOIN m USING (doc_id)""",
+    "field_boxes": f"WITH {_FIELDS} {_BOXES}",
+    "decision_rate": f"{_WITH} SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, doc_type, decision, count(*) AS n_docs FROM tri JOIN events ON tri.doc_id = events.event_id GROUP BY ALL",
+    "pattern_score": f"""WITH {_FIELDS}, j AS (SELECT *, CASE {" ".join(f"WHEN doc_type = '{k}' AND field_name = '{f}' THEN regexp_full_match(value, {sql.quoted(p)})" for k, ps in rules.FIELD_PATTERNS.items() for f, p in ps.items())} END AS ok FROM fields)
+      SELECT doc_id, doc_type, count(*) AS n_fields, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9) AS pattern_score FROM j WHERE ok IS NOT NULL GROUP BY doc_id, doc_type""",
+}
