@@ -24,7 +24,7 @@ def input_sql(d: Dialect, customer: str, clean: bool = False) -> str:
 
 
 def card_input(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
-    return tr.settled(spark.sql(f"SELECT * FROM {input_sql(SPARK, f'parquet.`{sf_dir}/customer.parquet`', clean)}"))
+    return tr.settled(spark.sql(f"SELECT * FROM {input_sql(SPARK, '_customers', clean)}".replace("{", "{{").replace("}", "}}").replace("_customers", "{customer}"), customer=fixtures.customers(spark, sf_dir)))
 
 
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:

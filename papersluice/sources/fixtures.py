@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersluice.session import read_table
+from papersluice.session import read_table, spread
 
 #: Page layout of derived lines: left edge, indent of a second column, line height and pitch, character width, longest width in characters.
 LEFT, INDENT, HEIGHT, PITCH, CHAR, LONGEST = 40, 700, 18, 30, 8, 12
@@ -58,7 +58,11 @@ FROM (SELECT c_custkey AS doc_id,
 
 def cards(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
     """doc_id, true_type, full_text."""
-    return spark.sql(cards_sql(f"parquet.`{sf_dir}/customer.parquet`", clean))
+    return spark.sql(cards_sql("{customer}", clean), customer=customers(spark, sf_dir))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
 
 
 def layout_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -89,7 +93,7 @@ FROM (SELECT doc_id, unnest(range(len(s))) AS p, unnest(s) AS t FROM (SELECT doc
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_lines(read_table(spark, sf_dir, "documents"))
+    return layout_lines(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
