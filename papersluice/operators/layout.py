@@ -131,3 +131,52 @@ def spatial_scores(boxes: DataFrame, most: float = 0.5, far: float = 500.0) -> D
     two = g.withColumns({"dispersion": F.round(spread, 9), "n_clusters": F.when(distance > far, 2).otherwise(1)})
     score = 1 - F.least(F.lit(1.0), F.col("dispersion") / most)
     return two.select("doc_id", "n_fields", "dispersion", "n_clusters", F.round(F.when(F.col("n_clusters") > 1, score * 0.5).otherwise(score), 9).alias("spatial_score"))
+
+
+def merge_overlaps(regions: DataFrame, least: float = 0.3) -> DataFrame:
+    """doc_id, region_id, n, x, y, w, h, confidence: in the order of region_id each region joins the first seed that it overlaps, else it is a seed itself; seeds become the hull of their members with the mean confidence. A fold over a document's array."""
+    item = F.struct("region_id", "x", "y", "w", "h", "confidence")
+    arrays = regions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
+
+    def seed(x: Column) -> Column:
+        return F.struct(x.alias("seed"), F.lit(1).alias("n"), x["x"].alias("x1"), x["y"].alias("y1"), (x["x"] + x["w"]).alias("x2"), (x["y"] + x["h"]).alias("y2"), x["confidence"].alias("total"))
+
+    def joined(s: Column, x: Column) -> Column:
+        return F.struct(
+            s["seed"].alias("seed"),
+            (s["n"] + 1).alias("n"),
+            F.least(s["x1"], x["x"]).alias("x1"),
+            F.least(s["y1"], x["y"]).alias("y1"),
+            F.greatest(s["x2"], x["x"] + x["w"]).alias("x2"),
+            F.greatest(s["y2"], x["y"] + x["h"]).alias("y2"),
+            (s["total"] + x["confidence"]).alias("total"),
+        )
+
+    def add(acc: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda s: iou(box(s["seed"]), box(x)) >= least), True)
+        return F.when(at == 0, F.concat(acc, F.array(seed(x)))).otherwise(F.transform(acc, lambda s, k: F.when(k + 1 == at, joined(s, x)).otherwise(s)))
+
+    none = F.slice(F.transform("r", seed), F.lit(1), F.lit(0))
+    s = F.col("s")
+    return arrays.select("doc_id", F.explode(F.aggregate("r", none, add)).alias("s")).select(
+        "doc_id", s["seed"]["region_id"].alias("region_id"), s["n"].alias("n"), s["x1"].alias("x"), s["y1"].alias("y"), (s["x2"] - s["x1"]).alias("w"), (s["y2"] - s["y1"]).alias("h"), F.round(s["total"] / s["n"], 9).alias("confidence")
+    )
+
+
+def layout_scores(lines: DataFrame, docs: DataFrame, page_h: int) -> DataFrame:
+    """Per document of docs (doc_id, doc_type): share of its type's layout anchors whose line lies in their band of the page, and whether enough do."""
+    from papersluice.sources import rules
+
+    pages = lines.groupBy("doc_id").agg(F.greatest(F.lit(page_h), F.max(F.col("y") + F.col("h")) + PADDING).alias("high"), F.collect_list(F.struct(F.lower("text").alias("t"), (F.col("y") + F.col("h") / 2).alias("c"))).alias("ls"))
+    middle = {"top": 0.0, "center": 0.5, "bottom": 1.0}
+
+    def placed(word: str, band: str, off: float) -> Column:
+        return F.exists("ls", lambda x: F.contains(x["t"], F.lit(word)) & (F.abs(x["c"] / F.col("high") - middle[band]) <= off)).cast("int")
+
+    n, of = F.lit(0), F.lit(1)
+    for kind, anchors in rules.LAYOUT.items():
+        hits = F.lit(0)
+        for word, band, off in anchors:
+            hits = hits + placed(word, band, off)
+        n, of = F.when(F.col("doc_type") == kind, hits).otherwise(n), F.when(F.col("doc_type") == kind, len(anchors)).otherwise(of)
+    return docs.join(pages, "doc_id").select("doc_id", "doc_type", n.alias("n_found"), F.round(n / of, 9).alias("layout_score"), (n >= rules.LAYOUT_LEAST).alias("enough"))

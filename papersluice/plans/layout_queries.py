@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papersluice.functions import sql
-from papersluice.operators import layout, words
-from papersluice.sources import fixtures
+from papersluice.operators import classify, layout, words
+from papersluice.session import read_table
+from papersluice.sources import fixtures, rules
 from papersluice.sources.fixtures import PADDING, PAGE_H, PAGE_W
 
 
@@ -42,6 +43,24 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.suppress_duplicates(_regions(spark, sf_dir), 0.1).select("doc_id", F.explode("kept").alias("region_id"))
 
 
+def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.merge_overlaps(_regions(spark, sf_dir), 0.1)
+
+
+def layout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = classify.classify(fixtures.cards(spark, sf_dir), "full_text").select("doc_id", "doc_type")
+    return layout.layout_scores(fixtures.card_lines(spark, sf_dir), typed, PAGE_H)
+
+
+def word_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mean length of a document's words is in its type's range."""
+    docs = classify.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    tokens = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    mean = F.length(F.regexp_replace("text", r"\s+", "")) / F.size(tokens)
+    low, high = (F.create_map(*[F.lit(v) for k, p in rules.PROFILES.items() for v in (k, p[i])])[F.col("doc_type")] for i in (2, 3))
+    return docs.select("doc_id", "doc_type", F.when(F.size(tokens) > 0, F.round(mean, 9)).alias("mean_length"), F.coalesce(mean.between(low, high), F.lit(False)).alias("in_range"))
+
+
 def box_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.neighbours(_points(spark, sf_dir)).where("a < b")
 
@@ -62,7 +81,7 @@ def spatial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.spatial_scores(fixtures.card_lines(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (box_metrics, region_filters, region_overlaps, region_topk, nms, box_neighbours, dbscan_regions, words_in_region, spatial_score)}
+QUERIES = {f.__name__: f for f in (box_metrics, region_filters, region_overlaps, region_topk, nms, merge_overlaps, layout_score, word_length_profile, box_neighbours, dbscan_regions, words_in_region, spatial_score)}
 
 
 def _regions_sql(lines: str) -> str:
@@ -72,7 +91,11 @@ def _regions_sql(lines: str) -> str:
 
 
 _LINES, _R = fixtures.DOCUMENT_LINES, _regions_sql(fixtures.DOCUMENT_LINES)
+_LENGTHS = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN m BETWEEN {p[2]} AND {p[3]}" for k, p in rules.PROFILES.items()) + " END"
+_TYPED = sql.classified("documents", "coalesce(text, '')", "doc_id, text")
 SQL = {
+    "word_length_profile": rf"""SELECT doc_id, doc_type, round(m, 9) AS mean_length, coalesce({_LENGTHS}, false) AS in_range FROM (SELECT doc_id, doc_type,
+      length(regexp_replace(text, '\s+', '', 'g'))::DOUBLE / nullif(len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')), 0) AS m FROM {_TYPED} c) d""",
     "box_metrics": f"SELECT doc_id, line_num, w * h AS area, CAST(x + w // 2 AS INT) AS cx, CAST(y + h // 2 AS INT) AS cy, round(CASE WHEN h = 0 THEN 0 ELSE w::DOUBLE / h END, 9) AS aspect FROM {_LINES} l",
     "region_filters": f"SELECT doc_id, region_id, confidence, round(area_ratio, 9) AS area_ratio, round(least(1.0::DOUBLE, 0.7::DOUBLE * area_ratio + 0.3::DOUBLE), 9) AS shape_confidence, count(*) OVER (PARTITION BY doc_id) > 1 AS multi_document FROM {_R} r WHERE confidence >= 0.3 AND area_ratio >= 0.005 AND w::DOUBLE / h BETWEEN 0.1 AND 10",
     "region_overlaps": f"""WITH r AS MATERIALIZED (SELECT * FROM {_R} q), p AS (SELECT a.doc_id, a.region_id AS a, b.region_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS iw, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS ih, a.w * a.h + b.w * b.h AS s

@@ -72,6 +72,12 @@ def test_suppression(spark):
     assert got.first().kept == [3, 0, 2]
 
 
+def test_merging(spark):
+    rows = [(1, 0, 0, 0, 10, 10, 0.9), (1, 1, 5, 0, 10, 10, 0.7), (1, 2, 10, 0, 10, 10, 0.5), (1, 3, 50, 50, 4, 4, 0.2)]
+    got = layout.merge_overlaps(spark.createDataFrame(rows, "doc_id int, region_id int, x int, y int, w int, h int, confidence double"), 0.3)
+    assert sorted((r.region_id, r.n, r.x, r.w, r.confidence) for r in got.collect()) == [(0, 2, 0, 15, 0.8), (2, 1, 10, 10, 0.5), (3, 1, 50, 4, 0.2)]
+
+
 def test_triage_is_total(spark):
     out = decision_queries.triaged(spark, SF).select("doc_id", "decision", "final_score").toPandas()
     assert len(out) == 150 and set(out.decision) <= {"accept", "review", "reject"} and out.final_score.between(0, 1).all()
