@@ -9,6 +9,7 @@ from papersluice.functions import sql
 from papersluice.functions.dialect import DUCK
 from papersluice.operators import classify, extract, fields, layout, words
 from papersluice.plans.decision_queries import _WITH, triaged
+from papersluice.plans.layout_queries import spatial_sql
 from papersluice.session import read_table
 from papersluice.sources import fixtures, rules
 from papersluice.streaming.triage import decision_rate as rate
@@ -103,6 +104,7 @@ SQL = {
       m AS (SELECT d.doc_id, string_agg(rq.field_name, ', ' ORDER BY rq.field_name) AS missing_required FROM docs d JOIN rq USING (doc_type) LEFT JOIN fields f ON f.doc_id = d.doc_id AND f.field_name = rq.field_name WHERE f.value IS NULL GROUP BY d.doc_id)
       SELECT s.*, coalesce(m.missing_required, '') AS missing_required FROM s LEFT JOIN m USING (doc_id)""",
     "field_boxes": f"WITH {_FIELDS} {_BOXES}",
+    "field_spatial_score": f"WITH {_FIELDS}, boxes AS ({_BOXES}) SELECT * FROM ({spatial_sql('boxes')}) s",
     "decision_rate": f"{_WITH} SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, doc_type, decision, count(*) AS n_docs FROM tri JOIN events ON tri.doc_id = events.event_id GROUP BY ALL",
     "pattern_score": f"""WITH {_FIELDS}, j AS (SELECT *, CASE {" ".join(f"WHEN doc_type = '{k}' AND field_name = '{f}' THEN regexp_full_match(value, {sql.quoted(p)})" for k, ps in rules.FIELD_PATTERNS.items() for f, p in ps.items())} END AS ok FROM fields)
       SELECT doc_id, doc_type, count(*) AS n_fields, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9) AS pattern_score FROM j WHERE ok IS NOT NULL GROUP BY doc_id, doc_type""",

@@ -90,6 +90,14 @@ def _regions_sql(lines: str) -> str:
       FROM (SELECT *, greatest({PAGE_H}, max(y + h) OVER (PARTITION BY doc_id) + {PADDING}) AS high FROM {lines} l0) l1) l2)"""
 
 
+def spatial_sql(boxes: str) -> str:
+    return f"""WITH c AS MATERIALIZED (SELECT doc_id, (x + w // 2)::DOUBLE AS cx, (y + h // 2)::DOUBLE AS cy FROM {boxes} l),
+      f AS (SELECT a.doc_id, max(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS far FROM c a JOIN c b USING (doc_id) GROUP BY a.doc_id),
+      g AS (SELECT doc_id, count(*) AS n_fields, round(CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(var_pop(cx) + var_pop(cy)) / 1000 END, 9) AS dispersion FROM c GROUP BY doc_id),
+      s AS (SELECT g.*, CASE WHEN far > 500 THEN 2 ELSE 1 END AS n_clusters, 1 - least(1.0::DOUBLE, dispersion / 0.5::DOUBLE) AS v FROM g JOIN f USING (doc_id))
+      SELECT doc_id, n_fields, dispersion, n_clusters, round(CASE WHEN n_clusters > 1 THEN v * 0.5 ELSE v END, 9) AS spatial_score FROM s"""
+
+
 _LINES, _R = fixtures.DOCUMENT_LINES, _regions_sql(fixtures.DOCUMENT_LINES)
 _LENGTHS = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN m BETWEEN {p[2]} AND {p[3]}" for k, p in rules.PROFILES.items()) + " END"
 _TYPED = sql.classified("documents", "coalesce(text, '')", "doc_id, text")
@@ -105,9 +113,5 @@ SQL = {
     "box_neighbours": f"SELECT a.doc_id, a.line_num AS a, b.line_num AS b FROM {_LINES} a JOIN {_LINES} b ON a.doc_id = b.doc_id AND a.line_num < b.line_num AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500",
     "words_in_region": f"""SELECT w.doc_id, region_id, string_agg(text, ' ' ORDER BY line_num, word_num) AS text, count(*) AS n_words FROM {sql.words(fixtures.CARD_LINES)} w JOIN (SELECT * FROM {_regions_sql(fixtures.CARD_LINES)} q WHERE region_id < 3) r
       ON w.doc_id = r.doc_id AND w.x + w.w // 2 BETWEEN r.x AND r.x + r.w AND w.y + w.h // 2 BETWEEN r.y AND r.y + r.h GROUP BY w.doc_id, region_id""",
-    "spatial_score": f"""WITH c AS MATERIALIZED (SELECT doc_id, line_num, (x + w // 2)::DOUBLE AS cx, (y + h // 2)::DOUBLE AS cy FROM {fixtures.CARD_LINES} l),
-      f AS (SELECT a.doc_id, max(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS far FROM c a JOIN c b USING (doc_id) GROUP BY a.doc_id),
-      g AS (SELECT doc_id, count(*) AS n_fields, round(CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(var_pop(cx) + var_pop(cy)) / 1000 END, 9) AS dispersion FROM c GROUP BY doc_id),
-      s AS (SELECT g.*, CASE WHEN far > 500 THEN 2 ELSE 1 END AS n_clusters, 1 - least(1.0::DOUBLE, dispersion / 0.5::DOUBLE) AS v FROM g JOIN f USING (doc_id))
-      SELECT doc_id, n_fields, dispersion, n_clusters, round(CASE WHEN n_clusters > 1 THEN v * 0.5 ELSE v END, 9) AS spatial_score FROM s""",
+    "spatial_score": spatial_sql(fixtures.CARD_LINES),
 }
