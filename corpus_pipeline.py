@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's result as
-Parquet in the shared folder and reads it again as the next one's docs.
+Parquet in the shared folder and reads it again as the next one's docs, so a
+stage may remove the intermediate tables of the stages before it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from papersluice.llm import lines, mixing, near, packing, quality
 from papersluice.llm.text import word_count
-from papersluice.session import read_table, written
+from papersluice.session import read_table, release, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are cut; a document goes if that leaves it without words. n_chars follows the text."""
+    release(spark)
     cut = lines.without_repeats(docs)
     left = cut.where((F.col("n_deleted") == 0) | (word_count("text") > 0))
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -29,16 +31,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    release(spark)
     return near.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, in the curriculum's order."""
+    release(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token sequences."""
+    release(spark)
     return packing.packed_documents(docs)
 
 
@@ -58,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
+            docs = written(docs, f"stage{k}", keep=True)
     return docs
