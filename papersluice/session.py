@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Intermediate tables written so far, which release() removes.
+#: Intermediate tables written so far.
 _WRITTEN: list[str] = []
 
 
@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
     Cuts the lineage (a lost executor costs no recomputation of what stands
     before) and gives the planner a true size, so that it broadcasts the table
-    only when it really is small. keep: release() leaves the table.
+    only when it really is small. keep: the table isn't listed by tables_since().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,8 +46,13 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the intermediate tables written so far. Only where every result that reads them has been written."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def tables_since(n: int = 0) -> list[str]:
+    """The intermediate tables written after the first n."""
+    return _WRITTEN[n:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables, and empty the list. Only where every result that reads them has been written."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
