@@ -8,42 +8,63 @@ stage may remove the intermediate tables of the stages before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersluice.llm import lines, mixing, near, packing, quality
 from papersluice.llm.text import word_count
-from papersluice.session import read_table, release, written
+from papersluice.session import read_table, release, tables_since, written
+
+#: Intermediate tables of the stages so far.
+_USED: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes the intermediate tables of the stages before it."""
+
+    @wraps(stage)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _USED)
+        n = len(tables_since())
+        out = stage(spark, docs, sf_dir)
+        _USED.extend(tables_since(n))
+        return out
+
+    return tidy
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     return quality.kept_documents(docs)
 
 
+@_tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are cut; a document goes if that leaves it without words. n_chars follows the text."""
-    release(spark)
     cut = lines.without_repeats(docs)
     left = cut.where((F.col("n_deleted") == 0) | (word_count("text") > 0))
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    release(spark)
     return near.one_of_each(docs)
 
 
+@_tidy
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, in the curriculum's order."""
-    release(spark)
     return mixing.mixed(docs)
 
 
+@_tidy
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token sequences."""
-    release(spark)
     return packing.packed_documents(docs)
 
 
