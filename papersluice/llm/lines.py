@@ -3,10 +3,11 @@
 Lines with words are hashed. A shingle starts at each line and takes lines up
 to SHINGLE words; from every stretch of RUN words the shingle of the least hash
 is kept as a fingerprint, so any run of RUN or more words that two places share
-holds a fingerprint that both places kept. Fingerprints are joined with the
-first place that has the same one; each match is extended over equal lines both
-ways; if the extended run has RUN words or more, its later place is deleted.
-Native DataFrame operations only.
+holds a fingerprint that both places kept. Fingerprints that several places
+have bring the whole stretches they were chosen for; of places with an equal
+stretch every one but the first is deleted. A line goes exactly if it lies in a
+run of RUN words or more that some earlier place has too, whichever place that
+is. Native DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -30,41 +31,35 @@ def _lines_for(a: Column, start: Column, n: int) -> Column:
     return F.when(F.get(a, start)["w"] >= n, F.lit(1)).otherwise(walked)
 
 
-def _upto(a: Column, n: int) -> Column:
-    """The first lines of a until they hold n words."""
-    zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("c"))
-    add = lambda acc, x: F.when(acc["w"] >= n, acc).otherwise(F.struct((acc["w"] + x["w"]).alias("w"), (acc["c"] + 1).alias("c")))
-    return F.slice(a, F.lit(1), F.aggregate(a, zero, add, lambda acc: acc["c"]))
-
-
 def fingerprints(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
-    """Per fingerprint: doc_id, tie, g, first and last line, words, and the lines to the left and right up to `run` words.
+    """Per fingerprint: doc_id, tie, g, and the stretches it was chosen for (hash, first and last line).
 
-    No shuffle; work and memory follow the lines of one text.
+    From each line on, the shortest stretch of `run` words counts, and longer
+    ones as long as they need that line for their `run` words. The stretches
+    inside any run of `run` words or more cover it, and each two neighbouring
+    lines of it. There are at most about two a line. No shuffle; work and
+    memory follow the lines of one text.
     """
     line = lambda x, i: F.struct(i.alias("p"), F.xxhash64(F.trim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))
     one = docs.select("doc_id", tie_of().alias("tie"), F.filter(F.transform(F.split(whole("text"), BREAK, -1), line), lambda x: x["w"] > 0).alias("a"))
     a = F.col("a")
     two = one.select("doc_id", "tie", "a", F.transform(a, lambda x, i: F.struct(i.alias("s"), _lines_for(a, i, shingle).alias("k"), _lines_for(a, i, run).alias("t"))).alias("b"))
-    three = two.select("doc_id", "tie", "a", F.transform("b", lambda x: F.struct(F.when(x["k"].isNotNull(), F.xxhash64(F.transform(F.slice(a, x["s"] + 1, x["k"]), lambda y: y["h"]))).alias("g"), x["s"].alias("s"), x["k"].alias("k"), x["t"].alias("t"))).alias("c"), F.size("b").alias("n"))
+    hashed = lambda s, n: F.xxhash64(F.transform(F.slice(a, s + 1, n), lambda y: y["h"]))
+    three = two.select("doc_id", "tie", "a", "b", F.transform("b", lambda x: F.struct(F.when(x["k"].isNotNull(), hashed(x["s"], x["k"])).alias("g"), x["s"].alias("s"), x["k"].alias("k"), x["t"].alias("t"))).alias("c"))
     c = F.col("c")
     inside = lambda x: F.filter(F.slice(c, x["s"] + 1, x["t"]), lambda y: y["k"].isNotNull() & (y["s"] + y["k"] <= x["s"] + x["t"]))
-    least = F.transform(F.filter(c, lambda x: x["t"].isNotNull()), lambda x: F.array_min(F.transform(inside(x), lambda y: F.struct(y["g"].alias("g"), y["s"].alias("s"), y["k"].alias("k")))))
-    four = three.select("doc_id", "tie", "a", F.array_distinct(least).alias("kept"), F.size(c).alias("n"))
+    least = lambda x: F.array_min(F.transform(inside(x), lambda y: F.struct(y["g"].alias("g"), y["s"].alias("s"))))
 
-    def mark(f: Column) -> Column:
-        own = F.slice(a, f["s"] + 1, f["k"])
-        left = F.reverse(F.slice(a, F.greatest(f["s"] - run, F.lit(0)) + 1, F.least(f["s"], F.lit(run))))
-        return F.struct(
-            f["g"].alias("g"),
-            F.get(a, f["s"])["p"].alias("first"),
-            F.get(a, f["s"] + f["k"] - 1)["p"].alias("last"),
-            F.aggregate(own, F.lit(0), lambda acc, x: acc + x["w"]).alias("words"),
-            _upto(left, run).alias("left"),
-            _upto(F.slice(a, f["s"] + f["k"] + 1, F.lit(run)), run).alias("right"),
-        )
+    def stretches(x: Column) -> Column:
+        after = F.get("b", x["s"] + 1)["t"]
+        longest = F.when(after.isNull(), F.size(a) - x["s"]).when(x["t"] == 1, F.greatest(after, F.lit(2))).otherwise(after)
+        return F.transform(F.sequence(x["t"], F.greatest(x["t"], longest)), lambda n: F.struct(hashed(x["s"], n).alias("h"), F.get(a, x["s"])["p"].alias("first"), F.get(a, x["s"] + n - 1)["p"].alias("last")))
 
-    return four.select("doc_id", "tie", F.explode(F.transform("kept", mark)).alias("f")).select("doc_id", "tie", "f.*")
+    four = three.select("doc_id", "tie", F.transform(F.filter(c, lambda x: x["t"].isNotNull()), lambda x: F.struct(least(x).alias("f"), stretches(x).alias("of"))).alias("d"))
+    d = F.col("d")
+    chosen_for = lambda f: F.filter(F.slice(d, F.greatest(f["s"] - run, F.lit(0)) + 1, F.least(f["s"], F.lit(run)) + 1), lambda x: x["f"]["s"] == f["s"])
+    mark = lambda f: F.struct(f["g"].alias("g"), F.flatten(F.transform(chosen_for(f), lambda x: x["of"])).alias("stretches"))
+    return four.select("doc_id", "tie", F.explode(F.transform(F.array_distinct(F.transform(d, lambda x: x["f"])), mark)).alias("f")).select("doc_id", "tie", "f.*")
 
 
 def tie_of() -> Column:
@@ -72,27 +67,19 @@ def tie_of() -> Column:
     return F.xxhash64(whole("text"))
 
 
-def _same(x: Column, y: Column) -> Column:
-    """How many lines at the start of x equal those of y."""
-    equal = F.zip_with(x, y, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    at = F.array_position(equal, False)
-    return F.when(at == 0, F.size(equal)).otherwise(at - 1).cast("int")
-
-
 def repeated_runs(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
     """Per document and later repeated run: doc_id, tie, first and last line (from 0); runs of a document don't overlap.
 
-    The first place of a fingerprint is the least in (doc_id, tie, line). Each
-    fingerprint meets that one place only, so a group of n copies makes n rows.
+    The first place of a stretch is the least in (doc_id, tie, line). Each
+    stretch meets that one place only, so a group of n copies makes n rows a
+    stretch; stretches are equal whole, so no later place is left to compare.
     """
     marks = written(fingerprints(docs, run, shingle), "marks")
-    place = F.struct("doc_id", "tie", "first", "left", "right")
-    firsts = written(marks.groupBy("g").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1").select("g", "o"), "firsts")
-    met = marks.join(firsts, "g").where(~(F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("tie") == F.col("o.tie")) & (F.col("first") == F.col("o.first"))))
-    grown = met.select("doc_id", "tie", "first", "last", "words", F.slice("left", F.lit(1), _same(F.col("left"), F.col("o.left"))).alias("l"), F.slice("right", F.lit(1), _same(F.col("right"), F.col("o.right"))).alias("r"))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["w"])
-    end = lambda c, other: F.coalesce(F.get(c, F.size(c) - 1)["p"], F.col(other))
-    runs = grown.where(F.col("words") + total("l") + total("r") >= run).select("doc_id", "tie", end(F.col("l"), "first").alias("a"), end(F.col("r"), "last").alias("b"))
+    often = written(marks.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "often")
+    held = written(marks.join(often, "g").select("doc_id", "tie", "g", F.explode("stretches").alias("x")).select("doc_id", "tie", "g", "x.*"), "stretches")
+    firsts = written(held.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "first")).alias("o")).where("n > 1").select("g", "h", "o"), "firsts")
+    met = held.join(firsts, ["g", "h"]).where(~(F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("tie") == F.col("o.tie")) & (F.col("first") == F.col("o.first"))))
+    runs = met.select("doc_id", "tie", F.col("first").alias("a"), F.col("last").alias("b"))
     of = Window.partitionBy("doc_id", "tie").orderBy("a", "b")
     before = F.max("b").over(of.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.distinct().withColumn("new", (F.coalesce(before, F.lit(-2)) + 1 < F.col("a")).cast("int"))

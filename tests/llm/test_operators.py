@@ -129,6 +129,34 @@ def test_lines_match_brute_force(spark):
     assert got[103] == "" or "\n" not in got[103].strip()
 
 
+def brute_repeats(texts, run=50):
+    """doc -> kept lines; a line goes if it lies in a run of `run` words that any earlier place has too. All pairs of places."""
+    arrays = {d: [(p, x.strip(" "), len(x.split())) for p, x in enumerate((t or "").split("\n")) if x.split()] for d, t in texts.items()}
+    cut = {d: set() for d in texts}
+    for d, a in arrays.items():
+        for e, b in arrays.items():
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while (e, j) < (d, i) and i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        n += 1
+                    if n and sum(x[2] for x in a[i : i + n]) >= run:
+                        cut[d] |= set(range(a[i][0], a[i + n - 1][0] + 1))
+    return {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut[d]) for d, t in texts.items()}
+
+
+def test_lines_meet_every_earlier_place(spark):
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    f, x = say("f", 30), say("x", 22)
+    texts = {1: "\n".join([say("a", 30), f, say("b", 30)]), 2: "\n".join([say("c", 30), f, x, say("d", 30)]), 3: "\n".join([say("e", 30), f, x, say("g", 30)])}
+    rng = np.random.default_rng(11)
+    pool = [say(f"p{k}_", int(rng.choice([1, 8, 20, 30, 60]))) for k in range(12)]
+    texts |= {10 + i: "\n".join(pool[j] if rng.random() < 0.9 else "" for j in rng.integers(0, 12, rng.integers(1, 14))) for i in range(60)}
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[3] == "\n".join([say("e", 30), say("g", 30)]) and got[2] == texts[2]
+    assert got == brute_repeats(texts)
+
+
 def test_lines_odd_rows(spark):
     out = lines.without_repeats(odd(spark))
     assert out.columns == DOCS.replace(" long", "").replace(" string", "").split(", ") + ["n_deleted"]
