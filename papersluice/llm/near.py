@@ -14,10 +14,16 @@ those of any similar text, so texts of different components meet over these. So
 a group of n near copies takes about n comparisons, a family of texts that are
 alike but not similar meets over what is rare in them, and no link between two
 components is left out. Texts with the same words are one text from the start.
+
+Similar texts are in one component, so links are counted there: where the links
+found so far aren't all pairs, texts meet in cells of bounded size, by bands of
+their number of n-grams, and a cell counts its texts' links without a row for
+each. Counting is quadratic in a component's texts; the rows aren't.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,8 @@ from papersluice.session import read_table, written
 NGRAM, SIMILAR, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 6
 SEED = 20_240_601
+#: Texts and n-grams of a cell, on average, in counting links.
+CELL, CELL_GRAMS = 64, 200_000
 
 
 def shortest_prefix(similar: float = SIMILAR, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -123,12 +131,42 @@ def rare_pairs(texts: DataFrame, similar: float) -> DataFrame:
     return x.join(y, "h").where(able).select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, n: int = NGRAM, similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def link_counts(links: DataFrame, labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """d, links: how many other texts of its component each text is similar to. links: a, b; labels: v, label of all linked texts; sets: d, s.
+
+    Components where the links are all pairs are counted from these. The others
+    are dealt into cells by label, band (sizes of similar texts are at most one
+    band apart) and hash; each two cells that may hold similar texts meet once
+    in either order.
+    """
+    size = labels.groupBy("label").agg(F.count("*").alias("m"))
+    held = links.join(labels.withColumnRenamed("v", "a"), "a").groupBy("label").agg(F.count("*").alias("l"))
+    open_ = written(size.join(held, "label").where("2 * l < m * (m - 1)").select("label"), "open")
+    members = written(labels.withColumnRenamed("v", "d").join(open_, "label"), "members")
+    band = F.floor(F.log(F.size("s").cast("double")) / math.log(1 / min(similar, 0.99)) + 1e-9)
+    placed = written(members.join(sets, "d").select("label", "d", "s", band.alias("band")), "placed")
+    cells = placed.groupBy("label", "band").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum(F.size("s")) / CELL_GRAMS)).cast("int").alias("k"))
+    cells = written(cells, "cells")
+    dealt = placed.join(cells, ["label", "band"]).select("label", "band", F.pmod(F.xxhash64("d", F.lit(SEED)), F.col("k")).alias("part"), "d", "s")
+    dealt = written(dealt.groupBy("label", "band", "part").agg(F.collect_list(F.struct("d", "s")).alias("t")), "dealt")
+    key = F.struct("label", "band", "part")
+    left, right = dealt.select("label", "band", key.alias("x")), dealt.select("label", F.col("band").alias("other"), key.alias("y"))
+    meet = left.join(right, "label").where(F.abs(F.col("band") - F.col("other")) <= 1).select("x", "y")
+    both = meet.join(dealt.select(key.alias("x"), F.col("t").alias("tx")), "x").select("y", "tx").join(dealt.select(key.alias("y"), F.col("t").alias("ty")), "y")
+    many = lambda p, q: F.size(F.array_intersect(p["s"], q["s"]))
+    alike = lambda p, q: F.transform(F.array(many(p, q)), lambda i: i / (F.size(p["s"]) + F.size(q["s"]) - i) >= similar)[0]
+    fits = lambda p, q: (p["d"] != q["d"]) & (F.least(F.size(p["s"]), F.size(q["s"])) >= (similar - 1e-9) * F.greatest(F.size(p["s"]), F.size(q["s"])))
+    counted = both.select(F.explode(F.transform("tx", lambda p: F.struct(p["d"].alias("d"), F.size(F.filter("ty", lambda q: fits(p, q) & alike(p, q))).alias("links")))).alias("c")).select("c.*")
+    whole = links.select(F.explode(F.array("a", "b")).alias("d")).join(members.select("d"), "d", "left_anti").groupBy("d").agg(F.count("*").alias("links"))
+    return whole.unionByName(counted.groupBy("d").agg(F.sum("links").alias("links")))
+
+
+def near_classes(docs: DataFrame, n: int = NGRAM, similar: float = SIMILAR, recall: float = RECALL, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, texts).
 
     documents, a row per row of docs: doc_id, d (digest of its words), class_id
-    (the least doc_id of its class), n_links (its other copies, and the texts
-    that it was found similar to). texts, a row per distinct text: d, doc_id
+    (the least doc_id of its class), n_links (its other copies, and all other
+    texts of its class that it is similar to; null unless counted). texts, a row per distinct text: d, doc_id
     (its least), class_d and class_id of its class.
 
     Similar means a Jaccard similarity of at least `similar` between the sets
@@ -173,9 +211,12 @@ def near_classes(docs: DataFrame, n: int = NGRAM, similar: float = SIMILAR, reca
         links = links.unionByName(more)
         labels = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("links"))
-    joined = texts.select("d", "doc_id", "copies").join(labels.withColumnRenamed("v", "d"), "d", "left").join(degree, "d", "left")
-    joined = written(joined.select("d", "doc_id", F.coalesce("label", "d").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "joined")
+    joined = texts.select("d", "doc_id", "copies").join(labels.withColumnRenamed("v", "d"), "d", "left")
+    total = F.lit(None).cast("long")
+    if counted:
+        joined = joined.join(link_counts(links, labels, sets, similar), "d", "left")
+        total = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    joined = written(joined.select("d", "doc_id", F.coalesce("label", "d").alias("label"), total.alias("n_links")), "joined")
     classes = written(joined.groupBy("label").agg(F.min(F.struct("doc_id", "d")).alias("c")), "classes")
     by_text = written(joined.join(classes, "label").select("d", "doc_id", "n_links", F.col("c.d").alias("class_d"), F.col("c.doc_id").alias("class_id")), "by_text")
     bare = hashed.where("m <= 0").select("doc_id", F.lit(None).cast("binary").alias("d"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -185,7 +226,7 @@ def near_classes(docs: DataFrame, n: int = NGRAM, similar: float = SIMILAR, reca
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents of least doc_id of each class, and those without words; columns as in docs."""
-    _, texts = near_classes(docs)
+    _, texts = near_classes(docs, counted=False)
     stay = texts.where("d = class_d").select(F.col("doc_id").alias("_n_id"), F.col("d").alias("_n_d"))
     keyed = docs.withColumn("_n_of", digest(word_list("text")))
     held = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_n_id"]) & (keyed["_n_of"] == stay["_n_d"])).dropDuplicates(["_n_id", "_n_d"])

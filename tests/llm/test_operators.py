@@ -289,6 +289,27 @@ def test_near_matches_brute_force(spark):
     assert near.near_classes(frame.limit(0))[0].count() == 0 and near.one_of_each(odd(spark).limit(0)).count() == 0
 
 
+def test_near_counts_every_link(spark):
+    rng = np.random.default_rng(12)
+    texts, base = {}, [f"w{i}" for i in range(400)]
+    for i in range(90):  # all similar to each other, in more than a cell
+        texts[i] = " ".join([*base, f"a{i}", f"b{i}"])
+    for i in range(100, 140):  # a chain: near ones are similar, far ones aren't
+        texts[i] = " ".join(f"c{k}" for k in range(i * 4, i * 4 + 100))
+    for i in range(200, 240):
+        w = [f"e{k}" for k in range(150 + i % 40)]
+        for k in rng.integers(0, 150, i % 4):
+            w[k] = f"n{i}_{k}"
+        texts[i] = " ".join(w)
+    texts[300] = texts[5]
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in near.near_classes(frame)[0].collect()}
+    grams = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in texts.items() for w in [t.split()]}
+    similar = {i: {texts[j] for j in texts if texts[j] != texts[i] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8} for i in texts}
+    copies = Counter(texts.values())
+    assert got == {i: len(similar[i]) + copies[texts[i]] - 1 for i in texts} and got[0] == 89 and got[5] == 90
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
