@@ -71,10 +71,9 @@ def dbscan_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of cards inside the padded boxes of their first three lines."""
+    """Words of cards inside the padded boxes of their lines."""
     lines = fixtures.card_lines(spark, sf_dir)
-    regions = layout.regions_of(lines, PAGE_W, PAGE_H).where("region_id < 3")
-    return layout.words_in_region(words.line_words(lines), regions)
+    return layout.words_in_region(words.line_words(lines), layout.regions_of(lines, PAGE_W, PAGE_H))
 
 
 def spatial_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papersluice.operators import classify, layout
-from papersluice.plans import catalogue, decision_queries, triage
+from papersluice.plans import catalogue, decision_queries, layout_queries, triage
 from papersluice.sources import fixtures, rules
 from papersluice.sources import lines as line_sources
 from papersluice.streaming.triage import decision_rate, dedup_stream, triage_stream
@@ -66,6 +66,20 @@ def test_clusters_match_brute_force(spark):
         assert {i: c for (k, i), c in got.items() if k == d} == want
 
 
+def test_words_in_every_region(spark):
+    lines = fixtures.card_lines(spark, SF)
+    held = {}
+    for w in layout_queries.words.line_words(lines).collect():
+        held.setdefault(w.doc_id, []).append((w.x + w.w // 2, w.y + w.h // 2))
+    want = {}
+    for r in layout_queries.layout.regions_of(lines, layout_queries.PAGE_W, layout_queries.PAGE_H).collect():
+        n = sum(r.x <= x <= r.x + r.w and r.y <= y <= r.y + r.h for x, y in held.get(r.doc_id, []))
+        if n:
+            want[r.doc_id, r.region_id] = n
+    got = {(r.doc_id, r.region_id): r.n_words for r in layout_queries.words_in_region(spark, SF).collect()}
+    assert got == want and max(k for _, k in got) > 3
+
+
 def test_suppression(spark):
     rows = [(1, 0, 0, 0, 10, 10, 0.9), (1, 1, 1, 0, 10, 10, 0.8), (1, 2, 50, 50, 10, 10, 0.5), (1, 3, 2, 0, 10, 10, 0.95)]
     got = layout.suppress_duplicates(spark.createDataFrame(rows, "doc_id int, region_id int, x int, y int, w int, h int, confidence double"), 0.7)
