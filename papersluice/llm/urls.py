@@ -19,12 +19,15 @@ from papersluice.session import read_table, written
 
 DAMPING = 0.85
 ROUNDS = 12
+#: Relative change of every rank, below which propagation has converged; significant digits of ranks.
+TOLERANCE, DIGITS = 1e-6, 10
 #: Distrust over trust plus distrust, from which on a host is blocked.
 THRESHOLD = 0.5
 #: Most rules that are given as literals of an expression.
 LITERAL_RULES = 1000
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""
+#: Values in quotes of either kind, or without quotes to the next space or >.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:["'](?=[^"']*["']))?((?<=["'])[^"']*|(?<!["'])[^\s"'>]+)"""
 
 
 @dataclass(frozen=True)
@@ -75,12 +78,19 @@ def linked_hosts(html: Column, host: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(targets, host_of), lambda h: (h != "") & (h != host)))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, rank: personalised PageRank after `rounds` rounds.
+def _significant(x: Column) -> Column:
+    """x to DIGITS significant digits, however small."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    return F.coalesce(F.round(x / unit, DIGITS - 1) * unit, x)
+
+
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
+    """kind, host, rank: personalised PageRank after `rounds` rounds; None: until no host is new and no rank changes by more than TOLERANCE of itself.
 
     seeds: kind, host, seed; edges: kind, src, dst, n. Ranks of different kinds
-    don't mix. A host without links keeps its rank to itself. Rounded to nine
-    places each round, so that the order of summing doesn't matter. Links that
+    don't mix. A host without links keeps its rank to itself. Rounded to
+    significant digits each round, so that the order of summing doesn't matter
+    and no small rank is lost. Links that
     start at hosts without rank are never joined.
     """
     out = Window.partitionBy("kind", "src")
@@ -88,9 +98,19 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     start = written(seeds, "seeds")
     base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank, used = start.select("kind", "host", F.col("seed").alias("rank")), bool(shares.take(1))
-    for _ in range(rounds if used else 1):
+    done, moving = 0, True
+    while moving:
         moved = rank.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = written(base.unionByName(moved).groupBy("kind", "host").agg(F.round(F.sum("rank"), 9).alias("rank")).where("rank > 0"), "rank")
+        after = written(base.unionByName(moved).groupBy("kind", "host").agg(_significant(F.sum("rank")).alias("rank")), "rank")
+        done += 1
+        if not used:
+            moving = False
+        elif rounds is not None:
+            moving = done < rounds
+        else:
+            was = rank.withColumnRenamed("rank", "was")
+            moving = bool(after.join(was, ["kind", "host"], "left").where(F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank"))).take(1))
+        rank = after
     return rank
 
 
@@ -110,7 +130,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).where("seed > 0")
     links = parsed.where("host <> ''").select("host", F.explode("links").alias("to")).groupBy("host", "to").agg(F.count("*").alias("n"))
     both = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("host").alias("src"), F.col("to").alias("dst")), F.struct(F.lit("distrust").alias("kind"), F.col("to").alias("src"), F.col("host").alias("dst"))))
-    ranks = spread(seeds, links.select(both.alias("e"), "n").select("e.*", "n"))
+    ranks = spread(seeds, links.select(both.alias("e"), "n").select("e.*", "n"), rounds=None)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     table = written(ranks.groupBy("host").agg(of("trust"), of("distrust")), "hosts")
     bad = (F.col("distrust") > 0) & (F.col("distrust") > F.lit(threshold) * (F.col("trust") + F.col("distrust")))

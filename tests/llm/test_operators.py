@@ -188,6 +188,17 @@ def test_urls(spark):
     assert len(got) == len(rows) and urls.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_small_ranks_reach_far(spark):
+    big = 10**6
+    edges = [("a", "b", 1), ("a", "x", big), ("b", "c", 1), ("b", "x", big)] + [(f"{'c' if i == 0 else f'd{i}'}", f"d{i + 1}", 1) for i in range(16)]
+    frame = spark.createDataFrame([("t", *e) for e in edges], "kind string, src string, dst string, n int")
+    got = {r.host: r["rank"] for r in urls.spread(spark.createDataFrame([("t", "a", 1.0)], "kind string, host string, seed double"), frame, rounds=None).collect()}
+    want = 0.15 * 0.85**2 / (big + 1) ** 2
+    assert got["c"] == pytest.approx(want, rel=1e-5) and got["d16"] == pytest.approx(want * 0.85**16, rel=1e-5)
+    pages = spark.createDataFrame([(1, "http://p/", "<a href=http://Q.net/x>q</a> <a href='//r.net/'>r</a>")], "page_id long, url string, html string")
+    assert pages.select(urls.linked_hosts(F.col("html"), F.lit("p")).alias("l")).first().l == ["q.net", "r.net"]
+
+
 def test_pagerank_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     edges = [(f"h{a}", f"h{b}", int(n)) for a, b, n in rng.integers(0, 12, (40, 3)) if a != b and n]
