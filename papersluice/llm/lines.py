@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papersluice.llm.text import WORD, whole
+from papersluice.llm.text import WORD, tie_of, whole
 from papersluice.session import read_table, written
 
 #: Words of a run that is deleted where it is repeated, and of a shingle.
@@ -62,11 +62,6 @@ def fingerprints(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> Dat
     return four.select("doc_id", "tie", F.explode(F.transform(F.array_distinct(F.transform(d, lambda x: x["f"])), mark)).alias("f")).select("doc_id", "tie", "f.*")
 
 
-def tie_of() -> Column:
-    """Tells apart documents that share a doc_id."""
-    return F.xxhash64(whole("text"))
-
-
 def repeated_runs(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
     """Per document and later repeated run: doc_id, tie, first and last line (from 0); runs of a document don't overlap.
 

@@ -25,3 +25,8 @@ def words(text: Column | str) -> Column:
 def key_string(col: Column | str) -> Column:
     """A key as text; null becomes the empty text, which no number yields."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
+
+
+def tie_of(text: Column | str = "text") -> Column:
+    """Tells apart rows that share a key, by their text."""
+    return F.xxhash64(whole(text))
