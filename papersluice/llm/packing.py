@@ -9,13 +9,14 @@ task packs the whole corpus; a bucket leaves about one sequence half empty.
 
 from __future__ import annotations
 
+import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,70 +28,69 @@ WINDOW = 2048
 END = 1
 #: Pieces packed together.
 BUCKET = 2048
-#: Vocabulary file (byte-level BPE ranks; the same vocabulary and ids as byte_bpe_50k.json).
-VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct chunks of text whose ids a task remembers.
-REMEMBERED = 200_000
+#: Vocabulary file of tokenizers, by its name in public_tokenizers or by its path.
+VOCABULARY = "byte_bpe_50k.json"
+#: Distinct chunks of text whose ids a task remembers, and the most characters of one.
+REMEMBERED, LONGEST = 200_000, 64
+#: Texts whose new chunks are encoded together.
+TOGETHER = 256
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def load_encoding(vocabulary: str):
-    """A tiktoken encoding of a file named in public_tokenizers, or of a path."""
-    import base64
-    import os
-
+def load_tokenizer(vocabulary: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     import public_tokenizers
-    import tiktoken
+    from tokenizers import Tokenizer
 
-    path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Tokenizer.from_file(vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary))
 
 
 class IdBytes:
     """Texts to their ids as little-endian unsigned 32-bit numbers.
 
-    The pre-tokenizer never joins a blank that stands alone to what is before
-    it, so a text may be cut before such blanks and the ids of the chunks
-    remembered. A text with a blank between other white space and white space
-    or its end is encoded in one go.
+    The pre-tokenizer always cuts before a blank between two characters that
+    are no white space, and added tokens hold no blank, so a text's ids are
+    those of the chunks between such cuts, and the ids of chunks are
+    remembered. Chunks keep all other white space.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
-        self.encode, self.known, self.most = load_encoding(vocabulary).encode_ordinary, {}, remembered
-        self.unsafe = re.compile(r"\s (?:\s|\Z)").search
+        self.tokenizer, self.known, self.most = load_tokenizer(vocabulary), {}, remembered
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s (?:\s|\Z)", *added])).search
+        self.cuts = re.compile(r"(?<=\S) (?=\S)").split
 
-    def _fresh(self, text: str) -> bytes:
-        ids = self.encode(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if self.unsafe(text):
-            return self._fresh(text)
-        known, out = self.known, []
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The first chunk of a text stands for itself, the others follow a blank."""
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        head, *rest = text.split(" ")
-        if head:
-            out.append(self._fresh(head))
-        for chunk in rest:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = known[chunk] = self._fresh(" " + chunk)
-            out.append(ids)
-        return b"".join(out)
+        parts = [self.cuts(t) if self.odd(t) else t.split(" ") for t in texts]
+        heads = list({p[0] for p in parts})
+        chunks = list({c for p in parts for c in set(p[1:]) - known.keys()})
+        coded = self._fresh([*heads, *(f" {c}" for c in chunks)])
+        first = dict(zip(heads, coded, strict=False))
+        known.update(zip(chunks, coded[len(heads) :], strict=True))
+        out = [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) for p in parts]
+        for c in chunks:
+            if len(c) > LONGEST:
+                del known[c]
+        return out
 
 
 def _pieces_of(rows: Iterator[pd.DataFrame], text: str, window: int, end: int, vocabulary: str, keep_ids: bool) -> Iterator[pd.DataFrame]:
-    ids_of, tail = IdBytes(vocabulary), struct.pack("<I", end)
+    ids_of, tail = IdBytes(vocabulary), np.array([end], "<u4").tobytes()
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     for batch in rows:
-        for lo in range(0, len(batch), 256):
-            part = batch.iloc[lo : lo + 256]
+        for lo in range(0, len(batch), TOGETHER):
+            part = batch.iloc[lo : lo + TOGETHER]
             at, cut = [], []
-            for k, t in enumerate(part[text]):
-                ids = memoryview(ids_of(t or "") + tail)
+            for k, coded in enumerate(ids_of([t or "" for t in part[text]])):
+                ids = memoryview(coded + tail)
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]
@@ -100,12 +100,17 @@ def _pieces_of(rows: Iterator[pd.DataFrame], text: str, window: int, end: int, v
             for name, values in zip(("start", "length", "ids_crc32", "doc_tokens", "ids"), zip(*cut, strict=True), strict=True):
                 if name != "ids" or keep_ids:
                     out[name] = list(values)
+            out["_number"] = np.arange(number, number + len(out))
+            number += len(out)
             yield out
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
-    """Per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked): full windows and what is left of each document."""
-    schema = docs.select(key).schema.simpleString()[len("struct<") : -1] + ", " + PIECES + (", ids array<int>" if keep_ids else "")
+    """Per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked), _number: full windows and what is left of each document.
+
+    _number tells pieces apart that are equal in all else; it is stable once the table is written.
+    """
+    schema = docs.select(key).schema.simpleString()[len("struct<") : -1] + ", " + PIECES + (", ids array<int>" if keep_ids else "") + ", _number long"
     named = docs.select(key, whole(text).alias("_text"))
     return named.mapInPandas(lambda rows: _pieces_of(rows, "_text", window, end, vocabulary, keep_ids), schema)
 
@@ -163,18 +168,18 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
-    """pieces (a table that is cheap to read again) with sequence_id and offset.
+    """pieces (a written table, with _number) with sequence_id and offset.
 
     sequence_id is the bucket times 2^32 plus a number within it; offsets have
-    no gaps. Every piece is in one sequence. Pieces of equal rows may change
-    places. An empty table gives an empty result. Documents with null or
-    repeated keys are packed like others.
+    no gaps. Every piece is in one sequence. Pieces are dealt by their numbers,
+    so documents with null or repeated keys and repeated rows are packed like
+    others and share no bucket. An empty table gives an empty result.
     """
     buckets = max(1, -(-pieces.count() // bucket))
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != "_number"]
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([c for c in (key, "start", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values([c for c in (key, "start", "ids_crc32", "_number") if c in rows], kind="stable").reset_index(drop=True)
         number = int(rows["_bucket"].iloc[0])
         sequences, offsets = best_fit_decreasing(rows["length"].tolist(), window)
         out = rows[columns].copy()
@@ -182,19 +187,21 @@ def pack(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, bucket: i
         out["offset"] = np.asarray(offsets, dtype="int64")
         return out
 
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(buckets)))
-    schema = pieces.schema.simpleString()[len("struct<") : -1] + ", sequence_id long, offset long"
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.lit(buckets)))
+    schema = pieces.select(*columns).schema.simpleString()[len("struct<") : -1] + ", sequence_id long, offset long"
     return dealt.groupBy("_bucket").applyInPandas(place, schema)
 
 
 def packed_documents(docs: DataFrame, **options) -> DataFrame:
     """Documents cut and packed: per piece the columns of token_pieces(), sequence_id and offset.
 
-    A null text is an empty one (its only id is the end). Repeated rows are
-    packed each; columns other than key and text don't matter.
+    A null text is an empty one (its only id is the end). Very long texts make
+    as many pieces as they need. Repeated rows and null or repeated keys are
+    packed each; columns other than key and text don't matter, whatever their names.
     """
     return pack(written(token_pieces(docs, **options), "pieces"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; nulls, empty and very long texts, repeated rows as in packed_documents()."""
     return packed_documents(read_table(spark, sf_dir, "documents"))
