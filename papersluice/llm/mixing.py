@@ -22,8 +22,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Slopes of the schedules by the rank of a source: even, early, late.
 SLOPES = (0.0, -0.5, 0.5)
-#: Hex digits of a document's hash that make its bucket within a source: 4,096 buckets.
-DIGITS = 3
+#: Documents of a source that are numbered together, about.
+BUCKET_ROWS = 4096
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -63,27 +63,36 @@ def position_at(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(even * even + 4 * slope * share) - even) / (2 * slope))
 
 
+def order_of() -> Column:
+    """What documents of a source are ordered by."""
+    return F.md5(F.concat(key_string("doc_id"), F.lit("|"), F.md5(whole("text"))))
+
+
 def curriculum(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per document: the columns `keep` of docs (default doc_id), size, source_size, target, taken, positions.
 
-    Within a source documents follow the MD5 of their doc_id; pass e of the
-    source reads a document if the word in its middle stands before the target,
-    so a source misses its target by half a document at most. positions has one
-    time in [0, 1] for each reading. Running sums are made in two steps (sums
-    of hash buckets, then rows inside a bucket), so that no task holds a whole
-    source. Null texts have size 0; sources of size 0 have target 0 and are
-    never read; a null source is a source, the last; repeated rows each count;
-    ties of doc_id go by size and by the hash of the text.
+    Within a source documents follow the MD5 of their doc_id and text; pass e
+    of the source reads a document if the word in its middle stands before the
+    target, so a source misses its target by half a document at most. positions
+    has one time in [0, 1] for each reading. Running sums are made in two steps
+    (sums of hash buckets, as many as the documents need, then rows inside a
+    bucket), so that no task holds a whole source. Null texts have size 0;
+    sources of size 0 have target 0 and are never read; a null source is a
+    source, the last; repeated rows each count, next to each other; null and
+    repeated doc_ids are told apart by their texts.
     """
+    rows, digits = docs.count(), 1
+    while 16**digits * BUCKET_ROWS < rows and digits < 8:
+        digits += 1
     keep = ["doc_id"] if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    named = docs.select(row, "source", word_count("text").alias("size"), F.md5(key_string("doc_id")).alias("h"), F.md5(whole("text")).alias("tie"))
-    bucket = F.substring("h", 1, DIGITS).alias("bucket")
+    named = docs.select(row, "source", word_count("text").alias("size"), order_of().alias("h"))
+    bucket = F.substring("h", 1, digits).alias("bucket")
     sized = written(named.groupBy("source", bucket).agg(F.sum("size").alias("size")), "sizes")
     sources = written(source_targets(sized), "sources")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(sized.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first")), "sums")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     inner = named.withColumn("bucket", bucket).withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = _with(_with(inner, sums, ["source", "bucket"]), sources, ["source"]).withColumn("at", F.col("first") + F.col("inner") + F.col("size") / 2)
     middles = F.filter(F.array(*[F.col("at") + e * F.col("source_size") for e in range(REPEATS)]), lambda m: m < F.col("target"))
@@ -106,19 +115,30 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents the mix reads, each as often as it is read, range-sorted by position; columns as in docs, which may have any names."""
+    """The documents the mix reads, each as often as it is read, range-sorted by position; columns as in docs, which may have any names.
+
+    Null, empty and repeated rows as in curriculum(): what has no words is never read.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
     out = curriculum(packed, ["_row"]).select("_row", F.explode("positions").alias("_position"))
     return out.repartitionByRange("_position").sortWithinPartitions("_position").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = curriculum(read_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    """All documents in the order of their first reading, unread ones first; nulls, empty texts and repeated rows as in curriculum()."""
+    plan = curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    each = [F.get("positions", F.lit(e)).alias(f"position_{e + 1}") for e in range(REPEATS)]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", *each).orderBy("position_1", "doc_id")
+
+
+def _at(mid: str) -> str:
+    share = f"({mid} / target)"
+    bent = f"(sqrt((1 - slope) * (1 - slope) + 4 * slope * {share}) - (1 - slope)) / (2 * slope)"
+    return f"CASE WHEN {mid} < target THEN round(CASE WHEN slope = 0 THEN {share} ELSE {bent} END, 9) END"
 
 
 SQL = rf"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk FROM g),
 w AS (SELECT *, [3, 1, 2][CAST(rk % 3 + 1 AS INT)] AS weight, [0.0, -0.5, 0.5][CAST(rk % 3 + 1 AS INT)]::DOUBLE AS slope FROM r),
@@ -131,7 +151,6 @@ c AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.slope,
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(size * ((CASE WHEN mid < target THEN 1 ELSE 0 END) + (CASE WHEN mid + source_size < target THEN 1 ELSE 0 END)) AS BIGINT) AS taken,
-  CASE WHEN mid < target THEN round(CASE WHEN slope = 0 THEN mid / target
-    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * (mid / target)) - (1 - slope)) / (2 * slope) END, 9) END AS position
+  {_at("mid")} AS position_1, {_at("(mid + source_size)")} AS position_2
 FROM c
 """
