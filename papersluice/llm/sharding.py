@@ -17,8 +17,8 @@ from papersluice.llm.text import whole
 from papersluice.session import read_table, written
 
 SHARDS = 40
-#: Rows of a shard are numbered in this many hash buckets, so that no task sorts a whole shard.
-BUCKETS = 256
+#: Rows of a shard that are numbered together, about: no task sorts a whole shard.
+BUCKET_ROWS = 4096
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -50,15 +50,17 @@ def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str, f
     placed.repartition(F.col("shard_of"), salt).write.partitionBy("shard_of").parquet(path)
 
 
-def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
+def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per record: key, size, text_crc32, law, shard, slot, grown_shard.
 
     slot numbers the records of a shard from 0 without gaps: rows are counted in
-    hash buckets of each shard, the counts are summed up to offsets (shards x
-    buckets numbers), and rows are numbered inside a bucket. The texts
-    themselves aren't shuffled. grown_shard is the shard with one more shard of
-    the mean weight. A null text counts as empty. Rows equal in key and text
-    may swap their slots between runs, others keep them.
+    hash buckets of each shard, as many as the rows need, the counts are summed
+    up to offsets, and rows are numbered inside a bucket. The texts themselves
+    aren't shuffled. grown_shard is the shard with one more shard of the mean
+    weight. A null text counts as empty, a null key is a key; repeated keys are
+    told apart by their texts. Rows equal in key and text may swap their slots
+    between runs, others keep them. Other columns don't matter; an empty table
+    gives an empty result.
     """
     more = [*weights, sum(weights) / len(weights)]
     id_ = F.col(key)
@@ -70,10 +72,12 @@ def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], bu
             crc.cast("long").alias("text_crc32"),
             rendezvous(id_, weights).alias("shard"),
             rendezvous(id_, more).alias("grown_shard"),
-            F.pmod(F.xxhash64(id_, crc, F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
+            F.xxhash64(id_, crc, F.lit("slot")).alias("spot"),
         ),
         "shards",
     )
+    buckets = max(1, -(-placed.count() // (bucket_rows * len(weights))))
+    placed = placed.withColumn("bucket", F.pmod("spot", F.lit(buckets))).drop("spot")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(
         placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")),
@@ -92,4 +96,5 @@ def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], bu
 
 
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 by the law `key`; nulls, empty and long texts, repeated rows as in shard_slots()."""
     return shard_slots(read_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
