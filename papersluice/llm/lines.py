@@ -81,24 +81,30 @@ def repeated_runs(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> Da
     return opened.withColumn("part", F.sum("new").over(of.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "tie", "part").agg(F.min("a").alias("first"), F.max("b").alias("last")).drop("part")
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
-    """docs with later repeated runs cut from text, and n_deleted, the lines cut; texts without such runs stay as they are.
+def without_repeats(docs: DataFrame, run: int = RUN, shingle: int = SHINGLE, counted: str = "n_deleted") -> DataFrame:
+    """docs with later repeated runs cut from text, and the number of lines cut in the column `counted`; texts without such runs stay as they are.
 
     Null texts stay null; texts of fewer than `run` words never change; of
     documents with one text the least doc_id (null before all) keeps it; rows
-    that share doc_id and text count as one document and stay alike. Other
-    columns pass through; one named n_deleted or starting with _l_ is not allowed.
+    that share doc_id and text count as one document and stay alike. An empty
+    table stays empty. Other columns pass through, whatever their names; one
+    named as `counted` is replaced.
     """
-    runs = repeated_runs(docs, run, shingle).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("_l_cut")).withColumnsRenamed({"doc_id": "_l_id", "tie": "_l_tie"})
-    keyed = docs.withColumn("_l_of", tie_of())
-    joined = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["_l_id"]) & (keyed["_l_of"] == runs["_l_tie"]), "left")
-    rest = F.filter(F.split("text", BREAK, -1), lambda x, i: ~F.exists("_l_cut", lambda c: i.between(c["first"], c["last"])))
-    joined = joined.withColumn("text", F.when(F.col("_l_cut").isNull(), F.col("text")).otherwise(F.array_join(rest, BREAK)))
-    cut = F.aggregate("_l_cut", F.lit(0), lambda acc, c: acc + c["last"] - c["first"] + 1)
-    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce(cut, F.lit(0)).cast("long").alias("n_deleted"))
+    bare = docs.select("doc_id", "text")
+    runs = repeated_runs(bare, run, shingle).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
+    runs = runs.withColumnsRenamed({"doc_id": "id", "tie": "of"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    keyed = docs.select(row, "text", F.col("doc_id").alias("key"), tie_of().alias("tie"))
+    joined = keyed.join(runs, F.col("key").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("of")), "left")
+    rest = F.filter(F.split("text", BREAK, -1), lambda x, i: ~F.exists("cut", lambda c: i.between(c["first"], c["last"])))
+    joined = joined.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(rest, BREAK)))
+    n_cut = F.coalesce(F.aggregate("cut", F.lit(0), lambda acc, c: acc + c["last"] - c["first"] + 1), F.lit(0)).cast("long")
+    kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != counted]
+    return joined.select(*kept, n_cut.alias(counted))
 
 
 def op2_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs; nulls, empty texts and repeated rows as in without_repeats()."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = lambda t: F.when(F.col(t).isNull(), 0).otherwise(F.size(F.split(t, BREAK, -1))).cast("long")
-    return without_repeats(docs.withColumn("n_lines", lines("text"))).select("doc_id", "n_lines", "n_deleted", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", BREAK, -1))).cast("long")
+    return without_repeats(docs.withColumn("n_lines", lines)).select("doc_id", "n_lines", "n_deleted", "text")
