@@ -1,16 +1,23 @@
 """Operator 4: exact top-k search with multi-resolution segment statistics.
 
-A vector is cut into segments, 1, 4 and 16 of them. With a segment's mean m and
-deviation s (of L components), the squared distance of two segments is at least
-L * ((m1 - m2)^2 + (s1 - s2)^2). Summed over the segments this bounds the
+A vector is cut into segments, 1, 4, 16 and 32 of them. With a segment's mean m
+and deviation s (of L components), the squared distance of two segments is at
+least L * ((m1 - m2)^2 + (s1 - s2)^2). Summed over the segments this bounds the
 distance of two vectors from below, the finer the tighter, and so their inner
 product (|a|^2 + |b|^2 - distance^2) / 2 from above, by the sum of
-L * (m1 * m2 + s1 * s2). Rows that cannot reach a query's k-th score so far are
-dropped coarse to fine; the survivors get exact integer products.
+L * (m1 * m2 + s1 * s2).
+
+Two passes over blocks of rows and queries. The first takes each query's rows
+of the best bounds and their exact scores, from all blocks; the k-th of these
+is a floor that the query's results can't be below. The second drops, coarse to
+fine, the pairs whose bound is below the query's floor; the survivors get exact
+integer products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,11 +26,13 @@ from pyspark.sql import functions as F
 from papersluice.session import read_table, written
 
 SCALE = 256
-SEGMENTS = (1, 4, 16)
+SEGMENTS = (1, 4, 16, 32)
 #: Rows and queries that meet in a task, and the least number of row blocks.
 ROWS, QUERIES, BLOCKS = 65_536, 16_384, 64
-#: Rows compared at a time.
-STEP = 1024
+#: Rows and queries compared at a time: bounds the memory of a task.
+STEP, QUERY_STEP = 2048, 1024
+#: Share of live pairs from which a level is worked out for all pairs at once.
+DENSE = 0.1
 
 
 def quantized(vector: Column | str) -> Column:
@@ -47,36 +56,97 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T if most < 2**62 else (a.astype(object) @ b.astype(object).T)
 
 
-def top_k_block(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of the k best rows of each query within a block; ties to the smaller id. A query's own id is no candidate."""
-    best: list[list[tuple]] = [[] for _ in query_ids]
-    floor = np.full(len(query_ids), -np.inf)
-    levels = [statistics(queries, s) for s in SEGMENTS]
-    slack = 1e-9 * np.linalg.norm(queries.astype("f8"), axis=1)
-    for lo in range(0, len(row_ids), STEP):
-        ids, x = row_ids[lo : lo + STEP], rows[lo : lo + STEP]
-        norms = np.linalg.norm(x.astype("f8"), axis=1)
-        qs, xs = np.arange(len(query_ids)), np.arange(len(ids))
-        for level, s in zip(levels, SEGMENTS, strict=True):
-            bound = level[qs] @ statistics(x[xs], s).T + slack[qs, None] * norms[None, xs] + 1e-6
-            alive = bound >= floor[qs, None]
-            qs, xs = qs[alive.any(axis=1)], xs[alive.any(axis=0)]
-            if not len(qs):
-                break
-        if not len(qs) or not len(xs):
-            continue
-        alive = alive[np.ix_(alive.any(axis=1), alive.any(axis=0))]
-        exact = products(queries[qs], x[xs])
-        for i, q in enumerate(qs):
-            at = np.flatnonzero(alive[i] & (exact[i] >= floor[q]) & (ids[xs] != query_ids[q]))
-            if len(at) > 4 * k:
-                kth = np.partition(exact[i][at], len(at) - k)[len(at) - k]
-                at = at[exact[i][at] >= kth]
-            found = sorted(best[q] + [(-int(exact[i][j]), int(ids[xs[j]])) for j in at])[:k]
-            best[q] = found
-            if len(found) == k:
-                floor[q] = -found[-1][0]
-    return [(int(query_ids[q]), v, -s) for q, found in enumerate(best) for s, v in found]
+class Block:
+    """Rows and queries that meet: bounds by level, and exact products of pairs."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray):
+        self.query_ids, self.queries, self.row_ids, self.rows = query_ids, queries, row_ids, rows
+        self.levels = [(statistics(queries, s), statistics(rows, s)) for s in SEGMENTS]
+        norm = lambda x: np.linalg.norm(x.astype("f8"), axis=1)
+        self.slack = 1e-9 * norm(queries)[:, None] * norm(rows)[None, :] + 1e-6
+        self.others = query_ids[:, None] != row_ids[None, :]
+
+    def bounds(self, level: int) -> np.ndarray:
+        q, x = self.levels[level]
+        return q @ x.T + self.slack
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Products of pairs of a query and a row."""
+        most = float(np.abs(self.queries).max(initial=0)) * float(np.abs(self.rows).max(initial=0)) * self.rows.shape[1]
+        if most < 2**53 and len(i) > DENSE * self.others.size:
+            return products(self.queries, self.rows)[i, j]
+        out = [products_of(self.queries[i[lo : lo + STEP]], self.rows[j[lo : lo + STEP]], most) for lo in range(0, len(i), STEP)]
+        return np.concatenate(out) if out else np.zeros(0, "i8")
+
+    def survivors(self, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Pairs whose bounds reach their query's floor on every level, and how many did so by level."""
+        alive, counts = self.others, []
+        i = j = None
+        for level, (q, x) in enumerate(self.levels):
+            if i is None and alive.sum() > DENSE * alive.size:
+                alive = alive & (self.bounds(level) >= floor[:, None])
+            else:
+                if i is None:
+                    i, j = np.nonzero(alive)
+                bound = np.einsum("ab,ab->a", q[i], x[j]) + self.slack[i, j]
+                i, j = i[bound >= floor[i]], j[bound >= floor[i]]
+            counts.append(int(alive.sum()) if i is None else len(i))
+        if i is None:
+            i, j = np.nonzero(alive)
+        return i, j, counts
+
+    def best(self, i: np.ndarray, j: np.ndarray, k: int) -> pd.DataFrame:
+        """Per query the k best of the given pairs: query_id, vec_id, score; ties to the smaller vec_id."""
+        found = pd.DataFrame({"query_id": self.query_ids[i], "vec_id": self.row_ids[j], "score": self.exact(i, j)})
+        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def products_of(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    if most < 2**53:
+        return np.einsum("ab,ab->a", a.astype("f8"), b.astype("f8")).astype("i8")
+    return (a * b).sum(axis=1) if most < 2**62 else (a.astype(object) * b.astype(object)).sum(axis=1)
+
+
+def blocks_of(q: pd.DataFrame, x: pd.DataFrame) -> Iterator[tuple[Block, pd.DataFrame]]:
+    """Blocks of at most QUERY_STEP queries and STEP rows, and the queries of each."""
+    for lo in range(0, len(q), QUERY_STEP):
+        part = q.iloc[lo : lo + QUERY_STEP]
+        queries = np.stack(part["q"].to_numpy())
+        for at in range(0, len(x), STEP):
+            rows = x.iloc[at : at + STEP]
+            yield Block(part["vec_id"].to_numpy(), queries, rows["vec_id"].to_numpy(), np.stack(rows["q"].to_numpy())), part
+
+
+def likely(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query 2 * k rows of the best bounds."""
+    bound = np.where(block.others, block.bounds(len(SEGMENTS) - 1), -np.inf)
+    n = min(2 * k, bound.shape[1])
+    j = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+    i = np.repeat(np.arange(len(bound)), n)
+    own = np.isfinite(bound[i, j.ravel()])
+    return i[own], j.ravel()[own]
+
+
+NONE = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+
+
+def floor_block(x: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Per query the k best exact scores of its likely rows."""
+    if not len(x) or not len(q):
+        return NONE
+    found = pd.concat([block.best(*likely(block, k), k) for block, _ in blocks_of(q, x)])
+    return found.sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(k)
+
+
+def search_block(x: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Per query the k best of the rows that reach its floor."""
+    if not len(x) or not len(q):
+        return NONE
+    found = []
+    for block, part in blocks_of(q, x):
+        i, j, _ = block.survivors(part["floor"].fillna(-np.inf).to_numpy())
+        found.append(block.best(i, j, k))
+    return pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, int, int] = (ROWS, QUERIES, BLOCKS)) -> DataFrame:
@@ -84,32 +154,35 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, blocks: tuple[int,
 
     rows and queries: vec_id long, q array<long> (from quantized()); they are
     dealt into hash blocks, and each pair of blocks meets in one task of bounded
-    size, which keeps its k best per query. Only vectors of equal length are
-    compared; null vectors and null ids take no part; of repeated query ids one
-    vector (the least) counts; repeated rows are candidates each; ties go to
-    the smaller vec_id. Empty tables give an empty result.
+    size. Only vectors of equal length are compared; null vectors and null ids
+    take no part; of repeated query ids one vector (the least) counts; repeated
+    rows are candidates each, but for the query's own id; ties go to the smaller
+    vec_id. Other columns don't matter. Empty tables give an empty result.
     """
     rows = written(rows.where("q IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "q"), "vectors")
     queries = written(queries.where("q IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
-    row_blocks, query_blocks = max(blocks[2], -(-rows.count() // blocks[0])), max(1, -(-queries.count() // blocks[1]))
+    n = rows.count()
+    row_blocks, query_blocks = max(1, min(blocks[2], -(-n // STEP)), -(-n // blocks[0])), max(1, -(-queries.count() // blocks[1]))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("vec_id", "q", F.size("q").alias("dim"), deal(row_blocks).alias("rb"), each(query_blocks).alias("qb"))
-    right = queries.select("vec_id", "q", F.size("q").alias("dim"), deal(query_blocks).alias("qb"), each(row_blocks).alias("rb"))
-    schema = "query_id long, vec_id long, score long"
+    keys, schema = ["rb", "qb", "dim"], "query_id long, vec_id long, score long"
 
-    def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = top_k_block(q["vec_id"].to_numpy(), np.stack(q["q"].to_numpy()), x["vec_id"].to_numpy(), np.stack(x["q"].to_numpy()), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+    def meet(asked: DataFrame, run: Callable) -> DataFrame:
+        left = rows.select(F.col("vec_id").alias("vec_id"), F.col("q").alias("q"), F.size("q").alias("dim"), deal(row_blocks).alias("rb"), each(query_blocks).alias("qb"))
+        right = asked.select("*", F.size("q").alias("dim"), deal(query_blocks).alias("qb"), each(row_blocks).alias("rb"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, q: run(x, q, k), schema)
 
-    met = left.groupBy("rb", "qb", "dim").cogroup(right.groupBy("rb", "qb", "dim")).applyInPandas(meet, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    likely_ones = meet(queries, floor_block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    floors = written(likely_ones.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")), "floors")
+    asked = written(queries.join(floors, "vec_id", "left").select("vec_id", "q", "floor"), "asked")
+    met = meet(asked, search_block)
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every query vector; nulls, ties and repeated rows as in exact_top_k()."""
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", quantized("embedding").alias("q"))
     return exact_top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
 
