@@ -15,5 +15,12 @@ QUERIES = {
     "op8_quality_ledger": quality.op8_quality_ledger,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "quality_ablations": quality.quality_ablations,
+}
+SQL = {
+    "op4_segment_top_k": search.SQL,
+    "op5_incremental_chat": chat.SQL,
+    "op8_quality_ledger": quality.SQL,
+    "op10_curriculum_mix": mixing.SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }
-SQL = {"op4_segment_top_k": search.SQL, "op5_incremental_chat": chat.SQL, "op8_quality_ledger": quality.SQL, "op10_curriculum_mix": mixing.SQL}
