@@ -1,8 +1,8 @@
 """Operator 7: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in the short
-words and the stems (first 3 to 6 letters) of words that it holds,
-a document's is the noisy-or of its sentences', 1 - prod(1 - p): toxic if any
+A document is a bag of sentences. A sentence's score is logistic in the words,
+the stems of words (first 3 to 6 letters) and the inner parts of very long runs
+of letters that it holds, a document's is the noisy-or of its sentences', 1 - prod(1 - p): toxic if any
 sentence is. The weights are trained from labels of documents alone, and the
 trained sentence scores then locate the offending sentences.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from papersluice.llm.text import key_string, whole
 from papersluice.session import read_table, written
 
-#: Features with a weight: those whose counts over all labelled training documents tell the labels apart best, at a G statistic of LEAST_G or more.
-VOCABULARY, LEAST_G = 1024, 8.0
-#: Lengths of stems; words up to the longest are features as a whole too.
-STEMS = (3, 4, 5, 6)
+#: Features get a weight if their counts over all labelled training documents tell the labels apart, at a G statistic of LEAST_G or more
+#: and, so that a larger corpus doesn't let in ever weaker ones, of LEAST_SHARE for each document.
+LEAST_G, LEAST_SHARE = 8.0, 1e-3
+#: Lengths of stems; the most letters of a whole word; runs longer than that are features by inner parts of PART letters.
+STEMS, WHOLE, PART = (3, 4, 5, 6), 24, 6
 #: Words whose features a task remembers.
 REMEMBERED = 300_000
 #: Labelled documents of either label that the weights are fitted on, about: with more, those whose hash is below a threshold. Counts that choose the features use all.
@@ -44,20 +46,23 @@ class Model:
 
 
 def features(word: str) -> list[str]:
-    return [word[:n] for n in STEMS if len(word) >= n] + ([f"{word}$"] if len(word) <= STEMS[-1] else [])
+    found = [word[:n] for n in STEMS if len(word) >= n]
+    if len(word) <= WHOLE:
+        return [*found, f"{word}$"]
+    return [*found, *dict.fromkeys(word[i : i + PART] for i in range(len(word) - PART + 1))]
 
 
 class Known(dict):
-    """Word to those of its features that are in the vocabulary."""
+    """Word to those of its features that are in the vocabulary; to all without one."""
 
-    def __init__(self, vocabulary):
+    def __init__(self, vocabulary=None):
         super().__init__()
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        found = self[word] = tuple(f for f in features(word) if f in self.vocabulary)
+        found = self[word] = tuple(f for f in features(word) if self.vocabulary is None or f in self.vocabulary)
         return found
 
     def of(self, sentence: str) -> set[str]:
@@ -69,32 +74,48 @@ def log_clean(z: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0.0, z)
 
 
-def fit(bags: list[list[list[int]]], empty: list[int], labels: list[int], words: list[str]) -> Model:
-    """Gradient descent (Adam) on the log loss of the noisy-or.
+class Bags:
+    """Documents as bags of sentences, and the log loss of the noisy-or over them.
 
     bags: per document its sentences that hold a feature of the vocabulary, as
-    feature numbers; empty: per document how many other sentences it has.
+    feature numbers; empty: per document how many other sentences it has. The
+    parameters are the weights and, last, the bias.
     """
+
+    def __init__(self, bags: list[list[list[int]]], empty: list[int], labels: list[int], n_words: int):
+        self.y, self.rest, self.n_words = np.asarray(labels, "f8"), np.asarray(empty, "f8"), n_words
+        self.doc = np.array([d for d, bag in enumerate(bags) for _ in bag], "i8")
+        sizes = np.array([len(x) for bag in bags for x in bag], "i8")
+        self.sent = np.repeat(np.arange(len(sizes)), sizes)
+        self.word = np.array([w for bag in bags for x in bag for w in x], "i8")
+
+    def loss(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean log loss plus the weights' decay, and its gradient."""
+        y, v, bias = self.y, self.n_words, theta[-1]
+        z = bias + np.bincount(self.sent, theta[self.word], len(self.doc))
+        log_q = np.bincount(self.doc, log_clean(z), len(y)) + self.rest * log_clean(theta[v:])[0]
+        p = np.clip(-np.expm1(log_q), 1e-12, 1 - 1e-12)
+        pull = np.where(y > 0, -(1 - p) / p, 1.0) / len(y)  # d loss / d(-log_q)
+        dz = pull[self.doc] / (1 + np.exp(-z))
+        g = np.bincount(self.word, dz[self.sent], v + 1) if len(self.word) else np.zeros(v + 1)
+        g[v] = dz.sum() + (pull * self.rest).sum() / (1 + math.exp(-bias))
+        g[:v] += DECAY * theta[:v]
+        value = -np.where(y > 0, np.log(p), np.log1p(-p)).mean() + DECAY / 2 * (theta[:v] ** 2).sum()
+        return float(value), g
+
+
+def fit(bags: list[list[list[int]]], empty: list[int], labels: list[int], words: list[str]) -> Model:
+    """Gradient descent (Adam) on the log loss of the noisy-or."""
     y = np.asarray(labels, "f8")
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 0.5) / (len(y) + 1)
         return Model({}, math.log(share / (1 - share)))
-    doc = np.array([d for d, bag in enumerate(bags) for _ in bag], "i8")
-    sent = np.array([s for s, x in enumerate(x for bag in bags for x in bag) for _ in x], "i8")
-    word = np.array([w for bag in bags for x in bag for w in x], "i8")
-    rest, n, v = np.asarray(empty, "f8"), len(doc), len(words)
+    data, v = Bags(bags, empty, labels, len(words)), len(words)
     theta = np.zeros(v + 1)
     theta[v] = -5.0
     m, s = np.zeros(v + 1), np.zeros(v + 1)
     for t in range(1, ROUNDS + 1):
-        z = theta[v] + np.bincount(sent, theta[word], n)
-        log_q = np.bincount(doc, log_clean(z), len(y)) + rest * log_clean(theta[v : v + 1])[0]
-        p = np.clip(-np.expm1(log_q), 1e-12, 1 - 1e-12)
-        pull = np.where(y > 0, -(1 - p) / p, 1.0) / len(y)  # d loss / d(-log_q)
-        dz = pull[doc] / (1 + np.exp(-z))
-        g = np.bincount(word, dz[sent], v + 1) if len(word) else np.zeros(v + 1)
-        g[v] = dz.sum() + (pull * rest).sum() / (1 + math.exp(-theta[v]))
-        g[:v] += DECAY * theta[:v]
+        _, g = data.loss(theta)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
     return Model({w: round(float(x), 9) for w, x in zip(words, theta[:v], strict=True) if abs(x) > 1e-6}, round(float(theta[v]), 9))
@@ -105,18 +126,29 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(key_string(doc_id)) % 3 != 1
 
 
+def tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per batch and feature: documents that hold it, and those of label 1."""
+    known = Known()
+    for batch in batches:
+        every, toxic = Counter(), Counter()
+        for text, label in zip(batch["text"], batch["label"], strict=True):
+            found = {f for w in set(WORD.findall(text.lower())) for f in known[w]}
+            every.update(found)
+            if label:
+                toxic.update(found)
+        yield pd.DataFrame({"word": list(every), "t": list(every.values()), "a": [toxic[w] for w in every]})
+
+
 def train(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, label (0 or 1, others don't count).
 
     The features are chosen by the G statistic of document counts over every
     row. The weights are fitted on about FIT_ROWS rows of either label; only
-    their features of the vocabulary reach the driver. Without rows, or with one label alone, every score is that label's
-    smoothed share.
+    their features of the vocabulary reach the driver. Null texts are empty,
+    repeated rows count each. Without rows, or with one label alone, every
+    score is that label's smoothed share.
     """
     rows = written(labelled.where("label IN (0, 1)").select("doc_id", whole("text").alias("text"), "label"), "labelled")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    stems = lambda w: [F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in STEMS]
-    each = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*stems(w), F.when(F.length(w) <= STEMS[-1], F.concat(w, F.lit("$")))))))
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
     if not 0 < totals["k"] < totals["n"]:
         return fit([], [], [0] * (totals["n"] - totals["k"]) + [1] * totals["k"], [])
@@ -124,8 +156,9 @@ def train(labelled: DataFrame) -> Model:
     cell = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     a, t = F.col("a").cast("double"), F.col("t").cast("double")
     g = cell(a, t * k / n) + cell(t - a, t * (n - k) / n) + cell(k - a, (n - t) * k / n) + cell(n - k - t + a, (n - t) * (n - k) / n)
-    counts = rows.select(F.explode(each).alias("word"), "label").where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("t"), F.sum("label").alias("a"))
-    top = [r["word"] for r in counts.where("t >= 3").select("word", F.round(g, 6).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()]
+    counts = rows.select("text", "label").mapInPandas(tallies, "word string, t long, a long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("a").alias("a"))
+    telling = counts.where("t >= 3").select("word", F.round(g, 6).alias("g")).where(F.col("g") >= max(LEAST_G, LEAST_SHARE * n))
+    top = [r["word"] for r in telling.orderBy(F.desc("g"), "word").collect()]
     number = {w: i for i, w in enumerate(top)}
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,10 +183,14 @@ def _sentences(bag: bytes) -> list[np.ndarray]:
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs, without its text, with score and offending: the spans (start, end, score) of sentences that alone reach CUT.
 
-    Whole texts are scored; a null or empty text is one sentence without words.
+    Whole texts are scored; a null or empty text is one sentence without words;
+    repeated rows are scored alike; an empty table gives an empty result. Other
+    columns pass through, whatever their names; ones named score or offending
+    are replaced.
     """
-    keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1] + ", score double, offending array<struct<start:int,end:int,score:double>>"
+    keep = [c for c in docs.columns if c not in (text, "score", "offending")]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], whole(F.col(f"`{text}`")).alias("_text"))
+    schema = ", ".join([inner.drop("_text").schema.simpleString()[len("struct<") : -1]] * bool(keep) + ["score double", "offending array<struct<start:int,end:int,score:double>>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, known, bias, low = model.weights, Known(model.weights), model.bias, -math.log1p(math.exp(model.bias))
@@ -174,10 +211,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out["score"], out["offending"] = scores, spans
             yield out
 
-    return docs.select(*keep, whole(text).alias("_text")).mapInPandas(run, schema)
+    done = inner.mapInPandas(run, schema)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "offending")
 
 
 def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, empty and long texts, repeated rows as in scored(). Labels of held-out rows are never read."""
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
     known = labels.where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     model = train(docs.where(in_training(F.col("doc_id"))).join(known.hint("merge"), "doc_id"))
