@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ END = 1
 BUCKET = 2048
 #: Vocabulary file of tokenizers, by its name in public_tokenizers or by its path.
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct chunks of text whose ids a task remembers, and the most characters of one.
-REMEMBERED, LONGEST = 200_000, 64
+#: Distinct chunks of text whose ids a worker remembers, twice so many at most, and the most characters of one.
+REMEMBERED, LONGEST = 300_000, 64
 #: Texts whose new chunks are encoded together.
 TOGETHER = 256
 
@@ -52,26 +53,29 @@ class IdBytes:
     The pre-tokenizer always cuts before a blank between two characters that
     are no white space, and added tokens hold no blank, so a text's ids are
     those of the chunks between such cuts, and the ids of chunks are
-    remembered. Chunks keep all other white space.
+    remembered: of two generations the older is forgotten when the younger is
+    full. Chunks keep all other white space.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
-        self.tokenizer, self.known, self.most = load_tokenizer(vocabulary), {}, remembered
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"\s (?:\s|\Z)", *added])).search
+        self.tokenizer, self.known, self.older, self.most = load_tokenizer(vocabulary), {}, {}, remembered
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile(r"\s (?:\s|\Z)").search
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The first chunk of a text stands for itself, the others follow a blank."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        parts = [self.cuts(t) if self.odd(t) else t.split(" ") for t in texts]
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        parts = [self.cuts(t) if self.odd(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         heads = list({p[0] for p in parts})
-        chunks = list({c for p in parts for c in set(p[1:]) - known.keys()})
+        new = [c for c in set().union(*(p[1:] for p in parts)) if c not in known]
+        known.update((c, older[c]) for c in new if c in older)
+        chunks = [c for c in new if c not in known]
         coded = self._fresh([*heads, *(f" {c}" for c in chunks)])
         first = dict(zip(heads, coded, strict=False))
         known.update(zip(chunks, coded[len(heads) :], strict=True))
@@ -82,8 +86,14 @@ class IdBytes:
         return out
 
 
+@lru_cache(maxsize=2)
+def id_bytes(vocabulary: str) -> IdBytes:
+    """One for all tasks of a worker."""
+    return IdBytes(vocabulary)
+
+
 def _pieces_of(rows: Iterator[pd.DataFrame], text: str, window: int, end: int, vocabulary: str, keep_ids: bool) -> Iterator[pd.DataFrame]:
-    ids_of, tail = IdBytes(vocabulary), np.array([end], "<u4").tobytes()
+    ids_of, tail = id_bytes(vocabulary), np.array([end], "<u4").tobytes()
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     for batch in rows:
         for lo in range(0, len(batch), TOGETHER):
