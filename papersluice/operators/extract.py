@@ -50,8 +50,13 @@ def name_rc(d: Dialect, t: str) -> str:
     return f"({_none_of(t, rules.NOT_NAMES['vehicle_rc'])} AND {d.like(f'trim({t})', r'^\pL{2,}(\s+\pL{2,})+$')})"
 
 
+def arabic(t: str) -> str:
+    """Devanagari digits as Arabic ones."""
+    return f"translate({t}, '०१२३४५६७८९', '0123456789')"
+
+
 def is_aadhaar(d: Dialect, t: str) -> str:
-    return d.like(t, "^[2-9][0-9]{11}$")
+    return d.like(arabic(t), "^[2-9][0-9]{11}$")
 
 
 def is_pan(d: Dialect, t: str) -> str:
@@ -83,7 +88,7 @@ def _valid(d: Dialect, candidates: str, test) -> str:
 
 def aadhaar(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E741
     strip = lambda x: d.sub(x, r"[\s.-]+", "")
-    fours = d.keep(w, lambda x: d.like(x, "^[0-9]{4}$"))
+    fours = d.keep(d.map(w, lambda x: d.sub(arabic(x), "[^0-9]", "")), lambda x: f"length({x}) = 4")
     runs = d.map(d.range("0", f"{d.size(fours)} - 2"), lambda i: f"concat({d.at(fours, i)}, {d.at(fours, f'{i} + 1')}, {d.at(fours, f'{i} + 2')})", "i")
     near = strip(d.first(t, r"(?is)(?:aadhaar|आधार).*?([0-9]{4}[\s.-]*[0-9]{4}[\s.-]*[0-9]{4})"))
     number = f"""coalesce({_valid(d, d.map(d.all(t, r'\b([0-9]{4}[\s.-]+[0-9]{4}[\s.-]+[0-9]{4})\b'), strip), is_aadhaar)},
@@ -98,8 +103,9 @@ def aadhaar(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E741
     name = f"""coalesce({_valid(d, d.map(d.all(t, r'(?i)(?:name|नाम|नामा|नाभ)\s*[:.-]?\s*([A-Za-z \t]{3,50})'), clean), name_aadhaar)}, {by_line},
       {_valid(d, d.map(d.all(t, r'([A-Z][A-Za-z]{2,}(?:[ \t@:.,]+[A-Z][A-Za-z]+)*)'), clean), name_aadhaar)})"""
     label = r"(?i)(?:dob|d0b|date\s+of\s+birth|जन्म\s+तिथि|dop)[/\s\w]*\s*[:.-]?\s*"
-    eight = d.first(t, label + r"([0-9]{8})")
-    dob = f"coalesce({if_plausible(d, d.first(t, label + f'({DATE})'))}, {if_plausible(d, f'''concat(substring({eight}, 1, 2), '/', substring({eight}, 3, 2), '/', substring({eight}, 5))''')}, {if_plausible(d, d.first(t, f'({FULL_DATE})'))})"
+    a = arabic(t)
+    eight = d.first(a, label + r"([0-9]{8})")
+    dob = f"coalesce({if_plausible(d, d.first(a, label + f'({DATE})'))}, {if_plausible(d, f'''concat(substring({eight}, 1, 2), '/', substring({eight}, 3, 2), '/', substring({eight}, 5))''')}, {if_plausible(d, d.first(a, f'({FULL_DATE})'))})"
     word = lambda k: d.like(t, rf"(?i)\b{k}\b")
     gender = f"CASE WHEN {word('MALE')} THEN 'Male' WHEN {word('FEMALE')} THEN 'Female' WHEN {word('TRANSGENDER')} THEN 'Other' WHEN contains({t}, 'पुरुष') THEN 'Male' WHEN contains({t}, 'महिला') THEN 'Female' END"
     after_label = d.first(t, r"(?is)(?:address|पता)\s*:?\s*(.{20,200})")
@@ -114,8 +120,8 @@ def aadhaar(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E741
         "date_of_birth": dob,
         "gender": gender,
         "address": address,
-        "pin_code": d.head(d.keep(d.all(t, r"\b([0-9]{6})\b"), lambda x: f"substring({x}, 1, 1) <> '0'")),
-        "enrollment_id": d.first(t, r"\b([0-9]{4}/[0-9]{5}/[0-9]{5})\b"),
+        "pin_code": d.head(d.keep(d.all(a, r"\b([0-9]{6})\b"), lambda x: f"substring({x}, 1, 1) <> '0'")),
+        "enrollment_id": d.first(a, r"\b([0-9]{4}/[0-9]{5}/[0-9]{5})\b"),
     }
 
 

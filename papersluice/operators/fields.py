@@ -40,7 +40,7 @@ def schema_scores(docs: DataFrame, fields: DataFrame, weights: DataFrame, requir
 def field_confidence(fields: DataFrame, words: DataFrame) -> DataFrame:
     """Per field: mean confidence of the document's words that its value holds or that hold it, and the combined confidence with a good position. Fields without such words fall back to the mean of the document's words."""
     v, t = F.lower(F.replace("value", F.lit(" "), F.lit(""))), F.lower(F.trim("text"))
-    w = words.select("doc_id", t.alias("t"), (F.col("confidence") / 100).alias("c")).where("t <> ''")
+    w = words.select("doc_id", t.alias("t"), F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")).alias("c")).where("t <> ''")
     mean = w.groupBy("doc_id").agg(F.avg("c").alias("fallback"))
     met = fields.withColumn("v", v).join(w, "doc_id").where(F.contains("v", "t") | F.contains("t", "v")).groupBy("doc_id", "field_name").agg(F.avg("c").alias("ocr"), F.count("*").alias("n_words"))
     out = fields.join(met, ["doc_id", "field_name"], "left").join(mean, "doc_id", "left").withColumn("ocr", F.coalesce("ocr", "fallback"))

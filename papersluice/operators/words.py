@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papersluice.functions.text import is_numeric, is_stopword
+from papersluice.functions.text import devanagari_digits, is_numeric, is_stopword
 from papersluice.sources import rules
 
 
@@ -69,8 +69,8 @@ def ocr_score() -> Column:
 
 
 def digit_runs(words: DataFrame) -> DataFrame:
-    """Three consecutive words of four digits, among a document's words of digits: doc_id, value."""
+    """Three consecutive words of four digits, among a document's words that have four once everything else is stripped: doc_id, value."""
     order = Window.partitionBy("doc_id").orderBy("line_num", "word_num")
-    digits = words.where(F.col("text").rlike(r"^[0-9]{4}\z"))
+    digits = words.withColumn("text", F.regexp_replace(devanagari_digits(F.col("text")), "[^0-9]", "")).where(F.length("text") == 4)
     three = digits.select("doc_id", "line_num", "word_num", F.concat("text", F.lead("text", 1).over(order), F.lead("text", 2).over(order)).alias("value"))
     return three.where("value IS NOT NULL")

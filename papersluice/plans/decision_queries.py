@@ -10,21 +10,27 @@ from papersluice.plans import triage as tr
 from papersluice.session import read_table
 from papersluice.sources import fixtures, rules
 
-_METRICS = """CAST(200 + abs(c_acctbal) / 10 AS DOUBLE) AS blur_score, CAST(15 + c_custkey % 220 AS DOUBLE) AS brightness_score, CAST(100000 * (1 + c_custkey % 25) AS DOUBLE) AS resolution_score,
-  CAST((c_custkey % 19 + 3) / CAST(20 AS DOUBLE) AS DOUBLE) AS contrast_score, CAST(0.01 AS DOUBLE) AS edge_density, CAST((c_custkey % 12) / CAST(230 AS DOUBLE) AS DOUBLE) AS glare_ratio"""
+_METRICS = """CAST(200 + abs(c_acctbal) / 10 AS DOUBLE) AS blur_score, CAST(15 + doc_id % 220 AS DOUBLE) AS brightness_score, CAST(100000 * (1 + doc_id % 25) AS DOUBLE) AS resolution_score,
+  CAST((doc_id % 19 + 3) / CAST(20 AS DOUBLE) AS DOUBLE) AS contrast_score, CAST(0.01 AS DOUBLE) AS edge_density, CAST((doc_id % 12) / CAST(230 AS DOUBLE) AS DOUBLE) AS glare_ratio"""
 
 
-def input_sql(d: Dialect, customer: str, clean: bool = False) -> str:
-    """Card texts as documents with lines and image metrics."""
+#: What else is known of a document; planted flags for the query that shows every arm of the decision.
+_FLAGS = "false AS conflicting_schemas, false AS multi_document, '' AS rule_failures"
+_PLANTED = """doc_id % 23 = 5 AS conflicting_schemas, doc_id % 11 = 4 AS multi_document,
+  CASE WHEN c_acctbal > 6000 THEN 'Amount too large in total_amount' ELSE '' END AS rule_failures"""
+
+
+def input_sql(d: Dialect, customer: str, clean: bool = False, flags: str = _FLAGS) -> str:
+    """Card texts as documents with lines, image metrics and flags, all from one scan."""
     lines = d.split("full_text", "chr(10)")
     each = d.map(d.range("0", d.size(lines)), lambda i: d.struct(text=d.at("ls", i), confidence=f"CAST(50 + (doc_id * 31 + {i} * 17) % 50 AS DOUBLE)"), "i")
-    cards = fixtures.cards_sql(customer, clean)
-    return f"""(SELECT doc_id, {each.replace(d.size(lines), d.size("ls"))} AS lines, blur_score, brightness_score, resolution_score, contrast_score, edge_density, glare_ratio
-  FROM (SELECT doc_id, {lines} AS ls FROM ({cards}) c0) c JOIN (SELECT c_custkey, {_METRICS} FROM {customer}) m ON c.doc_id = m.c_custkey)"""
+    cards = fixtures.cards_sql(customer, clean, ", c_acctbal")
+    return f"""(SELECT doc_id, {each.replace(d.size(lines), d.size("ls"))} AS lines, {_METRICS}, {flags}
+  FROM (SELECT doc_id, c_acctbal, {lines} AS ls FROM ({cards}) c0) c)"""
 
 
-def card_input(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
-    return tr.settled(spark.sql(f"SELECT * FROM {input_sql(SPARK, '_customers', clean)}".replace("{", "{{").replace("}", "}}").replace("_customers", "{customer}"), customer=fixtures.customers(spark, sf_dir)))
+def card_input(spark: SparkSession, sf_dir: str, clean: bool = False, flags: str = _FLAGS) -> DataFrame:
+    return tr.settled(spark.sql(f"SELECT * FROM {input_sql(SPARK, '_customers', clean, flags)}".replace("{", "{{").replace("}", "}}").replace("_customers", "{customer}"), customer=fixtures.customers(spark, sf_dir)))
 
 
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,12 @@ def full_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "doc_type", "decision", F.round("final_score", 9).alias("final_score"), "hard_rejection", F.array_join("reasons", "; ").alias("reasons"), F.size("fields").alias("n_fields"), "total_words")
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision on cards of which some have conflicting schemas, several documents or failed business rules."""
+    out = tr.triage(card_input(spark, sf_dir, flags=_PLANTED))
+    return out.select("doc_id", "decision", "hard_rejection", F.round("final_score", 9).alias("final_score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [c for c in tr.RESULT if c.endswith("_score")]
     return triaged(spark, sf_dir).select("doc_id", *[F.round(c, 9).alias(c) for c in names])
@@ -98,7 +110,7 @@ def threshold_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(t["accept"]).alias("accept"), F.lit(t["review"]).alias("review"), (F.col("final_score") >= t["accept"]).alias("above_accept"), (F.col("final_score") >= t["review"]).alias("above_review")).groupBy("accept", "review", "above_accept", "above_review").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (full_triage, document_confidence, quality_gate, api_view, decision_summary, typed_documents, batch, error_rows, threshold_info)}
+QUERIES = {f.__name__: f for f in (full_triage, decisions, document_confidence, quality_gate, api_view, decision_summary, typed_documents, batch, error_rows, threshold_info)}
 _BRANCHES, _BASE = tr.triage_sql(DUCK, input_sql(DUCK, "customer"))
 _WITH = f"WITH base AS (SELECT * FROM {_BASE} b), tri AS (SELECT * FROM {_BRANCHES} t)"
 _VALUE = lambda *names: "coalesce(" + ", ".join(f"list_filter(fields, lambda x: x.field_name = '{n}')[1].value" for n in names) + ")"
@@ -107,7 +119,30 @@ _KEY = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN '{next(iter(fs))}'" for k,
 _ROW = "doc_id, doc_type, decision, round(final_score, 9) AS final_score, hard_rejection, array_to_string(reasons, '; ') AS reasons"
 _NOISE = "len(list_filter(lines, lambda x: regexp_matches(x.text, '^###'))) > 0"
 _ERROR = f"SELECT doc_id, CAST(NULL AS VARCHAR) AS doc_type, 'error' AS decision, 0.0::DOUBLE AS final_score, true AS hard_rejection, 'Processing error: unreadable lines' AS reasons FROM {input_sql(DUCK, 'customer')} n WHERE {_NOISE}"
+#: The chain of decisions, written apart from the stages; only the scores come from there.
+_D_BRANCHES, _D_BASE = tr.triage_sql(DUCK, input_sql(DUCK, "customer", flags=_PLANTED))
+_SCORE = "printf('%.2f', floor(weighted_score * 100 + 0.5) / 100)"
+_DECISIONS = f"""WITH base AS (SELECT * FROM {_D_BASE} b), tri AS (SELECT * FROM {_D_BRANCHES.replace("SELECT " + ", ".join(tr.RESULT), "SELECT *").replace("UNION ALL", "UNION ALL BY NAME")} t),
+  a AS (SELECT *, CASE WHEN total_words = 0 THEN 1 WHEN NOT quality_passed THEN 2 WHEN NOT mandatory_present THEN 3 WHEN special_share > 0.85 THEN 4 WHEN conflicting_schemas THEN 5
+      WHEN multi_document THEN 6 WHEN weighted_score >= 0.85 THEN 7 WHEN weighted_score >= 0.6 THEN 8 ELSE 9 END AS step,
+      CASE WHEN missing_critical <> '' THEN 'Missing critical field(s): ' || missing_critical END AS gap, rule_failures <> '' OR missing_critical <> '' AS failed FROM tri)
+SELECT doc_id, CASE WHEN step <= 5 OR step = 9 THEN 'reject' WHEN step = 7 AND NOT failed THEN 'accept' ELSE 'review' END AS decision, step <= 5 AS hard_rejection, CASE WHEN step = 1 THEN 0 ELSE round(weighted_score, 9) END AS final_score,
+  concat_ws('; ', nullif(rule_failures, ''), gap, CASE step WHEN 1 THEN 'No text detected in image' WHEN 2 THEN 'Image failed quality gate' WHEN 3 THEN 'Mandatory fields are missing'
+      WHEN 4 THEN 'Excessive non-alphanumeric content (' || printf('%.1f', special_share * 100) || '%)' WHEN 5 THEN 'Conflicting document schemas detected (multiple documents in image)'
+      WHEN 6 THEN 'Multiple documents detected without clear best candidate'
+      WHEN 7 THEN CASE WHEN failed THEN 'Downgraded to REVIEW due to business rule failures' ELSE 'Confidence score ' || {_SCORE} || ' exceeds accept threshold 0.85' END
+      WHEN 8 THEN 'Confidence score ' || {_SCORE} || ' in review range [0.6, 0.85)' ELSE 'Confidence score ' || {_SCORE} || ' below review threshold 0.6' END,
+    CASE WHEN step = 7 AND image_quality_score > 0.8 THEN 'High image quality' END, CASE WHEN step = 7 AND schema_score > 0.9 THEN 'Strong schema completeness' END,
+    CASE WHEN step = 7 AND regex_score > 0.9 THEN 'Strong regex matches' END, CASE WHEN step = 7 AND consistency_score > 0.9 THEN 'Excellent consistency checks' END,
+    CASE WHEN step = 8 AND image_quality_score < 0.6 THEN 'Low image quality' END, CASE WHEN step = 8 AND ocr_confidence_score < 0.7 THEN 'Low OCR confidence' END,
+    CASE WHEN step = 8 AND schema_score < 0.7 THEN 'Incomplete schema' END, CASE WHEN step = 8 AND regex_score < 0.7 THEN 'Weak regex matches' END,
+    CASE WHEN step = 8 AND layout_score < 0.5 THEN 'Poor layout match' END, CASE WHEN step = 8 AND consistency_score < 0.7 THEN 'Consistency issues detected' END,
+    CASE WHEN step = 9 AND image_quality_score < 0.5 THEN 'Very poor image quality' END, CASE WHEN step = 9 AND ocr_confidence_score < 0.5 THEN 'Very low OCR confidence' END,
+    CASE WHEN step = 9 AND schema_score < 0.5 THEN 'Failed schema validation' END, CASE WHEN step = 9 AND regex_score < 0.5 THEN 'Failed regex validation' END,
+    CASE WHEN step = 9 AND layout_score < 0.3 THEN 'Layout does not match expected template' END, CASE WHEN step = 9 AND consistency_score < 0.5 THEN 'Failed consistency checks' END) AS reasons
+FROM a"""
 SQL = {
+    "decisions": _DECISIONS,
     "full_triage": f"{_WITH} SELECT {_ROW}, len(fields) AS n_fields, total_words FROM tri",
     "document_confidence": f"{_WITH} SELECT doc_id, {', '.join(f'round({c}, 9) AS {c}' for c in tr.RESULT if c.endswith('_score'))} FROM tri",
     "quality_gate": f"SELECT doc_id, quality_passed, array_to_string(quality_reasons, '; ') AS reasons, round(image_quality_score, 9) AS score, blur_score FROM {staged(DUCK, '(' + fixtures.METRICS.format(table='lineitem') + ')', [tr.quality_gate(DUCK), tr.quality_parts(DUCK), tr.quality_score(DUCK)])} m",

@@ -110,7 +110,7 @@ SQL = {
       SELECT doc_id, a, b, round((iw * ih)::DOUBLE / (s - iw * ih), 9) AS iou FROM p WHERE iw > 0 AND ih > 0 AND (iw * ih)::DOUBLE / (s - iw * ih) >= 0.1""",
     "region_topk": f"SELECT doc_id, region_id, CAST(rank AS INT) AS rank, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, region_id) AS rank FROM {_R} r) k WHERE rank <= 5",
     "box_neighbours": f"SELECT a.doc_id, a.line_num AS a, b.line_num AS b FROM {_LINES} a JOIN {_LINES} b ON a.doc_id = b.doc_id AND a.line_num < b.line_num AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500",
-    "words_in_region": f"""SELECT w.doc_id, region_id, string_agg(text, ' ' ORDER BY line_num, word_num) AS text, count(*) AS n_words FROM {sql.words(fixtures.CARD_LINES)} w JOIN (SELECT * FROM {_regions_sql(fixtures.CARD_LINES)} q WHERE region_id < 3) r
+    "words_in_region": f"""SELECT w.doc_id, region_id, string_agg(text, ' ' ORDER BY line_num, word_num) AS text, count(*) AS n_words FROM {sql.words(fixtures.CARD_LINES)} w JOIN {_regions_sql(fixtures.CARD_LINES)} r
       ON w.doc_id = r.doc_id AND w.x + w.w // 2 BETWEEN r.x AND r.x + r.w AND w.y + w.h // 2 BETWEEN r.y AND r.y + r.h GROUP BY w.doc_id, region_id""",
     "spatial_score": spatial_sql(fixtures.CARD_LINES),
 }

@@ -95,8 +95,8 @@ SQL = {
     "explode_words": f"SELECT * FROM {_WORDS} w",
     "word_filters": f"SELECT * FROM {_WORDS} w WHERE confidence >= 80 AND is_numeric",
     "ocr_confidence": f"SELECT * FROM {sql.stats(_WORDS)} s",
-    "digit_triples": f"""SELECT * FROM (SELECT doc_id, line_num, word_num, text || lead(text, 1) OVER o || lead(text, 2) OVER o AS value
-        FROM {sql.words(fixtures.CARD_LINES)} w WHERE regexp_full_match(text, '[0-9]{{4}}') WINDOW o AS (PARTITION BY doc_id ORDER BY line_num, word_num)) t WHERE value IS NOT NULL""",
+    "digit_triples": f"""SELECT * FROM (SELECT doc_id, line_num, word_num, s || lead(s, 1) OVER o || lead(s, 2) OVER o AS value
+        FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS s FROM {sql.words(fixtures.CARD_LINES)} w0) w WHERE length(s) = 4 WINDOW o AS (PARTITION BY doc_id ORDER BY line_num, word_num)) t WHERE value IS NOT NULL""",
     "token_distribution": f"""SELECT doc_id, doc_type, digit_ratio, special_ratio, {_DIST} AS distribution_score FROM (SELECT doc_id, doc_type, text,
         {_ratio("text", "[^0-9]")} AS digit_ratio, {_ratio("text", "[\\pL\\pN\\s]")} AS special_ratio FROM {sql.classified("documents", "coalesce(text, '')", "doc_id, text")} c) d""",
     "kv_scores": """SELECT doc_id, least(1.0, 0.5 + CASE WHEN contains(lower(text), 'total') AND regexp_matches(text, '[0-9]') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(text), 'invoice') THEN 0.2 ELSE 0 END)::DOUBLE AS kv_invoice,

@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 from papersluice.functions.dialect import SPARK, Dialect, Stage
 from papersluice.operators import extract
+from papersluice.session import written
 from papersluice.sources import rules
 
 #: What the stages start from. Metrics may be null: the image isn't judged then.
 INPUT = "doc_id BIGINT, lines ARRAY<STRUCT<text STRING, confidence DOUBLE>>, blur_score DOUBLE, brightness_score DOUBLE, resolution_score DOUBLE, contrast_score DOUBLE, edge_density DOUBLE, glare_ratio DOUBLE"
+#: Further columns of the input, and what they are where it has none: schemas that conflict, several documents in one image, failed business rules.
+FLAGS = {"conflicting_schemas": "false", "multi_document": "false", "rule_failures": "''"}
 RESULT = [
     "doc_id", "doc_type", "decision", "final_score", "hard_rejection", "reasons", "fields", "image_quality_score", "ocr_confidence_score", "regex_score", "fuzzy_score", "layout_score", "kv_score",
     "consistency_score", "schema_score", "distribution_score", "spatial_score", "total_words", "mandatory_present", "quality_passed", "missing_critical",
 ]
 
 
+#: What the branches need of the common stages.
+BASE = ["doc_id", "doc_type", "full_text", "line_texts", "word_texts", "total_words", "quality_passed", "image_quality_score", "ocr_confidence_score", *FLAGS]
+
+
 def quality_gate(d: Dialect) -> Stage:
     q, n = rules.QUALITY, d.number
     why = d.array(
@@ -155,6 +162,7 @@ def decided(d: Dialect) -> list[Stage]:
     """The chain of rules: each arm gives a decision and appends its reasons."""
     t, dbl = rules.THRESHOLDS, d.double
     arm = f"""CASE WHEN total_words = 0 THEN 'no_text' WHEN NOT quality_passed THEN 'quality' WHEN NOT mandatory_present THEN 'mandatory' WHEN special_share > {t['max_non_alphanumeric']} THEN 'special'
+      WHEN conflicting_schemas THEN 'conflict' WHEN multi_document THEN 'several' WHEN weighted_score >= {t['accept']} AND (rule_failures <> '' OR missing_critical <> '') THEN 'lowered'
       WHEN weighted_score >= {t['accept']} THEN 'accept' WHEN weighted_score >= {t['review']} THEN 'review' ELSE 'low' END"""
     notes = {
         "accept": [("image_quality_score > 0.8", "High image quality"), ("schema_score > 0.9", "Strong schema completeness"), ("regex_score > 0.9", "Strong regex matches"), ("consistency_score > 0.9", "Excellent consistency checks")],
@@ -163,18 +171,19 @@ def decided(d: Dialect) -> list[Stage]:
     }
     shown = f"concat('Confidence score ', {d.number('weighted_score', 2)}, "
     reasons = [
+        "CASE WHEN rule_failures <> '' THEN rule_failures END",
         "CASE WHEN missing_critical <> '' THEN concat('Missing critical field(s): ', missing_critical) END",
-        "CASE arm WHEN 'no_text' THEN 'No text detected in image' WHEN 'quality' THEN 'Image failed quality gate' WHEN 'mandatory' THEN 'Mandatory fields are missing' END",
+        "CASE arm WHEN 'no_text' THEN 'No text detected in image' WHEN 'quality' THEN 'Image failed quality gate' WHEN 'mandatory' THEN 'Mandatory fields are missing' WHEN 'conflict' THEN 'Conflicting document schemas detected (multiple documents in image)' WHEN 'several' THEN 'Multiple documents detected without clear best candidate' WHEN 'lowered' THEN 'Downgraded to REVIEW due to business rule failures' END",
         f"CASE WHEN arm = 'special' THEN concat('Excessive non-alphanumeric content (', {d.number('special_share * 100', 1)}, '%)') END",
         f"""CASE arm WHEN 'accept' THEN {shown}' exceeds accept threshold {t['accept']}') WHEN 'review' THEN {shown}' in review range [{t['review']}, {t['accept']})')
           WHEN 'low' THEN {shown}' below review threshold {t['review']}') END""",
-        *[f"CASE WHEN arm = '{a}' AND {when} THEN '{said}' END" for a, pairs in notes.items() for when, said in pairs],
+        *[f"CASE WHEN arm {'IN (' + repr(a) + ', ' + repr('lowered') + ')' if a == 'accept' else '= ' + repr(a)} AND {when} THEN '{said}' END" for a, pairs in notes.items() for when, said in pairs],
     ]
     return [
         {"arm": arm},
         {
-            "decision": "CASE arm WHEN 'accept' THEN 'accept' WHEN 'review' THEN 'review' ELSE 'reject' END",
-            "hard_rejection": "arm IN ('no_text', 'quality', 'mandatory', 'special')",
+            "decision": "CASE WHEN arm = 'accept' THEN 'accept' WHEN arm IN ('review', 'several', 'lowered') THEN 'review' ELSE 'reject' END",
+            "hard_rejection": "arm IN ('no_text', 'quality', 'mandatory', 'special', 'conflict')",
             "final_score": f"CASE WHEN arm = 'no_text' THEN {dbl(0)} ELSE weighted_score END",
             "reasons": d.keep(d.array(*reasons), lambda x: f"{x} IS NOT NULL"),
         },
@@ -195,8 +204,14 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def triage(docs: DataFrame) -> DataFrame:
-    """docs with the columns of INPUT to RESULT; tables or streams."""
+    """docs with the columns of INPUT, and those of FLAGS where known, to RESULT; tables or streams.
+
+    Of a table, what all types share is written once and read by the branches.
+    """
+    docs = docs.withColumns({c: F.expr(v) for c, v in FLAGS.items() if c not in docs.columns})
     base = settled(run_stages(docs, common(SPARK)))
+    if not docs.isStreaming:
+        base = written(base.select(*BASE), "typed")
     out = None
     for kind in rules.TYPES:
         part = run_stages(base.where(F.col("doc_type") == kind), branch(SPARK, kind)).select(*RESULT)

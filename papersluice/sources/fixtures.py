@@ -16,11 +16,11 @@ LEFT, INDENT, HEIGHT, PITCH, CHAR, LONGEST = 40, 700, 18, 30, 8, 12
 PAGE_W, PAGE_H, PADDING = 1000, 1400, 20
 
 
-def cards_sql(customer: str, clean: bool = False) -> str:
-    """Identity-card texts rendered from customers; clean: the second recognition pass, without confused characters and missing names."""
+def cards_sql(customer: str, clean: bool = False, more: str = "") -> str:
+    """Identity-card texts rendered from customers; clean: the second recognition pass, without confused characters and missing names; more: further columns of customers."""
     confused, no_name = ("false", "false") if clean else ("c_custkey % 7 = 0", "c_custkey % 13 = 0")
     return f"""
-SELECT doc_id, true_type, CASE true_type
+SELECT doc_id{more}, true_type, CASE true_type
   WHEN 'noise' THEN concat('### ', l3, ' ***')
   WHEN 'pan' THEN concat_ws(chr(10), 'INCOME TAX DEPARTMENT', 'GOVT. OF INDIA',
      CASE WHEN no_name THEN NULL ELSE concat('RA', l3, ' KU', l1, 'AR') END,
@@ -42,7 +42,7 @@ SELECT doc_id, true_type, CASE true_type
      concat('Engine No: E', l3, d4), concat('Chassis No: MA3', l3, d4, e4),
      concat('Reg Date: ', dd, '/', mm, '/', yyyy), 'Fuel: PETROL', 'Class: LMV', 'Seating Cap: 5',
      concat('Insurance upto: ', dd, '/', mm, '/2030'), concat('Mfg Date: ', mm, '/', yyyy)) END AS full_text
-FROM (SELECT c_custkey AS doc_id,
+FROM (SELECT c_custkey AS doc_id{more},
     CASE WHEN c_custkey % 20 = 19 THEN 'noise' WHEN c_custkey % 3 = 0 THEN 'aadhaar'
          WHEN c_custkey % 3 = 1 THEN 'pan' ELSE 'vehicle_rc' END AS true_type,
     translate(lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '0123456789', 'ABCDEFGHIJ') AS l3,
