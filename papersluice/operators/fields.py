@@ -17,11 +17,13 @@ def _cases(kind: str, pick: dict[str, list[str]]) -> Column:
 
 
 def merge_passes(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Fields of two recognition passes: the second wins on a type's priority fields; elsewhere the first wins and the second fills gaps."""
+    """Fields of two recognition passes: the second wins on a type's priority fields; elsewhere the first wins and the second fills gaps. The second's Aadhaar number is the id_number too."""
     a = one.select("doc_id", "doc_type", "field_name", F.col("value").alias("v1"))
     b = two.select("doc_id", F.col("doc_type").alias("t2"), "field_name", F.col("value").alias("v2"))
     both = a.join(b, ["doc_id", "field_name"], "full_outer").withColumn("doc_type", F.coalesce("doc_type", "t2"))
-    return both.select("doc_id", "doc_type", "field_name", F.when(_cases("doc_type", rules.PRIORITY), F.coalesce("v2", "v1")).otherwise(F.coalesce("v1", "v2")).alias("value"))
+    value = F.when(_cases("doc_type", rules.PRIORITY), F.coalesce("v2", "v1")).otherwise(F.coalesce("v1", "v2"))
+    numbers = two.where("doc_type = 'aadhaar' AND field_name = 'aadhaar_number'").select("doc_id", "doc_type", F.lit("id_number").alias("field_name"), "value")
+    return both.select("doc_id", "doc_type", "field_name", value.alias("value")).unionByName(numbers)
 
 
 def schema_scores(docs: DataFrame, fields: DataFrame, weights: DataFrame, required: DataFrame) -> DataFrame:

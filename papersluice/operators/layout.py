@@ -37,6 +37,24 @@ def shape_confidence(area_ratio: Column, n_vertices: Column) -> Column:
     return F.least(F.lit(1.0), 0.7 * area_ratio + 0.3 * 4 / n_vertices)
 
 
+def valid_document_shape(shapes: DataFrame, least_area: float = 0.20, most_area: float = 0.95, margin: int = 5) -> DataFrame:
+    """Candidate shapes (x, y, w, h, area_ratio, n_vertices, page_w, page_h) that can be documents: size, 4 to 6 vertices, aspect, and off the page's edges unless large."""
+    aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0)
+    inside = (F.col("x") + F.col("w") <= F.col("page_w") - margin) & (F.col("y") + F.col("h") <= F.col("page_h") - margin)
+    sized = F.col("area_ratio").between(least_area, most_area) & F.col("n_vertices").between(4, 6) & aspect.between(0.3, 3.0)
+    return shapes.where(sized & (F.col("x") >= margin) & (F.col("y") >= margin) & (inside | (F.col("area_ratio") >= 0.8)))
+
+
+def region_union(docs: DataFrame, shapes: DataFrame, texts: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """Regions of both detectors; documents (doc_id) without any get one of the whole page."""
+    columns = ["doc_id", "region_id", "x", "y", "w", "h"]
+    found = shapes.select(*columns, shape_confidence(F.col("area_ratio"), F.col("n_vertices")).alias("confidence"), F.lit("contour").alias("method"))
+    found = found.unionByName(texts.select(*columns, "confidence", F.lit("text_cluster").alias("method")))
+    bare = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = [F.lit(v).alias(c) for c, v in (("region_id", -1), ("x", 0), ("y", 0), ("w", page_w), ("h", page_h), ("confidence", 1.0), ("method", "full_image"))]
+    return found.unionByName(bare.select("doc_id", *whole))
+
+
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Intersection over union; 0 where boxes only touch."""
     w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])

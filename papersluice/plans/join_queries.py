@@ -26,10 +26,6 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_fields(spark, sf_dir)
 
 
-def merge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.merge_passes(card_fields(spark, sf_dir), card_fields(spark, sf_dir, clean=True))
-
-
 def schema_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, tables = card_fields(spark, sf_dir), rules.rule_tables(spark)
     docs = classify.classify(fixtures.cards(spark, sf_dir), "full_text").select("doc_id", "doc_type")
@@ -72,7 +68,7 @@ def decision_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_fields, merge_passes, schema_score, field_confidence, pattern_score, consistency_rules, field_boxes, field_spatial_score, anchor_score, decision_rate)}
+QUERIES = {f.__name__: f for f in (extracted_fields, schema_score, field_confidence, pattern_score, consistency_rules, field_boxes, field_spatial_score, anchor_score, decision_rate)}
 
 
 def _fields_sql(cards: str) -> str:
@@ -95,9 +91,6 @@ _BOXES = f"""SELECT doc_id, field_name, line_num, x, y, w, h FROM (SELECT f.doc_
   FROM fields f JOIN {fixtures.CARD_LINES} l ON f.doc_id = l.doc_id AND (contains(lower(trim(l.text)), lower(trim(f.value))) OR contains(lower(trim(f.value)), lower(trim(l.text))))) b WHERE rn = 1"""
 SQL = {
     "extracted_fields": f"WITH {_FIELDS} SELECT * FROM fields",
-    "merge_passes": f"""WITH {_FIELDS}, clean AS (SELECT * FROM {_fields_sql(fixtures.CLEAN_CARDS)} g),
-      m AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.doc_type, b.doc_type) AS doc_type, coalesce(a.field_name, b.field_name) AS field_name, a.value AS v1, b.value AS v2 FROM fields a FULL JOIN clean b ON a.doc_id = b.doc_id AND a.field_name = b.field_name)
-      SELECT doc_id, doc_type, field_name, CASE WHEN {_PRIORITY} THEN coalesce(v2, v1) ELSE coalesce(v1, v2) END AS value FROM m""",
     "schema_score": f"""WITH {_FIELDS}, {_DOCS}, wt(doc_type, field_name, weight) AS (VALUES {_values([(t, f, w) for t, ws in rules.FIELD_WEIGHTS.items() for f, w in ws.items()])}), rq(doc_type, field_name) AS (VALUES {_values([(t, f) for t, fs in rules.REQUIRED.items() for f in fs])}),
       s AS (SELECT d.doc_id, d.doc_type, round(sum(CASE WHEN f.value IS NOT NULL THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE, 9) AS schema_score, coalesce(string_agg(wt.field_name, ', ' ORDER BY wt.field_name) FILTER (f.value IS NULL AND weight >= {rules.CRITICAL_WEIGHT}), '') AS missing_critical
         FROM docs d JOIN wt USING (doc_type) LEFT JOIN fields f ON f.doc_id = d.doc_id AND f.field_name = wt.field_name GROUP BY ALL),
