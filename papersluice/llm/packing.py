@@ -32,7 +32,7 @@ BUCKET = 2048
 #: Vocabulary file of tokenizers, by its name in public_tokenizers or by its path.
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct chunks of text whose ids a worker remembers, twice so many at most, and the most characters of one.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 #: Texts whose new chunks are encoded together.
 TOGETHER = 256
 
