@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,7 +65,7 @@ class IdBytes:
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The first chunk of a text stands for itself, the others follow a blank."""
@@ -72,14 +73,15 @@ class IdBytes:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         parts = [self.cuts(t) if self.odd(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        heads = list({p[0] for p in parts})
-        new = [c for c in set().union(*(p[1:] for p in parts)) if c not in known]
+        starts = [p.pop(0) for p in parts]
+        heads = list(set(starts))
+        new = [c for c in set().union(*parts) if c not in known]
         known.update((c, older[c]) for c in new if c in older)
         chunks = [c for c in new if c not in known]
         coded = self._fresh([*heads, *(f" {c}" for c in chunks)])
         first = dict(zip(heads, coded, strict=False))
         known.update(zip(chunks, coded[len(heads) :], strict=True))
-        out = [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) for p in parts]
+        out = [first[start] + b"".join(map(known.__getitem__, p)) for start, p in zip(starts, parts, strict=True)]
         for c in chunks:
             if len(c) > LONGEST:
                 del known[c]
