@@ -60,7 +60,8 @@ def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], bu
     weight. A null text counts as empty, a null key is a key; repeated keys are
     told apart by their texts. Rows equal in key and text may swap their slots
     between runs, others keep them. Other columns don't matter; an empty table
-    gives an empty result.
+    gives an empty result. Rows equal in key and text that are more than a
+    bucket holds are dealt over several, so no group makes a task large.
     """
     more = [*weights, sum(weights) / len(weights)]
     id_ = F.col(key)
@@ -72,12 +73,16 @@ def shard_slots(df: DataFrame, key: str, text: str, weights: Sequence[float], bu
             crc.cast("long").alias("text_crc32"),
             rendezvous(id_, weights).alias("shard"),
             rendezvous(id_, more).alias("grown_shard"),
-            F.xxhash64(id_, crc, F.lit("slot")).alias("spot"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shards",
     )
     buckets = max(1, -(-placed.count() // (bucket_rows * len(weights))))
-    placed = placed.withColumn("bucket", F.pmod("spot", F.lit(buckets))).drop("spot")
+    alike = placed.groupBy(F.col(key).alias("of_key"), F.col("text_crc32").alias("of_crc")).agg(F.ceil(F.count("*") / bucket_rows).alias("parts"))
+    alike = written(alike.where("parts > 1"), "alike")
+    salted = placed.join(alike, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("text_crc32") == F.col("of_crc")), "left")
+    spot = F.xxhash64(key, "text_crc32", F.coalesce(F.pmod("row", "parts"), F.lit(0)), F.lit("slot"))
+    placed = salted.withColumn("bucket", F.pmod(spot, F.lit(buckets))).drop("of_key", "of_crc", "parts", "row")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(
         placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")),

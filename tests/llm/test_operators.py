@@ -52,6 +52,14 @@ def test_sharding_matches_brute_force(spark):
     assert all(c == zlib.crc32((text[k] or "").encode()) and s == len((text[k] or "").encode()) + 16 for k, c, s in zip(got.doc_id, got.text_crc32, got["size"], strict=True))
 
 
+def test_sharding_of_repeated_rows(spark):
+    rows = [(7, "same text", "en", "s", 9)] * 500 + [(None, None, None, None, None)] * 300 + [(i, f"text {i}", "en", "s", 6) for i in range(100)]
+    got = sharding.shard_slots(spark.createDataFrame(rows, DOCS), "doc_id", "text", [1.0] * 4, bucket_rows=20).toPandas()
+    assert len(got) == 900 and (got.doc_id == 7).sum() == 500 + 1 and got.doc_id.isna().sum() == 300
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
 def test_sharding_weights_and_odd_rows(spark, tmp_path):
     shares = sharding.assign_shards(spark.range(20000).toDF("k"), "k", [1.0, 3.0]).groupBy("shard_of").count().toPandas().set_index("shard_of")["count"]
     assert abs(shares[1] / 20000 - 0.75) < 0.02
