@@ -18,14 +18,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: The folder of a process whose Spark has none.
+_OWN = f"/tmp/checkpoints/papersluice-{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"/tmp/checkpoints/papersluice-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        return _OWN  # the setting itself is fixed once Spark runs
     return found.rstrip("/")
 
 
