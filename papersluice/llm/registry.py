@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papersluice.llm import chat, lines, mixing, near, packing, quality, search, sharding, toxicity, urls
+from papersluice.llm import chat, lines, mixing, near, negatives, packing, quality, search, sharding, simhash, spelling, toxicity, urls
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_ledger": quality.op8_quality_ledger,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_simhash_components": simhash.op12_simhash_components,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "quality_ablations": quality.quality_ablations,
 }
 SQL = {
@@ -22,5 +25,6 @@ SQL = {
     "op5_incremental_chat": chat.SQL,
     "op8_quality_ledger": quality.SQL,
     "op10_curriculum_mix": mixing.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "quality_ablations": quality.ABLATIONS_SQL,
 }
