@@ -10,7 +10,7 @@ from papersluice.functions.dialect import DUCK
 from papersluice.operators import classify, extract, fields, layout, words
 from papersluice.plans.decision_queries import _WITH, triaged
 from papersluice.plans.layout_queries import spatial_sql
-from papersluice.session import read_table
+from papersluice.session import read_table, written
 from papersluice.sources import fixtures, rules
 from papersluice.streaming.triage import decision_rate as rate
 
@@ -34,7 +34,9 @@ def schema_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.field_confidence(card_fields(spark, sf_dir), words.line_words(fixtures.card_lines(spark, sf_dir)))
+    """Confidence of every field of the cards, from the words that it is made of."""
+    w = written(words.line_words(fixtures.card_lines(spark, sf_dir)).select("doc_id", "text", "confidence", "is_numeric", "is_stopword"), "words")
+    return fields.field_confidence(written(card_fields(spark, sf_dir), "fields"), w, words.ocr_stats(w))
 
 
 def pattern_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,32 @@ _PRIORITY = " OR ".join(f"(doc_type = '{k}' AND field_name IN ({', '.join(repr(n
 _values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 _BOXES = f"""SELECT doc_id, field_name, line_num, x, y, w, h FROM (SELECT f.doc_id, f.field_name, l.line_num, l.x, l.y, l.w, l.h, row_number() OVER (PARTITION BY f.doc_id, f.field_name ORDER BY l.line_num) AS rn
   FROM fields f JOIN {fixtures.CARD_LINES} l ON f.doc_id = l.doc_id AND (contains(lower(trim(l.text)), lower(trim(f.value))) OR contains(lower(trim(f.value)), lower(trim(l.text))))) b WHERE rn = 1"""
+#: The rules of meaningful values, written apart from the operators.
+MEANS = r"""CASE WHEN doc_type = 'aadhaar' AND field_name = 'aadhaar_number' THEN regexp_full_match(regexp_replace(value, '[\s.-]', '', 'g'), '[2-9]\d{11}')
+  WHEN field_name = 'date_of_birth' AND doc_type <> 'vehicle_rc' OR field_name = 'registration_date' AND doc_type = 'vehicle_rc' THEN regexp_matches(value, '\d\d[/.-]\d\d[/.-]\d\d\d\d')
+  WHEN doc_type = 'aadhaar' AND field_name = 'gender' THEN list_contains(['MALE', 'FEMALE', 'TRANSGENDER', 'पुरुष', 'महिला'], upper(value))
+  WHEN doc_type = 'aadhaar' AND field_name = 'pin_code' THEN length(trim(value)) = 6 AND TRY_CAST(trim(value) AS INT) BETWEEN 0 AND 999999
+  WHEN doc_type = 'aadhaar' AND field_name = 'vid' THEN regexp_full_match(regexp_replace(value, '\s', '', 'g'), '\d{16}')
+  WHEN doc_type = 'aadhaar' AND field_name = 'address' THEN length(value) >= 20 AND length(regexp_replace(value, '[^\pL ,./-]', '', 'g')) / length(value) > 0.5
+    AND NOT regexp_matches(upper(value), '\b(VID|MALE|FEMALE)\b|पुरुष|महिला') AND 2 * length(regexp_replace(value, '\D', '', 'g')) < length(value)
+  WHEN doc_type = 'pan' AND field_name = 'pan_number' THEN regexp_full_match(upper(trim(value)), '[A-Z]{5}\d{4}[A-Z]')
+  WHEN doc_type = 'vehicle_rc' AND field_name = 'registration_number' THEN regexp_full_match(upper(trim(value)), '[A-Z][A-Z]\s*\d\d?\s*[A-Z]{0,3}\s*\d{1,4}')
+  WHEN doc_type = 'vehicle_rc' AND field_name IN ('engine_number', 'chassis_number') THEN length(trim(value)) > 4
+  WHEN doc_type = 'vehicle_rc' AND field_name = 'fuel_type' THEN list_contains(['PETROL', 'DIESEL', 'CNG', 'LPG', 'ELECTRIC', 'HYBRID'], upper(value)) ELSE true END"""
+
+
+def confidence_sql(values: str, words_: str, score: str) -> str:
+    """field_confidence() by comparing every value with every word. values: doc_id, doc_type, field_name, value; score: doc_id, ocr_score."""
+    return f"""SELECT doc_id, doc_type, field_name, n_words, round(ocr, 9) AS ocr, semantic, round(0.4 * ocr + 0.4 * semantic + 0.2, 9) AS confidence FROM
+  (SELECT f.doc_id, f.doc_type, f.field_name, count(w.text) AS n_words, coalesce(avg(CASE WHEN w.confidence > 1 THEN w.confidence / 100 ELSE w.confidence END), max(s.ocr_score), 0) AS ocr, CAST({MEANS} AS INT) AS semantic
+   FROM {values} f LEFT JOIN {score} s ON s.doc_id = f.doc_id LEFT JOIN {words_} w ON w.doc_id = f.doc_id AND trim(w.text) <> ''
+     AND (contains(lower(replace(f.value, ' ', '')), lower(trim(w.text))) OR contains(lower(trim(w.text)), lower(replace(f.value, ' ', ''))))
+   WHERE f.field_name <> 'signature_present' GROUP BY f.doc_id, f.doc_type, f.field_name, f.value) g"""
+
+
+_CARD_WORDS = f"card_words AS MATERIALIZED (SELECT * FROM {sql.words(fixtures.CARD_LINES)} w)"
 SQL = {
+    "field_confidence": f"WITH {_FIELDS}, {_CARD_WORDS} {confidence_sql('fields', 'card_words', sql.stats('card_words'))}",
     "extracted_fields": f"WITH {_FIELDS} SELECT * FROM fields",
     "schema_score": f"""WITH {_FIELDS}, {_DOCS}, wt(doc_type, field_name, weight) AS (VALUES {_values([(t, f, w) for t, ws in rules.FIELD_WEIGHTS.items() for f, w in ws.items()])}), rq(doc_type, field_name) AS (VALUES {_values([(t, f) for t, fs in rules.REQUIRED.items() for f in fs])}),
       s AS (SELECT d.doc_id, d.doc_type, round(sum(CASE WHEN f.value IS NOT NULL THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE, 9) AS schema_score, coalesce(string_agg(wt.field_name, ', ' ORDER BY wt.field_name) FILTER (f.value IS NULL AND weight >= {rules.CRITICAL_WEIGHT}), '') AS missing_critical

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from papersluice.functions import sql as _sql
 from papersluice.functions import text
-from papersluice.operators import classify, fields, layout, records, words
-from papersluice.plans.join_queries import _DOCS, _FIELDS, _PRIORITY, _fields_sql, card_fields
+from papersluice.operators import classify, documents, fields, layout, records, words
+from papersluice.plans import triage
+from papersluice.plans.decision_queries import _WITH, card_input
+from papersluice.plans.join_queries import _CARD_WORDS, _DOCS, _FIELDS, _PRIORITY, _fields_sql, card_fields, confidence_sql
 from papersluice.plans.layout_queries import _regions_sql
 from papersluice.session import written
 from papersluice.sources import fixtures, rules
@@ -87,12 +89,24 @@ def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "document_type", name.alias("name"), number.alias("number_confidence"), F.col("pan.signature_present").alias("signed"), json.alias("has_json"))
 
 
+def attached_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the cards' structured documents, read back from JSON: own confidence of each field, overall confidence and decision of the triage."""
+    docs = written(card_input(spark, sf_dir).select("doc_id", "lines", *documents.METRICS), "cards")
+    results = written(triage.triage(docs), "results")
+    scores = results.select("doc_id", F.col("ocr_confidence_score").alias("ocr_score"))
+    confidences = fields.field_confidence(documents.fields_of(results), documents.words_of(docs), scores)
+    attached = documents.attach_documents(results, confidences)
+    json = documents.result_records(attached).select("doc_id", F.to_json("record").alias("record"), F.to_json("document").alias("document"))
+    rows = documents.read_documents(written(json, "json"))
+    return rows.select("doc_id", "document_type", "decision", "hard_rejection", "n_reasons", F.round("overall_confidence", 9).alias("overall_confidence"), "field_name", "value", F.round("confidence", 9).alias("confidence"))
+
+
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest word right of or below the labels DOB: and Name: on cards."""
     return records.label_value_proximity(words.line_words(fixtures.card_lines(spark, sf_dir)), ["dob:", "name:", "owner:"])
 
 
-QUERIES = {f.__name__: f for f in (date_functions, validators, missing_fields, two_passes, merge_passes, region_union, typed_records, label_values)}
+QUERIES = {f.__name__: f for f in (date_functions, validators, missing_fields, two_passes, merge_passes, region_union, typed_records, attached_documents, label_values)}
 
 _STOP = lambda kind: " OR ".join(f"contains(lower(name), '{p}')" for p in rules.NOT_NAMES[kind])
 _pairs = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
@@ -148,3 +162,11 @@ SQL["merge_passes"] = f"""WITH {_FIELDS}, need2 AS (SELECT doc_id FROM ({SQL["tw
   m AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.doc_type, b.doc_type) AS doc_type, coalesce(a.field_name, b.field_name) AS field_name, a.value AS v1, b.value AS v2 FROM fields a FULL JOIN clean b ON a.doc_id = b.doc_id AND a.field_name = b.field_name)
   SELECT doc_id, doc_type, field_name, CASE WHEN {_PRIORITY} THEN coalesce(v2, v1) ELSE coalesce(v1, v2) END AS value FROM m
   UNION ALL SELECT doc_id, doc_type, 'id_number', value FROM clean WHERE doc_type = 'aadhaar' AND field_name = 'aadhaar_number'"""
+#: Fields of the structured documents, with the confidences of those that have no own one; written apart from the operators' structs.
+_DEFAULTS = _pairs([(t, f) for t, fs in rules.DEFAULT_CONFIDENCE.items() for f in fs])
+SQL["attached_documents"] = f"""{_WITH}, {_CARD_WORDS}, d(doc_type, field_name) AS (VALUES {_DEFAULTS}),
+  held AS (SELECT doc_id, doc_type, u.field_name AS field_name, u.value AS value FROM (SELECT doc_id, doc_type, unnest(fields) AS u FROM tri) x),
+  conf AS ({confidence_sql("held", "card_words", "(SELECT doc_id, ocr_confidence_score AS ocr_score FROM tri)")})
+  SELECT t.doc_id, t.doc_type AS document_type, t.decision, t.hard_rejection, CAST(len(t.reasons) AS INT) AS n_reasons, round(t.final_score, 9) AS overall_confidence, d.field_name, h.value,
+    CASE WHEN h.value IS NULL THEN 0 ELSE c.confidence END AS confidence
+  FROM tri t JOIN d ON d.doc_type = t.doc_type LEFT JOIN held h ON h.doc_id = t.doc_id AND h.field_name = d.field_name LEFT JOIN conf c ON c.doc_id = t.doc_id AND c.field_name = d.field_name"""
