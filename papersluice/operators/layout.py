@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papersluice.session import written
+from papersluice.operators.boxes import box, iou, region_overlaps  # noqa: F401
+from papersluice.operators.density import EPS, MIN_SAMPLES, density_clusters
+from papersluice.operators.greedy import seeds
+from papersluice.operators.hull import farthest
 
-EPS, MIN_SAMPLES, MIN_CLUSTER, PADDING = 50, 3, 5, 20
+MIN_CLUSTER, PADDING = 5, 20
 
 
 def box_metrics(df: DataFrame) -> DataFrame:
@@ -55,41 +58,15 @@ def region_union(docs: DataFrame, shapes: DataFrame, texts: DataFrame, page_w: i
     return found.unionByName(bare.select("doc_id", *whole))
 
 
-def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Intersection over union; 0 where boxes only touch."""
-    w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
-    h = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
-    return F.when((w > 0) & (h > 0), w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h)).otherwise(0.0)
-
-
-def box(of: Column | None = None) -> dict[str, Column]:
-    return {k: (of[k] if of is not None else F.col(k)) for k in ("x", "y", "w", "h")}
-
-
-def region_overlaps(regions: DataFrame, least: float) -> DataFrame:
-    """doc_id, a, b, iou: pairs of a document's regions. Overlapping boxes share a band of BAND pixels in height, which makes it an equi-join."""
-    band = 64
-    banded = regions.select("doc_id", "region_id", "x", "y", "w", "h", F.explode(F.sequence(F.expr(f"y DIV {band}"), F.expr(f"(y + h) DIV {band}"))).alias("band"))
-    a, b = (banded.select("doc_id", "band", F.struct("region_id", "x", "y", "w", "h").alias(n)) for n in "ab")
-    met = a.join(b, ["doc_id", "band"]).where(F.col("a.region_id") < F.col("b.region_id"))
-    first = F.greatest(F.col("a.y"), F.col("b.y"))
-    met = met.where(F.col("band") == F.floor(first / band))
-    v = iou(box(F.col("a")), box(F.col("b")))
-    return met.select("doc_id", F.col("a.region_id").alias("a"), F.col("b.region_id").alias("b"), v.alias("iou")).where((F.col("iou") >= least) & (F.col("iou") > 0))
-
-
 def top_regions(regions: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "region_id")
     return regions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def suppress_duplicates(regions: DataFrame, least: float = 0.7) -> DataFrame:
-    """doc_id, kept: regions by confidence (ties by id), each kept unless it overlaps one already kept. A fold over a document's sorted array."""
-    item = F.struct((-F.col("confidence")).alias("o"), "region_id", "x", "y", "w", "h")
-    arrays = regions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
-    start = F.slice("r", F.lit(1), F.lit(0))
-    fold = F.aggregate("r", start, lambda kept, x: F.when(F.exists(kept, lambda k: iou(box(k), box(x)) >= least), kept).otherwise(F.concat(kept, F.array(x))))
-    return arrays.select("doc_id", F.transform(fold, lambda x: x["region_id"]).alias("kept"))
+    """doc_id, kept: a document's regions by confidence (ties by id), each kept unless it overlaps one already kept."""
+    chosen = seeds(regions, [F.desc("confidence"), F.col("region_id")], least).where("seed = place")
+    return chosen.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "region_id"))), lambda x: x["region_id"]).alias("kept"))
 
 
 def neighbours(points: DataFrame, eps: int = EPS) -> DataFrame:
@@ -104,22 +81,8 @@ def neighbours(points: DataFrame, eps: int = EPS) -> DataFrame:
 
 
 def clusters(points: DataFrame, eps: int = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """doc_id, id, cluster: density clusters. Core points have min_samples neighbours (self included); connected cores make a cluster, named by its least point; border points join the least cluster next to them; others are noise and have no row. Least labels spread until none changes."""
-    pairs = written(neighbours(points, eps), "pairs")
-    cores = written(pairs.groupBy("doc_id", "a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("doc_id", "a"), "cores")
-    links = written(pairs.join(cores, ["doc_id", "a"]).join(cores.withColumnRenamed("a", "b"), ["doc_id", "b"]), "links")
-    labels = written(links.groupBy("doc_id", "a").agg(F.min("b").alias("c")), "labels")
-    while True:
-        spread = links.join(labels.select("doc_id", F.col("a").alias("b"), "c"), ["doc_id", "b"]).groupBy("doc_id", "a").agg(F.min("c").alias("c"))
-        jump = labels.select("doc_id", F.col("a").alias("c"), F.col("c").alias("cc"))
-        after = written(spread.join(jump, ["doc_id", "c"]).select("doc_id", "a", F.col("cc").alias("c")), "labels")
-        changed = after.join(labels.withColumnRenamed("c", "was"), ["doc_id", "a"]).where("c <> was").limit(1).count()
-        labels = after
-        if not changed:
-            break
-    border = pairs.join(cores, ["doc_id", "a"]).join(labels, ["doc_id", "a"]).groupBy("doc_id", "b").agg(F.min("c").alias("cluster"))
-    own = labels.select("doc_id", F.col("a").alias("b"), F.col("c").alias("own"))
-    return border.join(own, ["doc_id", "b"], "left").select("doc_id", F.col("b").alias("id"), F.coalesce("own", "cluster").alias("cluster"))
+    """doc_id, id, cluster: density clusters, as in density.density_clusters()."""
+    return density_clusters(points, eps, min_samples)
 
 
 def cluster_regions(lines: DataFrame, labels: DataFrame, page_w: int, page_h: int, least: int = MIN_CLUSTER) -> DataFrame:
@@ -141,44 +104,23 @@ def words_in_region(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def spatial_scores(boxes: DataFrame, most: float = 0.5, far: float = 500.0) -> DataFrame:
-    """Per document of field boxes (doc_id, x, y, w, h): dispersion of the centres, number of clusters (2 if two are farther apart than `far`), score. The farthest pair is found inside a document's array of boxes."""
-    c = boxes.select("doc_id", F.expr("CAST(x + w DIV 2 AS DOUBLE)").alias("cx"), F.expr("CAST(y + h DIV 2 AS DOUBLE)").alias("cy"))
-    g = c.groupBy("doc_id").agg(F.count("*").alias("n_fields"), F.var_pop("cx").alias("vx"), F.var_pop("cy").alias("vy"), F.collect_list(F.struct("cx", "cy")).alias("p"))
-    distance = F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: F.sqrt((a["cx"] - b["cx"]) * (a["cx"] - b["cx"]) + (a["cy"] - b["cy"]) * (a["cy"] - b["cy"]))))))
+    """Per document of field boxes (doc_id, x, y, w, h): dispersion of the centres, number of clusters (2 if two are farther apart than `far`), score."""
+    c = boxes.select("doc_id", F.expr("CAST(x + w DIV 2 AS DOUBLE)").alias("px"), F.expr("CAST(y + h DIV 2 AS DOUBLE)").alias("py"))
+    g = c.groupBy("doc_id").agg(F.count("*").alias("n_fields"), F.var_pop("px").alias("vx"), F.var_pop("py").alias("vy"))
     spread = F.when(F.col("n_fields") < 2, 0.0).otherwise(F.sqrt(F.col("vx") + F.col("vy")) / 1000)
-    two = g.withColumns({"dispersion": F.round(spread, 9), "n_clusters": F.when(distance > far, 2).otherwise(1)})
+    two = g.join(farthest(c), "doc_id", "left").withColumns({"dispersion": F.round(spread, 9), "n_clusters": F.when(F.col("distance") > far, 2).otherwise(1)})
     score = 1 - F.least(F.lit(1.0), F.col("dispersion") / most)
     return two.select("doc_id", "n_fields", "dispersion", "n_clusters", F.round(F.when(F.col("n_clusters") > 1, score * 0.5).otherwise(score), 9).alias("spatial_score"))
 
 
 def merge_overlaps(regions: DataFrame, least: float = 0.3) -> DataFrame:
-    """doc_id, region_id, n, x, y, w, h, confidence: in the order of region_id each region joins the first seed that it overlaps, else it is a seed itself; seeds become the hull of their members with the mean confidence. A fold over a document's array."""
-    item = F.struct("region_id", "x", "y", "w", "h", "confidence")
-    arrays = regions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
-
-    def seed(x: Column) -> Column:
-        return F.struct(x.alias("seed"), F.lit(1).alias("n"), x["x"].alias("x1"), x["y"].alias("y1"), (x["x"] + x["w"]).alias("x2"), (x["y"] + x["h"]).alias("y2"), x["confidence"].alias("total"))
-
-    def joined(s: Column, x: Column) -> Column:
-        return F.struct(
-            s["seed"].alias("seed"),
-            (s["n"] + 1).alias("n"),
-            F.least(s["x1"], x["x"]).alias("x1"),
-            F.least(s["y1"], x["y"]).alias("y1"),
-            F.greatest(s["x2"], x["x"] + x["w"]).alias("x2"),
-            F.greatest(s["y2"], x["y"] + x["h"]).alias("y2"),
-            (s["total"] + x["confidence"]).alias("total"),
-        )
-
-    def add(acc: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda s: iou(box(s["seed"]), box(x)) >= least), True)
-        return F.when(at == 0, F.concat(acc, F.array(seed(x)))).otherwise(F.transform(acc, lambda s, k: F.when(k + 1 == at, joined(s, x)).otherwise(s)))
-
-    none = F.slice(F.transform("r", seed), F.lit(1), F.lit(0))
-    s = F.col("s")
-    return arrays.select("doc_id", F.explode(F.aggregate("r", none, add)).alias("s")).select(
-        "doc_id", s["seed"]["region_id"].alias("region_id"), s["n"].alias("n"), s["x1"].alias("x"), s["y1"].alias("y"), (s["x2"] - s["x1"]).alias("w"), (s["y2"] - s["y1"]).alias("h"), F.round(s["total"] / s["n"], 9).alias("confidence")
-    )
+    """doc_id, region_id, n, x, y, w, h, confidence: in the order of region_id each region joins the first seed that it overlaps, else it is a seed itself; seeds become the hull of their members with the mean confidence."""
+    joined = seeds(regions, [F.col("region_id")], least)
+    hull = joined.groupBy("doc_id", "seed").agg(
+        F.min_by("region_id", "place").alias("region_id"), F.count("*").cast("int").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"),
+        F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.round(F.avg("confidence"), 9).alias("confidence"),
+    )
+    return hull.select("doc_id", "region_id", "n", "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), "confidence")
 
 
 def layout_scores(lines: DataFrame, docs: DataFrame, page_h: int) -> DataFrame:
