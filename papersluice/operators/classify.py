@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papersluice.operators.keywords import rule_scores
 from papersluice.sources import rules
 
 
@@ -40,15 +41,12 @@ def classify(docs: DataFrame, text: str) -> DataFrame:
 
 
 def classify_by_rules(docs: DataFrame, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """doc_id, type, score from rule tables, for types that are added as rows. The tables are read into literals, at most 10,000 rows."""
-    kw, pt = (tables[n].limit(10_001).collect() for n in ("type_keywords", "type_patterns"))
-    if max(len(kw), len(pt)) > 10_000:
-        raise ValueError("too many rules for literals")
-    low, t = F.lower(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.col(text), F.lit(""))
-    kinds = sorted({r["type"] for r in kw} | {r["type"] for r in pt})
-    terms = {k: [F.when(F.contains(low, F.lit(r["keyword"])), r["weight"]).otherwise(0) for r in kw if r["type"] == k] + [F.when(t.rlike(f"(?i){r['pattern']}"), r["weight"]).otherwise(0) for r in pt if r["type"] == k] for k in kinds}
-    each = F.array(*[F.struct(F.lit(k).alias("type"), reduce(lambda a, b: a + b, v, F.lit(0)).alias("score")) for k, v in terms.items()])
-    return docs.select("doc_id", F.inline(each))
+    """doc_id, type, score of every type of the rule tables, of any length; for types that are added as rows."""
+    scores = rule_scores(docs, text, tables)
+    types = tables["type_keywords"].select("type").unionByName(tables["type_patterns"].select("type")).distinct()
+    names = F.array(*[F.lit(r["type"]) for r in types.where("type IS NOT NULL").collect()])
+    every = docs.select("doc_id", F.explode(names).alias("type"))
+    return every.join(scores, ["doc_id", "type"], "left").select("doc_id", "type", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def anchor_similarity(text: Column, anchor: str) -> Column:
@@ -61,6 +59,15 @@ def anchor_similarity(text: Column, anchor: str) -> Column:
     return F.when(F.contains(F.lower(text), F.lit(anchor)), 100.0).otherwise(F.array_max(near))
 
 
+def anchor_similarity_to(text: Column, anchor: Column) -> Column:
+    """anchor_similarity() for anchors in a column."""
+    words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    n, wanted, held = F.size(words(anchor)), F.array_join(F.array_sort(words(anchor)), " "), words(text)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(held) - n + 1, F.lit(1))), lambda i: F.array_join(F.array_sort(F.slice(held, i, n)), " "))
+    near = F.transform(windows, lambda w: 100.0 * (1 - F.levenshtein(w, wanted) / F.greatest(F.length(w), F.length(wanted))))
+    return F.when(F.contains(F.lower(text), F.lower(anchor)), 100.0).otherwise(F.array_max(near))
+
+
 def anchor_score(text: Column, kind: str) -> tuple[Column, Column, Column]:
     """(required found, optional found, score) of a type's anchors."""
     count = lambda names: reduce(lambda a, b: a + b, [F.when(anchor_similarity(text, a) >= rules.ANCHOR_THRESHOLD, 1).otherwise(0) for a in names], F.lit(0))

@@ -106,9 +106,14 @@ def chosen(d: Dialect) -> Stage:
     return {"doc_type": f"CASE WHEN {best} = 0 THEN 'aadhaar' WHEN score_vehicle_rc = {best} THEN 'vehicle_rc' WHEN score_pan = {best} THEN 'pan' ELSE 'aadhaar' END"}
 
 
+def unsorted(d: Dialect) -> list[Stage]:
+    """Stages before the type is known."""
+    return [quality_gate(d), quality_parts(d), quality_score(d), texts(d), tokens(d), counted(d), recognised(d)]
+
+
 def common(d: Dialect) -> list[Stage]:
     """Stages before the branches."""
-    return [quality_gate(d), quality_parts(d), quality_score(d), texts(d), tokens(d), counted(d), recognised(d), typed(d), chosen(d)]
+    return [*unsorted(d), typed(d), chosen(d)]
 
 
 def _anchor(d: Dialect, a: str) -> str:

@@ -95,6 +95,10 @@ class DocumentType:
     patterns: list[str] = field(default_factory=list)
     weights: dict[str, float] = field(default_factory=dict)
     required: list[str] = field(default_factory=list)
+    #: By field, patterns with one group that find its value, in the order they are tried.
+    values: dict[str, list[str]] = field(default_factory=dict)
+    required_anchors: list[str] = field(default_factory=list)
+    optional_anchors: list[str] = field(default_factory=list)
 
 
 def rule_tables(spark: SparkSession, more: list[DocumentType] | None = None) -> dict[str, DataFrame]:
@@ -105,7 +109,8 @@ def rule_tables(spark: SparkSession, more: list[DocumentType] | None = None) ->
     return {
         "type_keywords": table([(t, k, weight(k)) for t, ks in KEYWORDS.items() for k in ks] + [(m.name, k, weight(k)) for m in more for k in m.keywords], "type string, keyword string, weight int"),
         "type_patterns": table([(t, p, PATTERN_WEIGHT) for t, ps in PATTERNS.items() for p in ps] + [(m.name, p, PATTERN_WEIGHT) for m in more for p in m.patterns], "type string, pattern string, weight int"),
-        "anchors": table([(t, a, kind == "required", ANCHOR_THRESHOLD) for t, kinds in ANCHORS.items() for kind, names in kinds.items() for a in names], "type string, anchor string, required boolean, threshold double"),
+        "anchors": table([(t, a, kind == "required", ANCHOR_THRESHOLD) for t, kinds in ANCHORS.items() for kind, names in kinds.items() for a in names] + [(m.name, a, names is m.required_anchors, ANCHOR_THRESHOLD) for m in more for names in (m.required_anchors, m.optional_anchors) for a in names], "type string, anchor string, required boolean, threshold double"),
+        "labelled_values": table([(m.name, f, k, p) for m in more for f, ps in m.values.items() for k, p in enumerate(ps)], "type string, field_name string, place int, pattern string"),
         "profiles": table([(t, a, b, [c, d]) for t, (a, b, c, d) in PROFILES.items()], "type string, min_numeric double, max_special double, word_len array<int>"),
         "field_weights": table([(t, f, w) for t, ws in FIELD_WEIGHTS.items() for f, w in ws.items()] + [(m.name, f, w) for m in more for f, w in m.weights.items()], "type string, field_name string, weight double"),
         "required_fields": table([(t, f) for t, fs in REQUIRED.items() for f in fs] + [(m.name, f) for m in more for f in m.required], "type string, field_name string"),

@@ -1,0 +1,148 @@
+"""Indexes, cells, rounds, hulls and automata against the plain loops that they take the place of."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from papersluice.operators import containment, density, greedy, hull, keywords, layout
+
+REGIONS = "doc_id int, region_id int, x int, y int, w int, h int, confidence double"
+
+
+def overlap(a, b):
+    w = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])
+    h = min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+    return w * h / (a[4] * a[5] + b[4] * b[5] - w * h) if w > 0 and h > 0 else 0.0
+
+
+def greedy_loop(rows, least):
+    """seed of each row, in the order of rows"""
+    kept, of = [], {}
+    for r in rows:
+        of[r[1]] = next((k[1] for k in kept if overlap(k, r) >= least), r[1])
+        if of[r[1]] == r[1]:
+            kept.append(r)
+    return of
+
+
+def pages(seed):
+    r = random.Random(seed)
+    out = [(d, i, r.randrange(0, 300), r.randrange(0, 300), r.randrange(0, 80), r.randrange(1, 60), r.randrange(1, 8) / 10) for d in range(6) for i in range(90)]
+    out += [(50, i, 7, 7, 20, 20, 0.5) for i in range(40)]  # one box many times
+    return out + [(51, i, 0, 6 * i, 30, 12, 0.9 - i / 1000) for i in range(150)]  # a chain, each waits for the one before
+
+
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_suppression_is_the_sequential_one(spark, rounds, monkeypatch):
+    monkeypatch.setattr(greedy, "ROUNDS", rounds)
+    rows, frame = pages(1), spark.createDataFrame(pages(1), REGIONS)
+    for least in (0.2, 0.7):
+        got = {x.doc_id: x.kept for x in layout.suppress_duplicates(frame, least).collect()}
+        for d in {r[0] for r in rows}:
+            order = sorted((r for r in rows if r[0] == d), key=lambda r: (-r[6], r[1]))
+            of = greedy_loop(order, least)
+            assert got[d] == [r[1] for r in order if of[r[1]] == r[1]]
+
+
+def test_merging_is_the_sequential_one(spark):
+    rows = pages(2)
+    got = {(x.doc_id, x.region_id): (x.n, x.x, x.y, x.w, x.h, x.confidence) for x in layout.merge_overlaps(spark.createDataFrame(rows, REGIONS), 0.25).collect()}
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        of = greedy_loop(own, 0.25)
+        for s in set(of.values()):
+            m = [r for r in own if of[r[1]] == s]
+            x, y = min(r[2] for r in m), min(r[3] for r in m)
+            want[d, s] = (len(m), x, y, max(r[2] + r[4] for r in m) - x, max(r[3] + r[5] for r in m) - y, round(sum(r[6] for r in m) / len(m), 9))
+    assert {k: v[:5] for k, v in got.items()} == {k: v[:5] for k, v in want.items()}
+    assert all(abs(got[k][5] - v[5]) < 1e-8 for k, v in want.items())
+
+
+def dbscan_loop(points, eps, least):
+    near = {i: [j for j, q in points.items() if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps] for i, p in points.items()}
+    core = {i for i in points if len(near[i]) >= least}
+    label = {}
+    for i in sorted(core):
+        if i not in label:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label.setdefault(j, i) == i:
+                    todo += [k for k in near[j] if k in core and k not in label]
+    for i in points:
+        if i not in core and any(j in core for j in near[i]):
+            label[i] = min(label[j] for j in near[i] if j in core)
+    return label
+
+
+@pytest.mark.parametrize(("eps", "least"), [(50, 3), (20, 1), (33.3, 6), (80, 12)])
+def test_cells_cluster_as_pairs_do(spark, eps, least):
+    r = random.Random(int(eps))
+    points = {d: {i: (r.randrange(-200, 1500 // (d + 1)), r.randrange(-200, 1500 // (d + 1))) for i in range(250)} for d in range(4)}
+    points[9] = {i: (30 * (i % 40), 50 * (i // 40)) for i in range(300)}  # distances of exactly eps
+    points[10] = {i: (5, 5) for i in range(7)}
+    rows = [(d, i, x, y) for d, own in points.items() for i, (x, y) in own.items()] + [(11, 0, None, 3)]
+    got = density.density_clusters(spark.createDataFrame(rows, "doc_id int, id int, px int, py int"), eps, least).collect()
+    want = {(d, i): c for d, own in points.items() for i, c in dbscan_loop(own, eps, least).items()}
+    assert len(got) == len(want) and {(x.doc_id, x.id): x.cluster for x in got} == want
+
+
+def test_a_full_cell_makes_no_pairs(spark):
+    n = 100_000
+    full = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id"), (F.col("id") % 30).cast("int").alias("px"), (F.col("id") * 7 % 31).cast("int").alias("py"))
+    more = spark.createDataFrame([(1, n + 1, 60, 10), (1, n + 2, 500, 500)], "doc_id int, id long, px int, py int")
+    got = density.density_clusters(full.unionByName(more)).groupBy("cluster").count().collect()
+    assert [(r.cluster, r["count"]) for r in got] == [(0, n + 1)]
+    cores = full.select("doc_id", F.lit(0).alias("gx"), F.lit(0).alias("gy"), F.lit(0).alias("node"), "px", "py").distinct()
+    assert density.cell_ends(cores).count() <= 2 * (30 + 31)
+
+
+def test_diameters(spark):
+    r = random.Random(8)
+    sets = [[(r.randrange(50), r.randrange(50)) for _ in range(n)] for n in (1, 2, 3, 5, 40, 200)] + [[(i, 2 * i) for i in range(9)], [(3, 3)] * 4, [(0, i) for i in range(5)], [(i % 5, i // 5) for i in range(25)]]
+    sets += [[(r.random(), r.random()) for _ in range(60)], [(round(100 * math.cos(k / 5)), round(100 * math.sin(k / 5))) for k in range(32)]]
+    want = [max(math.dist(a, b) for a in s for b in s) for s in sets]
+    assert [hull.diameter(s) for s in sets] == pytest.approx(want)
+    rows = [(d, float(x), float(y)) for d, s in enumerate(sets) for x, y in s] + [(0, None, 2.0)]
+    got = {x.doc_id: x.distance for x in hull.farthest(spark.createDataFrame(rows, "doc_id int, px double, py double")).collect()}
+    assert [got[d] for d in range(len(sets))] == pytest.approx(want)
+
+
+def test_containment_meets_few_pairs(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
+    tokens = {d: {word(r.randint(1, 9)) for _ in range(400)} | {""} for d in range(3)}
+    values = {d: {word(r.randint(1, 4)) for _ in range(10)} | {"".join(r.sample(sorted(tokens[d]), 3)) for _ in range(30)} | {"x"} for d in range(3)}
+    v = spark.createDataFrame([(d, x) for d in values for x in values[d]], "doc_id int, v string")
+    t = spark.createDataFrame([(d, x) for d in tokens for x in tokens[d]], "doc_id int, t string")
+    want = {(d, x, y) for d in values for x in values[d] for y in tokens[d] if y and (x in y or y in x)}
+    got = [tuple(x) for x in containment.containments(v, t).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert containment.candidates(v, t).count() < 0.25 * sum(len(values[d]) * len(tokens[d]) for d in values)
+
+
+def test_a_hundred_thousand_keywords(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
+    words = sorted({word(r.randint(1, 9)) for _ in range(130_000)} - {""})[:100_000]
+    rows = [(f"t{i % 7}", w, 1 + i % 3) for i, w in enumerate(words)] + [("t1", words[3], 9), ("t2", "", 5), ("t2", None, 5), (None, "x", 1)]
+    table = spark.createDataFrame(rows, "type string, keyword string, weight int").repartition(8)
+    texts = [None, "", "ABCDE", "é"] + [word(r.randint(3, 60)) for _ in range(30)] + ["abc " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
+    worth = {}
+    for k, w, n in rows:
+        if k and w:
+            worth[k, w] = max(n, worth.get((k, w), 0))
+    want = {}
+    for d, text in enumerate(texts):
+        for (k, w), n in worth.items():
+            if w in (text or "").lower():
+                want[d, k] = want.get((d, k), 0) + n
+    for most in (10**9, 0):  # by automaton, by join
+        got = keywords.keyword_scores(docs, "t", table, most).collect()
+        assert len(got) == len(want) and {(x.doc_id, x.type): x.score for x in got} == want
+    pairs, met = keywords.keyword_pairs(docs.select("doc_id", F.lower("t").alias("t")), keywords.keyword_table(table))
+    assert pairs.count() < 0.05 * len(texts) * len(words) and met.count() > 1000
