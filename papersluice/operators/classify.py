@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +50,37 @@ def classify_by_rules(docs: DataFrame, text: str, tables: dict[str, DataFrame])
     return every.join(scores, ["doc_id", "type"], "left").select("doc_id", "type", F.coalesce("score", F.lit(0)).alias("score"))
 
 
-def anchor_similarity(text: Column, anchor: str) -> Column:
-    """100 if the lower-cased text contains the anchor; else the best similarity, 100 * (1 - distance / longer length), of the anchor's sorted words to the sorted words of each window of as many words."""
-    n = len(anchor.split())
+def anchor_windows(text: Column, n: int) -> Column:
+    """The lower-cased words of every n words in a row, sorted and joined; one window of all words if there are fewer."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    wanted = " ".join(sorted(anchor.split()))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.array_sort(F.slice(words, i, n)), " "))
-    near = F.transform(windows, lambda w: 100.0 * (1 - F.levenshtein(w, F.lit(wanted)) / F.greatest(F.length(w), F.lit(len(wanted)))))
-    return F.when(F.contains(F.lower(text), F.lit(anchor)), 100.0).otherwise(F.array_max(near))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.array_sort(F.slice(words, i, n)), " "))
+
+
+def anchor_filter(anchor: str) -> tuple[str, int, int, int, list[str]]:
+    """(sorted words, least and most length of a window, most edits, pieces) for windows that can reach ANCHOR_THRESHOLD.
+
+    A similarity of t per cent allows (100 - t) / 100 of the longer length in
+    edits. At most d edits leave one of d + 1 pieces of the anchor untouched, so
+    a window without any of the pieces needs no distance.
+    """
+    wanted, share = " ".join(sorted(anchor.split())), (100 - rules.ANCHOR_THRESHOLD) / 100
+    n = len(wanted)
+    least, most = math.ceil(n * (1 - share) - 1e-9), math.floor(n / (1 - share) + 1e-9)
+    edits = math.floor(most * share + 1e-9)
+    cut = [round(k * n / (edits + 1)) for k in range(edits + 2)]
+    pieces = [wanted[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+    return wanted, least, most, edits, [p for p in pieces if p] if all(pieces) else []
+
+
+def near_anchor(window: Column, anchor: str) -> tuple[Column, Column]:
+    """(whether a window has to be compared, whether it is similar enough): the distance is worked out only for the first."""
+    wanted, least, most, edits, pieces = anchor_filter(anchor)
+    may = F.length(window).between(least, most)
+    if pieces:
+        may = may & reduce(lambda a, b: a | b, [F.contains(window, F.lit(p)) for p in pieces])
+    distance = F.levenshtein(window, F.lit(wanted), edits)
+    longer = F.greatest(F.length(window), F.lit(len(wanted)))
+    return may, may & (distance >= 0) & (100.0 * (1 - distance / longer) >= rules.ANCHOR_THRESHOLD)
 
 
 def anchor_similarity_to(text: Column, anchor: Column) -> Column:
@@ -68,8 +92,14 @@ def anchor_similarity_to(text: Column, anchor: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lower(anchor)), 100.0).otherwise(F.array_max(near))
 
 
-def anchor_score(text: Column, kind: str) -> tuple[Column, Column, Column]:
-    """(required found, optional found, score) of a type's anchors."""
-    count = lambda names: reduce(lambda a, b: a + b, [F.when(anchor_similarity(text, a) >= rules.ANCHOR_THRESHOLD, 1).otherwise(0) for a in names], F.lit(0))
-    a, b = count(rules.ANCHORS[kind]["required"]), count(rules.ANCHORS[kind]["optional"])
-    return a, b, F.least(F.lit(1.0), a / len(rules.ANCHORS[kind]["required"]) + F.least(F.lit(0.2), b * 0.05))
+def anchor_scores(docs: DataFrame, text: str, kinds: tuple[str, ...] = rules.TYPES) -> DataFrame:
+    """docs with <type>_required, <type>_optional and <type>_score: how many of a type's anchors the text holds or nearly holds, and the score. Windows of words are built once for each length."""
+    names = {a for k in kinds for part in rules.ANCHORS[k].values() for a in part}
+    lengths = sorted({len(a.split()) for a in names})
+    held = docs.withColumns({"_low": F.lower(F.coalesce(F.col(text), F.lit(""))), **{f"_win{n}": anchor_windows(F.coalesce(F.col(text), F.lit("")), n) for n in lengths}})
+    held = held.select(F.inline(F.array(F.struct("*"))))  # the windows are computed here, not in every anchor's filter
+    found = lambda a: (F.contains("_low", F.lit(a)) | F.exists(f"_win{len(a.split())}", lambda w: near_anchor(w, a)[1])).cast("int")
+    counts = {f"{k}_{part}": reduce(lambda x, y: x + y, [found(a) for a in rules.ANCHORS[k][part]], F.lit(0)) for k in kinds for part in ("required", "optional")}
+    out = held.withColumns(counts)
+    score = lambda k: F.least(F.lit(1.0), F.col(f"{k}_required") / len(rules.ANCHORS[k]["required"]) + F.least(F.lit(0.2), F.col(f"{k}_optional") * 0.05))
+    return out.withColumns({f"{k}_score": score(k) for k in kinds}).drop("_low", *[f"_win{n}" for n in lengths])

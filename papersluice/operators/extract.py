@@ -169,7 +169,7 @@ def vehicle_rc(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E
     hyp = lambda p: upper_if(d.sub(f"trim({d.sub(d.first(n, p), r'(?is)(insurance|fitness|owner|validity).*$', '')})", r"[:\s.,&-]+$", ""), lambda x: f"(length({x}) > 3 AND {d.like(x, '[A-Za-z]')})")
     until = lambda p: d.sub(d.first(t, rf"(?i)(?:{p})\s*(?:valid|upto)?\s*[:.-]?\s*([0-9]{{2}}[/.-][0-9]{{2}}[/.-][0-9]{{4}})"), "[.-]", "/")
     bank = r"\s*([A-Z0-9\s.,&]{3,80})"
-    owner = [r"(?i)(?:owner'?s?\s+name|registered\s+owner|owner)\s*:?\s*([A-Z][A-Za-z\s]{3,50})", r"(?i)(?:name|नाम)\s*:?\s*([A-Z][A-Za-z\s]{3,50})"]
+    owner = [r"(?i)(?:owner|owner'?s?\s+name|registered\s+owner)\s*:?\s*([A-Z][A-Za-z\s]{3,50})", r"(?i)(?:name|नाम)\s*:?\s*([A-Z][A-Za-z\s]{3,50})"]
     return {
         "registration_number": f"CASE WHEN {d.size(every)} = 1 THEN {d.head(every)} END",
         "owner_name": chain(owner, lambda p: if_name(collapsed(d, d.first(t, p)))),

@@ -100,7 +100,10 @@ def consistency(fields: DataFrame, as_of: str) -> DataFrame:
 
 
 def field_boxes(fields: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per field: the first line that holds its value or is held by it, and that line's box."""
-    v, t = F.lower(F.trim("value")), F.lower(F.trim("text"))
-    met = fields.select("doc_id", "field_name", v.alias("v")).join(lines.select("doc_id", "line_num", t.alias("t"), "x", "y", "w", "h"), "doc_id").where(F.contains("t", "v") | F.contains("v", "t"))
-    return met.groupBy("doc_id", "field_name").agg(F.min(F.struct("line_num", "x", "y", "w", "h")).alias("b")).select("doc_id", "field_name", "b.*")
+    """Per field: the first line that holds its value or is held by it, and that line's box. Lines are found by an inverted index of substrings."""
+    held = fields.select("doc_id", "field_name", F.lower(F.trim("value")).alias("v"))
+    shown = lines.select("doc_id", "line_num", F.lower(F.trim("text")).alias("t"), "x", "y", "w", "h")
+    first = shown.groupBy("doc_id", "t").agg(F.min(F.struct("line_num", "x", "y", "w", "h")).alias("b"))
+    met = containments(held.select("doc_id", "v").distinct(), first.select("doc_id", "t")).join(first, ["doc_id", "t"])
+    best = met.groupBy("doc_id", "v").agg(F.min("b").alias("b"))
+    return held.join(best, ["doc_id", "v"]).select("doc_id", "field_name", "b.*")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,15 +91,21 @@ def keyword_scores(docs: DataFrame, text: str, keywords: DataFrame, most: int =
 def pattern_scores(docs: DataFrame, text: str, patterns: DataFrame, most: int = WORKER_CHARS) -> DataFrame:
     """doc_id, type, score: the weights of each type's patterns that the text matches, upper or lower case. patterns: type, pattern, weight.
 
-    A table that fits is compiled once a task; each pattern of a larger one is
-    compiled where it meets a block of texts. Every text is held against every
-    pattern: expressions have no common key.
+    Every text is held against every pattern: expressions have no common key.
+    A table that fits is compiled once a task; a larger one is taken in parts
+    that fit, each a pass of its own over the texts.
     """
     table = patterns.where("pattern IS NOT NULL AND type IS NOT NULL").groupBy("type", "pattern").agg(F.max("weight").cast("long").alias("weight"))
     plain = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    if not fits_workers(table, "pattern", most):
-        raise ValueError("patterns of more than WORKER_CHARS characters: make keywords of them, or raise the limit")
-    rows = [tuple(r) for r in table.select("type", "pattern", "weight").collect()]
+    size = table.agg(F.sum(F.length("pattern") + 16)).first()[0] or 0
+    parts = max(1, -(-size // max(1, most)))
+    part = F.pmod(F.xxhash64("type", "pattern"), F.lit(parts))
+    found = [_matched(plain, [tuple(r) for r in table.where(part == k).select("type", "pattern", "weight").collect()]) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "type").agg(F.sum("score").alias("score")) if parts > 1 else found[0]
+
+
+def _matched(docs: DataFrame, rows: list[tuple[str, str, int]]) -> DataFrame:
+    """doc_id, type, score by patterns. docs: doc_id, t."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
@@ -115,7 +122,7 @@ def pattern_scores(docs: DataFrame, text: str, patterns: DataFrame, most: int =
             yield pd.DataFrame(out, columns=["doc_id", "type", "score"])
 
     kind = docs.select("doc_id").schema.simpleString()[len("struct<") : -1]
-    return plain.mapInPandas(match, f"{kind}, type string, score long")
+    return docs.mapInPandas(match, f"{kind}, type string, score long")
 
 
 def rule_scores(docs: DataFrame, text: str, tables: dict[str, DataFrame], most: int = WORKER_CHARS) -> DataFrame:

@@ -57,9 +57,9 @@ def field_spatial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors of each type over card texts."""
-    c = fixtures.cards(spark, sf_dir).select("doc_id", F.explode(F.array("full_text")).alias("full_text"))
-    parts = {f"{k}_{n}": v for k in rules.TYPES for n, v in zip(("required", "optional", "score"), classify.anchor_score(F.col("full_text"), k), strict=True)}
-    return c.select("doc_id", *[F.round(v, 9).alias(n) if n.endswith("score") else v.alias(n) for n, v in parts.items()])
+    out = classify.anchor_scores(fixtures.cards(spark, sf_dir), "full_text")
+    names = [f"{k}_{n}" for k in rules.TYPES for n in ("required", "optional", "score")]
+    return out.select("doc_id", *[F.round(n, 9).alias(n) if n.endswith("score") else F.col(n) for n in names])
 
 
 def decision_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,25 @@ def confidence_sql(values: str, words_: str, score: str) -> str:
    WHERE f.field_name <> 'signature_present' GROUP BY f.doc_id, f.doc_type, f.field_name, f.value) g"""
 
 
+def _anchor_sql() -> str:
+    """Every anchor against every window of as many words, all distances worked out."""
+    rows = _values([(t, a, len(a.split()), " ".join(sorted(a.split())), part) for t, parts in rules.ANCHORS.items() for part, names in parts.items() for a in names])
+    counts = ", ".join(f"CAST(count(*) FILTER (a.doc_type = '{t}' AND a.part = '{p}' AND hit) AS INT) AS {t}_{p}" for t in rules.TYPES for p in ("required", "optional"))
+    scores = ", ".join(f"{t}_required, {t}_optional, round(least(1.0, {t}_required / {len(rules.ANCHORS[t]['required'])}::DOUBLE + least(0.2, {t}_optional * 0.05)), 9)::DOUBLE AS {t}_score" for t in rules.TYPES)
+    return f"""WITH a(doc_type, anchor, n, wanted, part) AS (VALUES {rows}), c AS (SELECT doc_id, lower(full_text) AS t, string_split_regex(trim(lower(full_text)), '\\s+') AS ws FROM {fixtures.CARDS} k),
+  w AS MATERIALIZED (SELECT DISTINCT doc_id, n, array_to_string(list_sort(ws[i + 1:i + n]), ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(greatest(len(ws) - n + 1, 1))) AS i FROM c, (SELECT DISTINCT n FROM a) l) x),
+  s AS (SELECT w.doc_id, a.wanted, max(100.0::DOUBLE * (1 - levenshtein(win, wanted)::DOUBLE / greatest(length(win), length(wanted)))) AS sim FROM w JOIN (SELECT DISTINCT n, wanted FROM a) a ON a.n = w.n GROUP BY w.doc_id, a.wanted),
+  h AS (SELECT c.doc_id, a.doc_type, a.part, contains(c.t, a.anchor) OR s.sim >= 80 AS hit FROM c JOIN s USING (doc_id) JOIN a USING (wanted))
+SELECT doc_id, {scores} FROM (SELECT doc_id, {counts} FROM h a GROUP BY doc_id) z"""
+
+
 _CARD_WORDS = f"card_words AS MATERIALIZED (SELECT * FROM {sql.words(fixtures.CARD_LINES)} w)"
 SQL = {
     "field_confidence": f"WITH {_FIELDS}, {_CARD_WORDS} {confidence_sql('fields', 'card_words', sql.stats('card_words'))}",
+    "anchor_score": _anchor_sql(),
+    "consistency_rules": f"""WITH {_FIELDS}, v AS (SELECT doc_id, field_name, try_strptime(regexp_replace(value, '[.-]', '/', 'g'), '%d/%m/%Y')::DATE AS day, TRY_CAST(right(value, 4) AS INT) AS y FROM fields),
+      d AS (SELECT doc_id, max(day) FILTER (field_name = 'date_of_birth') AS born, max(day) FILTER (field_name = 'registration_date') AS reg, max(day) FILTER (field_name = 'fitness_validity_date') AS fit, max(day) FILTER (field_name = 'insurance_validity_date') AS ins, max(y) FILTER (field_name = 'manufacturing_date') AS made FROM v GROUP BY doc_id)
+      SELECT doc_id, born IS NULL OR (born <= DATE '{AS_OF}' AND year(DATE '{AS_OF}') - year(born) < 151) AS dob_ok, reg IS NULL OR made IS NULL OR year(reg) >= made AS registration_ok, fit IS NULL OR reg IS NULL OR NOT fit < reg AS fitness_ok, ins IS NULL OR reg IS NULL OR NOT ins < reg AS insurance_ok FROM d""",
     "extracted_fields": f"WITH {_FIELDS} SELECT * FROM fields",
     "schema_score": f"""WITH {_FIELDS}, {_DOCS}, wt(doc_type, field_name, weight) AS (VALUES {_values([(t, f, w) for t, ws in rules.FIELD_WEIGHTS.items() for f, w in ws.items()])}), rq(doc_type, field_name) AS (VALUES {_values([(t, f) for t, fs in rules.REQUIRED.items() for f in fs])}),
       s AS (SELECT d.doc_id, d.doc_type, round(sum(CASE WHEN f.value IS NOT NULL THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE, 9) AS schema_score, coalesce(string_agg(wt.field_name, ', ' ORDER BY wt.field_name) FILTER (f.value IS NULL AND weight >= {rules.CRITICAL_WEIGHT}), '') AS missing_critical

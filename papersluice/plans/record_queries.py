@@ -81,12 +81,13 @@ def region_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed records of cards: some of their values, and whether they make JSON."""
+    """Typed records of cards: some of their values, and the name and the number of fields as their JSON has them."""
     docs = records.typed_records(_typed(spark, sf_dir), card_fields(spark, sf_dir))
     name = F.coalesce("aadhaar.name.value", "pan.name.value", "vehicle_rc.owner_name.value")
     number = F.coalesce("aadhaar.aadhaar_number.confidence", "pan.pan_number.confidence", "vehicle_rc.registration_number.confidence")
-    json = F.length(records.to_json_record()) > 0
-    return docs.select("doc_id", "document_type", name.alias("name"), number.alias("number_confidence"), F.col("pan.signature_present").alias("signed"), json.alias("has_json"))
+    json = F.parse_json(records.to_json_record())
+    read = F.coalesce(*[F.variant_get(json, p, "string") for p in ("$.aadhaar.name.value", "$.pan.name.value", "$.vehicle_rc.owner_name.value")])
+    return docs.select("doc_id", "document_type", name.alias("name"), number.alias("number_confidence"), F.col("pan.signature_present").alias("signed"), read.alias("json_name"), F.variant_get(json, "$.document_type", "string").alias("json_type"))
 
 
 def attached_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,8 @@ SQL = {
     "typed_records": f"""WITH {_FIELDS}, {_DOCS}, c(doc_type, field_name, confidence) AS (VALUES {_CONFIDENCE})
       SELECT d.doc_id, d.doc_type AS document_type, max(f.value) FILTER (f.field_name = CASE WHEN d.doc_type = 'vehicle_rc' THEN 'owner_name' ELSE 'name' END) AS name,
         CAST(CASE WHEN count(*) FILTER (f.field_name = c.field_name) > 0 THEN max(c.confidence) ELSE 0 END AS DOUBLE) AS number_confidence,
-        CASE WHEN d.doc_type = 'pan' THEN count(*) FILTER (f.field_name = 'signature_present') > 0 END AS signed, true AS has_json
+        CASE WHEN d.doc_type = 'pan' THEN count(*) FILTER (f.field_name = 'signature_present') > 0 END AS signed,
+        max(f.value) FILTER (f.field_name = CASE WHEN d.doc_type = 'vehicle_rc' THEN 'owner_name' ELSE 'name' END) AS json_name, d.doc_type AS json_type
       FROM docs d JOIN c USING (doc_type) LEFT JOIN fields f ON f.doc_id = d.doc_id GROUP BY d.doc_id, d.doc_type""",
 }
 SQL["merge_passes"] = f"""WITH {_FIELDS}, need2 AS (SELECT doc_id FROM ({SQL["two_passes"]}) p WHERE needs_second), clean AS (SELECT * FROM {_fields_sql(fixtures.CLEAN_CARDS)} g WHERE doc_id IN (SELECT doc_id FROM need2)),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from papersluice.functions.dialect import SPARK, Dialect, Stage
 from papersluice.operators import extract
+from papersluice.operators.classify import anchor_filter
 from papersluice.session import written
 from papersluice.sources import rules
 
@@ -116,11 +117,19 @@ def common(d: Dialect) -> list[Stage]:
     return [*unsorted(d), typed(d), chosen(d)]
 
 
+def _windows(d: Dialect, n: int) -> str:
+    """Every n words in a row, sorted and joined."""
+    return d.map(d.range("0", f"greatest({d.size('low_texts')} - {n - 1}, 1)"), lambda i: d.join(d.sort(d.slice("low_texts", i, n)), " "), "i")
+
+
 def _anchor(d: Dialect, a: str) -> str:
-    n, wanted = len(a.split()), " ".join(sorted(a.split()))
-    window = lambda i: d.join(d.sort(d.slice("low_texts", i, n)), " ")
-    near = d.map(d.range("0", f"greatest({d.size('low_texts')} - {n - 1}, 1)"), lambda i: f"{d.double('100')} * (1 - {d.double(f'''levenshtein({window(i)}, '{wanted}')''')} / greatest(length({window(i)}), {len(wanted)}))", "i")
-    return f"CASE WHEN contains(lower(full_text), '{a}') THEN 1 WHEN {d.max(near)} >= {rules.ANCHOR_THRESHOLD} THEN 1 ELSE 0 END"
+    """1 if the text holds the anchor or a window is similar enough; distances only of windows that share a piece with it."""
+    wanted, least, most, edits, pieces = anchor_filter(a)
+    distance = f"levenshtein(w, '{wanted}')" if d.duck else f"levenshtein(w, '{wanted}', {edits})"
+    shares = " OR ".join(f"contains(w, '{p}')" for p in pieces) or "true"
+    similar = f"{distance} >= 0 AND {d.double(100)} * (1 - {d.double(distance)} / greatest(length(w), {len(wanted)})) >= {rules.ANCHOR_THRESHOLD}"
+    near = d.keep(f"win_{len(a.split())}", lambda w: f"length({w}) BETWEEN {least} AND {most} AND ({shares}) AND {similar}", "w")
+    return f"CASE WHEN contains(lower(full_text), '{a}') THEN 1 WHEN {d.size(near)} > 0 THEN 1 ELSE 0 END"
 
 
 def branch(d: Dialect, kind: str) -> list[Stage]:
@@ -128,6 +137,7 @@ def branch(d: Dialect, kind: str) -> list[Stage]:
     fields = extract.EXTRACTORS[kind](d, "full_text", "line_texts", "word_texts")
     weights, required, anchors = rules.FIELD_WEIGHTS[kind], rules.REQUIRED[kind], rules.ANCHORS[kind]
     least, most, _, _ = rules.PROFILES[kind]
+    lengths = sorted({len(a.split()) for names in anchors.values() for a in names})
     dbl = d.double
     has = lambda f: f"f_{f} IS NOT NULL"
     each = d.array(*[d.struct(field_name=f"'{f}'", value=f"f_{f}") for f in fields])
@@ -154,7 +164,7 @@ def branch(d: Dialect, kind: str) -> list[Stage]:
           - (CASE WHEN special_share > {most} THEN (special_share - {dbl(most)}) / {dbl(1 - most)} * {dbl(0.8)} ELSE {dbl(0)} END)) END""",
         "mandatory_present": "required_present AND missing_critical = ''",
     }
-    return [{f"f_{f}": v for f, v in fields.items()}, {"low_texts": d.map("word_texts", lambda x: f"lower({x})")}, scored, scores, final(d), *decided(d)]
+    return [{f"f_{f}": v for f, v in fields.items()}, {"low_texts": d.map("word_texts", lambda x: f"lower({x})")}, {f"win_{n}": _windows(d, n) for n in lengths}, scored, scores, final(d), *decided(d)]
 
 
 def final(d: Dialect) -> Stage:

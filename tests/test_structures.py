@@ -146,3 +146,82 @@ def test_a_hundred_thousand_keywords(spark):
         assert len(got) == len(want) and {(x.doc_id, x.type): x.score for x in got} == want
     pairs, met = keywords.keyword_pairs(docs.select("doc_id", F.lower("t").alias("t")), keywords.keyword_table(table))
     assert pairs.count() < 0.05 * len(texts) * len(words) and met.count() > 1000
+
+
+def test_patterns_in_parts(spark):
+    table = spark.createDataFrame([("a", r"x+\d", 5), ("a", "yy", 3), ("b", r"\bX1\b", 2), ("b", None, 9), ("c", "z$", 4)], "type string, pattern string, weight int")
+    docs = spark.createDataFrame([(1, "xx1 YY"), (2, "x1"), (3, None), (4, "a\nz")], "doc_id int, t string")
+    want = {(1, "a", 8), (2, "a", 5), (2, "b", 2), (4, "c", 4)}
+    for most in (10**6, 40):
+        assert {tuple(r) for r in keywords.pattern_scores(docs, "t", table, most).collect()} == want
+
+
+def test_quarantine_counts_every_reason(spark):
+    from pyspark.sql import Observation
+
+    from papersluice.operators import quarantine
+
+    rows = [(1, 0.5, 0.1, "merged", 0, 0, 4, 4), (2, 1.5, None, "ocr", 0, 0, 4, 4), (3, float("nan"), 0.2, None, 0, 0, -1, 4), (None, 1.0, 1.0, "contour", 0, 0, 0, 0), (5, 0.1, 0.1, "contour", None, 0, 1, 1)]
+    frame = spark.createDataFrame(rows, "region_id int, confidence double, area_ratio double, method string, x int, y int, w int, h int")
+    seen = Observation("regions")
+    good, bad = quarantine.split(frame, quarantine.region_faults(), seen)
+    assert {r.region_id: r.reasons for r in bad.collect()} == {2: ["confidence", "area_ratio", "method"], 3: ["confidence", "method", "box"], 5: ["box"]}
+    assert seen.get == {"good": 2, "faulty": 3, "reason_confidence": 2, "reason_area_ratio": 1, "reason_method": 2, "reason_box": 2}
+    assert {r.region_id for r in good.drop("reasons").collect()} == {1, None} and good.columns == frame.columns
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(['{"doc_id": 1, "lines": [{"text": "a", "confidence": 5}]}', "{", None, "[]", '{"doc_id": 2, "lines": null}', '{"doc_id": 3, "lines": [null]}'])], "k int, json string")
+    got = {r.k: r.reasons for r in quarantine.judged(quarantine.parsed_documents(texts), quarantine.document_faults()).collect()}
+    assert got[0] == [] and got[1] == ["unreadable"] and got[4] == ["no lines"] and all(got[k] for k in (2, 3, 5))
+
+
+def test_anchors_are_found_with_few_distances(spark):
+    from papersluice.operators import classify
+    from papersluice.sources import rules
+
+    r = random.Random(11)
+    names = sorted({a for k in rules.ANCHORS.values() for part in k.values() for a in part})
+
+    def damaged(a):
+        a = " ".join(r.sample(a.split(), len(a.split())))
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(a))
+            a = r.choice([a[:k] + a[k + 1 :], a[:k] + r.choice("aeio") + a[k:], a[:k] + r.choice("aeio") + a[k + 1 :]]) or "x"
+        return a
+
+    texts = [" ".join(damaged(r.choice(names)) for _ in range(12)).title() for _ in range(60)] + ["", "Pan", None]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, last = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[-1] + 1))
+        return row[-1]
+
+    def found(text, a):
+        ws, n, wanted = text.lower().split(), len(a.split()), " ".join(sorted(a.split()))
+        windows = [" ".join(sorted(ws[i : i + n])) for i in range(max(len(ws) - n + 1, 1))]
+        return a in text.lower() or any(100 * (1 - distance(w, wanted) / max(len(w), len(wanted))) >= 80 for w in windows)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
+    for row in classify.anchor_scores(frame, "t").collect():
+        for k, parts in rules.ANCHORS.items():
+            assert (row[f"{k}_required"], row[f"{k}_optional"]) == tuple(sum(found(texts[row.doc_id] or "", a) for a in parts[p]) for p in ("required", "optional"))
+    windows = {n: [w for x in frame.select(classify.anchor_windows(F.coalesce("t", F.lit("")), n).alias("w")).collect() for w in x.w] for n in (1, 2, 3)}
+    compared = total = 0
+    for a in names:
+        own = spark.createDataFrame([(w,) for w in windows[len(a.split())]], "w string")
+        total += own.count()
+        compared += own.where(classify.near_anchor(F.col("w"), a)[0]).count()
+    assert compared < 0.1 * total
+
+
+def test_records_carry_quality_and_regions(spark):
+    import json
+
+    from papersluice.operators import documents
+
+    metrics = ", ".join(f"{m} double" for m in documents.METRICS)
+    row = spark.createDataFrame([(*[float(i) for i in range(6)], 0.5, False, ["dark"], (1, 2, 30, 0, 0.9, "merged", 0.1))], f"{metrics}, image_quality_score double, quality_passed boolean, quality_reasons array<string>, r struct<x:int,y:int,w:int,h:int,confidence:double,method:string,area_ratio:double>")
+    q, r = row.select(F.to_json(documents.quality_dict()), F.to_json(documents.region_dict(F.col("r")))).first()
+    assert json.loads(q) == {m: float(i) for i, m in enumerate(documents.METRICS)} | {"composite_score": 0.5, "passed": False, "failure_reasons": ["dark"]}
+    assert json.loads(r) == {"bbox": [1, 2, 30, 0], "confidence": 0.9, "detection_method": "merged", "area_ratio": 0.1, "aspect_ratio": 0}
