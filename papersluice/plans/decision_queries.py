@@ -141,11 +141,17 @@ SELECT doc_id, CASE WHEN step <= 5 OR step = 9 THEN 'reject' WHEN step = 7 AND N
     CASE WHEN step = 9 AND schema_score < 0.5 THEN 'Failed schema validation' END, CASE WHEN step = 9 AND regex_score < 0.5 THEN 'Failed regex validation' END,
     CASE WHEN step = 9 AND layout_score < 0.3 THEN 'Layout does not match expected template' END, CASE WHEN step = 9 AND consistency_score < 0.5 THEN 'Failed consistency checks' END) AS reasons
 FROM a"""
+_SHOWN = "printf('%.{2}f', floor({0} * {1} + 0.5) / {1})"
 SQL = {
     "decisions": _DECISIONS,
     "full_triage": f"{_WITH} SELECT {_ROW}, len(fields) AS n_fields, total_words FROM tri",
     "document_confidence": f"{_WITH} SELECT doc_id, {', '.join(f'round({c}, 9) AS {c}' for c in tr.RESULT if c.endswith('_score'))} FROM tri",
-    "quality_gate": f"SELECT doc_id, quality_passed, array_to_string(quality_reasons, '; ') AS reasons, round(image_quality_score, 9) AS score, blur_score FROM {staged(DUCK, '(' + fixtures.METRICS.format(table='lineitem') + ')', [tr.quality_gate(DUCK), tr.quality_parts(DUCK), tr.quality_score(DUCK)])} m",
+    "quality_gate": f"""WITH m AS ({fixtures.METRICS.format(table="lineitem")}), r AS (SELECT *, concat_ws('; ', CASE WHEN NOT blur_score >= 50 THEN 'Blur score ' || {_SHOWN.format("blur_score", 100, 2)} || ' below threshold 50.0' END,
+          CASE WHEN NOT brightness_score BETWEEN 20 AND 240 THEN 'Brightness ' || {_SHOWN.format("brightness_score", 100, 2)} || ' outside range' END, CASE WHEN contrast_score < 0.2 THEN 'Contrast ratio ' || {_SHOWN.format("contrast_score", 100, 2)} || ' below threshold 0.2' END,
+          CASE WHEN edge_density < 0.005 THEN 'Edge density ' || {_SHOWN.format("edge_density", 10000, 4)} || ' below threshold 0.005' END, CASE WHEN glare_ratio > 0.05 THEN 'Glare ratio ' || {_SHOWN.format("(glare_ratio * 100)", 10, 1)} || '% exceeds threshold' END) AS reasons FROM m)
+      SELECT doc_id, reasons = '' AS quality_passed, reasons, round(0.3 * least(blur_score / 1000, 1) + CASE WHEN brightness_score BETWEEN 20 AND 240 THEN 0.2 - 0.1 * abs(brightness_score - 127.5) / 127.5 ELSE 0 END
+        + 0.2 * CASE WHEN resolution_score >= 1920 * 1080 THEN 1 WHEN resolution_score >= 640 * 480 THEN 0.5 + (resolution_score - 640 * 480) / (2.0 * (1920 * 1080 - 640 * 480)) ELSE resolution_score / (640 * 480) END
+        + 0.2 * CASE WHEN contrast_score < 0.1 THEN 0 ELSE least(1, 2 * contrast_score) END + 0.1 * CASE WHEN glare_ratio > 0.05 THEN greatest(0, 1 - 20 * glare_ratio) ELSE 1 - 10 * glare_ratio END, 9) AS score, blur_score FROM r""",
     "api_view": f"{_WITH} SELECT doc_id, decision, round(final_score, 3) AS score, coalesce(reasons[1], '-') AS reason, {_VALUE('name', 'owner_name')} AS name, {_VALUE('aadhaar_number', 'pan_number', 'registration_number')} AS id_number FROM tri",
     "decision_summary": f"{_WITH} SELECT doc_type, decision, count(*) AS n_docs, round(avg(final_score), 6) AS mean_score, CAST(grouping(doc_type, decision) AS INT) AS level FROM tri GROUP BY ROLLUP (doc_type, decision)",
     "typed_documents": f"""{_WITH}, c AS (SELECT doc_id, doc_type, {_KEY} AS key, list_filter(list_transform(fields, lambda x: {{'f': x.field_name, 'c': CAST({_CONF} AS DOUBLE)}}), lambda x: x.c IS NOT NULL) AS typed FROM tri),
