@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papersluice.functions import text
 from papersluice.sources import rules
 
 #: How far below a label its value may stand, in pixels.
@@ -42,6 +43,14 @@ def two_passes(one: DataFrame, two: DataFrame, missing: DataFrame, scores: DataF
     return rows.select("doc_id", needs.alias("needs_second"), weak.alias("weak"), F.when(needs & (count("n2") > count("n1")), 2).otherwise(1).alias("primary_pass"))
 
 
+def registration_words(words: DataFrame) -> DataFrame:
+    """doc_id, value: the first word of a document that is a registration number by itself, once all but letters and digits is stripped. Only sound words leave their partition."""
+    bare = F.regexp_replace(F.upper("text"), "[^A-Z0-9]", "")
+    sound = words.select("doc_id", "line_num", "word_num", bare.alias("t")).where(text.valid_registration(F.col("t")))
+    first = sound.groupBy("doc_id").agg(F.min(F.struct("line_num", "word_num", "t")).alias("f"))
+    return first.select("doc_id", text.format_registration(F.col("f.t")).alias("value"))
+
+
 def field_value(values: Column, name: str, confidence: float) -> Column:
     """struct(value, confidence) of a field; an absent or empty one has confidence 0."""
     value = F.nullif(F.try_element_at(values, F.lit(name)), F.lit(""))

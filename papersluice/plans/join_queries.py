@@ -18,8 +18,9 @@ AS_OF = "2024-12-31"
 
 
 def card_fields(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
+    """The long table of the cards' fields. Typed cards are stored once and read by each type's branch."""
     typed = classify.classify(fixtures.cards(spark, sf_dir, clean), "full_text").select("doc_id", "doc_type", "full_text")
-    return extract.extract_fields(typed.select(F.inline(F.array(F.struct("*")))))
+    return extract.extract_fields(written(typed, "typed_cards"))
 
 
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

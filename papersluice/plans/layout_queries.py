@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papersluice.functions import sql
 from papersluice.operators import classify, layout, words
-from papersluice.session import read_table
+from papersluice.session import read_table, spread
 from papersluice.sources import fixtures, rules
 from papersluice.sources.fixtures import PADDING, PAGE_H, PAGE_W
 
@@ -54,7 +54,7 @@ def layout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the mean length of a document's words is in its type's range."""
-    docs = classify.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = classify.classify(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     tokens = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     mean = F.length(F.regexp_replace("text", r"\s+", "")) / F.size(tokens)
     low, high = (F.create_map(*[F.lit(v) for k, p in rules.PROFILES.items() for v in (k, p[i])])[F.col("doc_type")] for i in (2, 3))

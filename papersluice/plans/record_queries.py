@@ -90,6 +90,11 @@ def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "document_type", name.alias("name"), number.alias("number_confidence"), F.col("pan.signature_present").alias("signed"), read.alias("json_name"), F.variant_get(json, "$.document_type", "string").alias("json_type"))
 
 
+def registration_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with a word that is a registration number by itself."""
+    return records.registration_words(words.line_words(fixtures.card_lines(spark, sf_dir)))
+
+
 def attached_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of the cards' structured documents, read back from JSON: own confidence of each field, overall confidence and decision of the triage."""
     docs = written(card_input(spark, sf_dir).select("doc_id", "lines", *documents.METRICS), "cards")
@@ -107,7 +112,7 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.label_value_proximity(words.line_words(fixtures.card_lines(spark, sf_dir)), ["dob:", "name:", "owner:"])
 
 
-QUERIES = {f.__name__: f for f in (date_functions, validators, missing_fields, two_passes, merge_passes, region_union, typed_records, attached_documents, label_values)}
+QUERIES = {f.__name__: f for f in (date_functions, validators, missing_fields, two_passes, merge_passes, region_union, typed_records, registration_words, attached_documents, label_values)}
 
 _STOP = lambda kind: " OR ".join(f"contains(lower(name), '{p}')" for p in rules.NOT_NAMES[kind])
 _pairs = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
@@ -172,3 +177,5 @@ SQL["attached_documents"] = f"""{_WITH}, {_CARD_WORDS}, d(doc_type, field_name)
   SELECT t.doc_id, t.doc_type AS document_type, t.decision, t.hard_rejection, CAST(len(t.reasons) AS INT) AS n_reasons, round(t.final_score, 9) AS overall_confidence, d.field_name, h.value,
     CASE WHEN h.value IS NULL THEN 0 ELSE c.confidence END AS confidence
   FROM tri t JOIN d ON d.doc_type = t.doc_type LEFT JOIN held h ON h.doc_id = t.doc_id AND h.field_name = d.field_name LEFT JOIN conf c ON c.doc_id = t.doc_id AND c.field_name = d.field_name"""
+SQL["registration_words"] = """SELECT c_custkey AS doc_id, concat('MH-', lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0'), '-B', chr(CAST(65 + c_custkey % 10 AS INT)), '-', lpad(CAST(7919 * c_custkey % 10000 AS VARCHAR), 4, '0')) AS value
+  FROM customer WHERE c_custkey % 20 <> 19 AND c_custkey % 3 = 2 AND c_custkey % 11 = 0"""

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from papersluice.functions import sql, text
 from papersluice.operators import classify as cl
 from papersluice.operators import words as wo
-from papersluice.session import read_table
+from papersluice.session import read_table, spread
 from papersluice.sources import fixtures, rules
 
 AS_OF = "2001-08-01"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, over all cores: many expressions look at every text."""
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cl.classify(docs, "text").drop("text")
+    return cl.classify(_documents(spark, sf_dir), "text").drop("text")
 
 
 def documents_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +48,19 @@ def digit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cl.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = cl.classify(_documents(spark, sf_dir), "text")
     t = F.col("text")
     return docs.select("doc_id", "doc_type", text.digit_ratio(t).alias("digit_ratio"), text.special_ratio(t).alias("special_ratio"), text.distribution_score(t, F.col("doc_type")).alias("distribution_score"))
 
 
 def kv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return read_table(spark, sf_dir, "documents").select("doc_id", *[text.kv_score(t, k).alias(f"kv_{k}") for k in ("invoice", "id_document", "aadhaar")])
+    return _documents(spark, sf_dir).select("doc_id", *[text.kv_score(t, k).alias(f"kv_{k}") for k in ("invoice", "id_document", "aadhaar")])
 
 
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return read_table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id",
         text.collapse_ws(t).alias("collapsed"),
         text.clean_ocr_noise(t).alias("cleaned"),
