@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papersluice.functions import text
 from papersluice.operators.containment import containments
 from papersluice.sources import rules
 
@@ -107,3 +108,23 @@ def field_boxes(fields: DataFrame, lines: DataFrame) -> DataFrame:
     met = containments(held.select("doc_id", "v").distinct(), first.select("doc_id", "t")).join(first, ["doc_id", "t"])
     best = met.groupBy("doc_id", "v").agg(F.min("b").alias("b"))
     return held.join(best, ["doc_id", "v"]).select("doc_id", "field_name", "b.*")
+
+
+#: Fields that business rules look at: dates that shouldn't lie in the future or too far back, and amounts. Identity documents have dates of their own.
+DATE_FIELDS, ID_DATE_FIELDS = ["date", "invoice_date", "bill_date", "due_date"], ["date_of_birth", "dob", "issue_date"]
+AMOUNT_FIELDS = ["total_amount", "amount", "grand_total", "net_amount"]
+
+
+def business_rules(fields: DataFrame, as_of: str, dates: list[str] = DATE_FIELDS, amounts: list[str] = AMOUNT_FIELDS, max_age: int = 365, least: float = 0.0, most: float = 1_000_000.0) -> DataFrame:
+    """doc_id, rule_failures (reasons joined by '; ') of documents with fields that fail a rule: dates first, in the order of the lists. fields: doc_id, field_name, value; values that can't be read pass."""
+    asked = fields.where(F.col("field_name").isin(dates + amounts) & F.col("value").isNotNull())
+    bare = F.regexp_replace("value", "[.-]", "/")
+    day = F.coalesce(F.try_to_timestamp(bare, F.lit("d/M/yyyy")), F.try_to_timestamp(bare, F.lit("yyyy/M/d"))).cast("date")
+    why, now = F.lit(None).cast("string"), F.lit(as_of).cast("date")
+    for name in dates:
+        why = F.when(F.col("field_name") == name, text.date_reason(day, F.col("value"), name, now, max_age)).otherwise(why)
+    for name in amounts:
+        why = F.when(F.col("field_name") == name, text.amount_reason(F.col("value"), name, least, most)).otherwise(why)
+    failed = asked.select("doc_id", F.array_position(F.array(*[F.lit(n) for n in dates + amounts]), F.col("field_name")).alias("place"), why.alias("why")).where("why IS NOT NULL")
+    listed = failed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "why"))).alias("r"))
+    return listed.select("doc_id", F.array_join(F.transform("r", lambda x: x["why"]), "; ").alias("rule_failures"))

@@ -10,14 +10,17 @@ from papersluice.plans import triage as tr
 from papersluice.session import read_table
 from papersluice.sources import fixtures, rules
 
-_METRICS = """CAST(200 + abs(c_acctbal) / 10 AS DOUBLE) AS blur_score, CAST(15 + doc_id % 220 AS DOUBLE) AS brightness_score, CAST(100000 * (1 + doc_id % 25) AS DOUBLE) AS resolution_score,
-  CAST((doc_id % 19 + 3) / CAST(20 AS DOUBLE) AS DOUBLE) AS contrast_score, CAST(0.01 AS DOUBLE) AS edge_density, CAST((doc_id % 12) / CAST(230 AS DOUBLE) AS DOUBLE) AS glare_ratio"""
+METRIC_EXPRS = [
+    "CAST(200 + abs(c_acctbal) / 10 AS DOUBLE) AS blur_score", "CAST(15 + doc_id % 220 AS DOUBLE) AS brightness_score", "CAST(100000 * (1 + doc_id % 25) AS DOUBLE) AS resolution_score",
+    "CAST((doc_id % 19 + 3) / CAST(20 AS DOUBLE) AS DOUBLE) AS contrast_score", "CAST(0.01 AS DOUBLE) AS edge_density", "CAST((doc_id % 12) / CAST(230 AS DOUBLE) AS DOUBLE) AS glare_ratio",
+]
+_METRICS = ", ".join(METRIC_EXPRS)
 
 
 #: What else is known of a document; planted flags for the query that shows every arm of the decision.
-_FLAGS = "false AS conflicting_schemas, false AS multi_document, '' AS rule_failures"
+_FLAGS = "false AS conflicting_schemas, false AS multi_document, '' AS rule_failures, CAST(1 AS DOUBLE) AS spatial_score"
 _PLANTED = """doc_id % 23 = 5 AS conflicting_schemas, doc_id % 11 = 4 AS multi_document,
-  CASE WHEN c_acctbal > 6000 THEN 'Amount too large in total_amount' ELSE '' END AS rule_failures"""
+  CASE WHEN c_acctbal > 6000 THEN 'Amount too large in total_amount' ELSE '' END AS rule_failures, CAST(1 AS DOUBLE) AS spatial_score"""
 
 
 def input_sql(d: Dialect, customer: str, clean: bool = False, flags: str = _FLAGS) -> str:

@@ -129,14 +129,21 @@ def _greedy_sql(order: str) -> str:
 SQL["nms"] = f"WITH RECURSIVE {_greedy_sql('confidence DESC, region_id')} SELECT o.doc_id, o.region_id FROM walk JOIN o USING (doc_id, place) WHERE walk.seed = walk.place"
 SQL["merge_overlaps"] = f"""WITH RECURSIVE {_greedy_sql('region_id')} SELECT o.doc_id, min(o.region_id) AS region_id, CAST(count(*) AS INT) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, round(avg(confidence), 9) AS confidence
   FROM walk JOIN o USING (doc_id, place) GROUP BY o.doc_id, walk.seed"""
-#: Neighbours by pairs, clusters by reachability.
-SQL["dbscan_regions"] = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, line_num AS i, x, y, w, h FROM {_LINES} l), n AS MATERIALIZED (SELECT a.doc_id, a.i AS a, b.i AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500),
+def dbscan_sql(lines: str, page_w: int, page_h: int) -> str:
+    """Neighbours by pairs, clusters by reachability."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, line_num AS i, x, y, w, h FROM {lines} l),
+  n AS MATERIALIZED (SELECT a.doc_id, a.i AS a, b.i AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500),
   core AS MATERIALIZED (SELECT doc_id, a FROM n GROUP BY doc_id, a HAVING count(*) >= 3), e AS MATERIALIZED (SELECT n.* FROM n JOIN core USING (doc_id, a) JOIN core d ON d.doc_id = n.doc_id AND d.a = n.b),
-  reach(doc_id, a, b) AS (SELECT doc_id, a, a FROM core UNION SELECT r.doc_id, r.a, e.b FROM reach r JOIN e ON e.doc_id = r.doc_id AND e.a = r.b AND e.b > r.a),
+  reach(doc_id, a, b) AS (SELECT doc_id, a, a FROM core UNION SELECT r.doc_id, r.a, e.b FROM reach r JOIN e ON e.doc_id = r.doc_id AND e.a = r.b),
   named AS (SELECT doc_id, b AS a, min(a) AS c FROM reach GROUP BY doc_id, b),
-  member AS (SELECT doc_id, a, c FROM named UNION ALL SELECT n.doc_id, n.a, min(m.c) FROM n JOIN named m ON m.doc_id = n.doc_id AND m.a = n.b WHERE NOT EXISTS (SELECT 1 FROM core k WHERE k.doc_id = n.doc_id AND k.a = n.a) GROUP BY n.doc_id, n.a),
-  b AS (SELECT p.doc_id, c AS cluster, count(*) AS n, greatest(min(x) - 20, 0) AS x, greatest(min(y) - 20, 0) AS y, least(max(x + w) + 20, {PAGE_W}) AS x2, greatest({PAGE_H}, max(y + h) + 20) AS high, max(y + h) + 20 AS y2 FROM p JOIN member ON p.doc_id = member.doc_id AND p.i = member.a GROUP BY p.doc_id, c HAVING count(*) >= 5)
+  member AS (SELECT doc_id, a, c FROM named UNION ALL SELECT n.doc_id, n.a, min(m.c) FROM n JOIN named m ON m.doc_id = n.doc_id AND m.a = n.b
+    WHERE NOT EXISTS (SELECT 1 FROM core k WHERE k.doc_id = n.doc_id AND k.a = n.a) GROUP BY n.doc_id, n.a),
+  b AS (SELECT p.doc_id, c AS cluster, count(*) AS n, greatest(min(x) - 20, 0) AS x, greatest(min(y) - 20, 0) AS y, least(max(x + w) + 20, {page_w}) AS x2, greatest({page_h}, max(y + h) + 20) AS high, max(y + h) + 20 AS y2
+    FROM p JOIN member ON p.doc_id = member.doc_id AND p.i = member.a GROUP BY p.doc_id, c HAVING count(*) >= 5)
   SELECT doc_id, cluster, n, x, y, x2 - x AS w, least(y2, high) - y AS h, round(least(1.0, 1000.0 * n / ((x2 - x) * (least(y2, high) - y))), 9)::DOUBLE AS confidence FROM b"""
+
+
+SQL["dbscan_regions"] = dbscan_sql(_LINES, PAGE_W, PAGE_H)
 _ANCHOR_ROWS = ", ".join(f"('{t}', '{w}', {({'top': 0.0, 'center': 0.5, 'bottom': 1.0})[band]}, {off})" for t, rows in rules.LAYOUT.items() for w, band, off in rows)
 SQL["layout_score"] = f"""WITH a(doc_type, word, middle, off) AS (VALUES {_ANCHOR_ROWS}), d AS (SELECT doc_id, doc_type FROM {sql.classified(fixtures.CARDS, "full_text")} c),
   l AS (SELECT *, greatest({PAGE_H}, max(y + h) OVER (PARTITION BY doc_id) + 20) AS high FROM {fixtures.CARD_LINES} z),

@@ -55,7 +55,7 @@ def _by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     over = F.when(F.col("special_share") > F.col("max_special"), (F.col("special_share") - F.col("max_special")) / (1 - F.col("max_special")) * 0.8).otherwise(0.0)
     spread_score = F.when(F.length("full_text") == 0, 0.0).when(F.col("min_numeric").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - short - over))
     rows = rows.withColumns({
-        "regex_score": F.col("schema_score"), "layout_score": F.col("ocr_confidence_score"), "kv_score": F.lit(0.5), "spatial_score": F.lit(1.0), "distribution_score": spread_score,
+        "regex_score": F.col("schema_score"), "layout_score": F.col("ocr_confidence_score"), "kv_score": F.lit(0.5), "distribution_score": spread_score,
         "consistency_score": F.when(F.col("required_present"), 1.0).otherwise(0.5), "mandatory_present": F.col("required_present") & (F.col("missing_critical") == ""),
     })
     return tr.run_stages(tr.settled(rows), [tr.final(d), *tr.decided(d)]).select(*tr.RESULT)

@@ -8,6 +8,9 @@ own fields.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from papersluice.sources import rules
 
 #: What the stages start from. Metrics may be null: the image isn't judged then.
 INPUT = "doc_id BIGINT, lines ARRAY<STRUCT<text STRING, confidence DOUBLE>>, blur_score DOUBLE, brightness_score DOUBLE, resolution_score DOUBLE, contrast_score DOUBLE, edge_density DOUBLE, glare_ratio DOUBLE"
-#: Further columns of the input, and what they are where it has none: schemas that conflict, several documents in one image, failed business rules.
-FLAGS = {"conflicting_schemas": "false", "multi_document": "false", "rule_failures": "''"}
+#: Further columns of the input, and what they are where it has none: schemas that conflict, several documents in one image, failed business rules, compactness of the fields. plans/assess.py works them out.
+FLAGS = {"conflicting_schemas": "false", "multi_document": "false", "rule_failures": "''", "spatial_score": "CAST(1 AS DOUBLE)"}
 RESULT = [
     "doc_id", "doc_type", "decision", "final_score", "hard_rejection", "reasons", "fields", "image_quality_score", "ocr_confidence_score", "regex_score", "fuzzy_score", "layout_score", "kv_score",
     "consistency_score", "schema_score", "distribution_score", "spatial_score", "total_words", "mandatory_present", "quality_passed", "missing_critical",
@@ -132,8 +135,17 @@ def _anchor(d: Dialect, a: str) -> str:
     return f"CASE WHEN contains(lower(full_text), '{a}') THEN 1 WHEN {d.size(near)} > 0 THEN 1 ELSE 0 END"
 
 
+#: What decide() starts from.
+SCORED = [*dict.fromkeys(["doc_id", "doc_type", "fields", "special_share", "missing_critical", "mandatory_present", "total_words", "quality_passed", "rule_failures", "conflicting_schemas", "multi_document", *[c for c in RESULT if c.endswith("_score") and c != "final_score"]])]
+
+
 def branch(d: Dialect, kind: str) -> list[Stage]:
     """Stages of a type's own documents."""
+    return [*score_stages(d, kind), final(d), *decided(d)]
+
+
+def score_stages(d: Dialect, kind: str) -> list[Stage]:
+    """Stages of a type's own documents up to their scores."""
     fields = extract.EXTRACTORS[kind](d, "full_text", "line_texts", "word_texts")
     weights, required, anchors = rules.FIELD_WEIGHTS[kind], rules.REQUIRED[kind], rules.ANCHORS[kind]
     least, most, _, _ = rules.PROFILES[kind]
@@ -157,14 +169,13 @@ def branch(d: Dialect, kind: str) -> list[Stage]:
         "regex_score": "schema_score",
         "layout_score": "ocr_confidence_score",
         "kv_score": dbl(0.5),
-        "spatial_score": dbl(1),
         "consistency_score": f"CASE WHEN required_present THEN {dbl(1)} ELSE {dbl(0.5)} END",
         "fuzzy_score": f"least({dbl(1)}, {dbl('fuzzy_required')} / {len(anchors['required'])} + least({dbl(0.2)}, fuzzy_optional * {dbl(0.05)}))",
         "distribution_score": f"""CASE WHEN length(full_text) = 0 THEN {dbl(0)} ELSE greatest({dbl(0)}, {dbl(1)} - (CASE WHEN digit_share < {least} THEN ({dbl(least)} - digit_share) / {dbl(least)} * {dbl(0.5)} ELSE {dbl(0)} END)
           - (CASE WHEN special_share > {most} THEN (special_share - {dbl(most)}) / {dbl(1 - most)} * {dbl(0.8)} ELSE {dbl(0)} END)) END""",
         "mandatory_present": "required_present AND missing_critical = ''",
     }
-    return [{f"f_{f}": v for f, v in fields.items()}, {"low_texts": d.map("word_texts", lambda x: f"lower({x})")}, {f"win_{n}": _windows(d, n) for n in lengths}, scored, scores, final(d), *decided(d)]
+    return [{f"f_{f}": v for f, v in fields.items()}, {"low_texts": d.map("word_texts", lambda x: f"lower({x})")}, {f"win_{n}": _windows(d, n) for n in lengths}, scored, scores]
 
 
 def final(d: Dialect) -> Stage:
@@ -218,20 +229,30 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def _branches(docs: DataFrame, stages: Callable[[str], list[Stage]], columns: list[str]) -> DataFrame:
+    docs = docs.withColumns({c: F.expr(v) for c, v in FLAGS.items() if c not in docs.columns})
+    base = settled(run_stages(docs, common(SPARK)))
+    if not docs.isStreaming:
+        base = written(base.select(*BASE), "typed")
+    return reduce(DataFrame.unionByName, [run_stages(base.where(F.col("doc_type") == k), stages(k)).select(*columns) for k in rules.TYPES])
+
+
 def triage(docs: DataFrame) -> DataFrame:
     """docs with the columns of INPUT, and those of FLAGS where known, to RESULT; tables or streams.
 
     Of a table, what all types share is written once and read by the branches.
     """
-    docs = docs.withColumns({c: F.expr(v) for c, v in FLAGS.items() if c not in docs.columns})
-    base = settled(run_stages(docs, common(SPARK)))
-    if not docs.isStreaming:
-        base = written(base.select(*BASE), "typed")
-    out = None
-    for kind in rules.TYPES:
-        part = run_stages(base.where(F.col("doc_type") == kind), branch(SPARK, kind)).select(*RESULT)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _branches(docs, lambda k: branch(SPARK, k), RESULT)
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """docs as for triage() to SCORED: types, fields and scores, before what other tables know of them and the decision."""
+    return _branches(docs, lambda k: score_stages(SPARK, k), SCORED)
+
+
+def decide(documents: DataFrame) -> DataFrame:
+    """SCORED to RESULT."""
+    return run_stages(documents, [final(SPARK), *decided(SPARK)]).select(*RESULT)
 
 
 def triage_sql(d: Dialect, source: str) -> str:
