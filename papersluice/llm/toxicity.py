@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 from papersluice.llm.text import key_string, whole
 from papersluice.session import read_table, written
 
-#: Features get a weight if their counts over all labelled training documents tell the labels apart, at a G statistic of LEAST_G or more
-#: and, so that a larger corpus doesn't let in ever weaker ones, of LEAST_SHARE for each document.
-LEAST_G, LEAST_SHARE = 8.0, 1e-3
+#: Features get a weight if their document counts over the rows that the weights are fitted on tell the labels apart, at a G statistic of LEAST_G or more.
+LEAST_G = 8.0
 #: Lengths of stems; the most letters of a whole word; runs longer than that are features by inner parts of PART letters.
 STEMS, WHOLE, PART = (3, 4, 5, 6), 24, 6
 #: Words whose features a task remembers.
 REMEMBERED = 300_000
-#: Labelled documents of either label that the weights are fitted on, about: with more, those whose hash is below a threshold. Counts that choose the features use all.
+#: Labelled documents of either label that features are chosen and weights fitted on, about: with more, those whose hash is below a threshold. So a word that tells the labels apart counts alike in a table of any size, and the vocabulary stays bounded.
 FIT_ROWS = 5_000
 ROUNDS, RATE, DECAY = 400, 0.3, 1e-4
 CUT = 0.7
@@ -142,22 +141,27 @@ def tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, label (0 or 1, others don't count).
 
-    The features are chosen by the G statistic of document counts over every
-    row. The weights are fitted on about FIT_ROWS rows of either label; only
-    their features of the vocabulary reach the driver. Null texts are empty,
+    About FIT_ROWS rows of either label are used: the features are chosen by
+    the G statistic of their document counts, and the weights fitted; only the
+    rows' features of the vocabulary reach the driver. Null texts are empty,
     repeated rows count each. Without rows, or with one label alone, every
     score is that label's smoothed share.
     """
-    rows = written(labelled.where("label IN (0, 1)").select("doc_id", whole("text").alias("text"), "label"), "labelled")
-    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
+    every = written(labelled.where("label IN (0, 1)").select("doc_id", whole("text").alias("text"), "label"), "labelled")
+    total = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
+    totals = total(every)
     if not 0 < totals["k"] < totals["n"]:
         return fit([], [], [0] * (totals["n"] - totals["k"]) + [1] * totals["k"], [])
+    share = lambda count: F.lit(min(1.0, FIT_ROWS / count) * 1_000_000)
+    picked = F.pmod(F.xxhash64(key_string("doc_id"), "text"), F.lit(1_000_000)) < F.when(F.col("label") == 1, share(totals["k"])).otherwise(share(totals["n"] - totals["k"]))
+    rows = written(every.where(picked), "fitted")
+    totals = total(rows)
     n, k = float(totals["n"]), float(totals["k"])
     cell = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     a, t = F.col("a").cast("double"), F.col("t").cast("double")
     g = cell(a, t * k / n) + cell(t - a, t * (n - k) / n) + cell(k - a, (n - t) * k / n) + cell(n - k - t + a, (n - t) * (n - k) / n)
     counts = rows.select("text", "label").mapInPandas(tallies, "word string, t long, a long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("a").alias("a"))
-    telling = counts.where("t >= 3").select("word", F.round(g, 6).alias("g")).where(F.col("g") >= max(LEAST_G, LEAST_SHARE * n))
+    telling = counts.where("t >= 3").select("word", F.round(g, 6).alias("g")).where(F.col("g") >= LEAST_G)
     top = [r["word"] for r in telling.orderBy(F.desc("g"), "word").collect()]
     number = {w: i for i, w in enumerate(top)}
 
@@ -169,9 +173,7 @@ def train(labelled: DataFrame) -> Model:
                 out.append((np.array([f for x in found if x for f in (*x, -1)], "i4").tobytes(), sum(not x for x in found), label))
             yield pd.DataFrame(out, columns=["bag", "empty", "label"])
 
-    share = lambda count: F.lit(min(1.0, FIT_ROWS / count) * 1_000_000)
-    picked = rows.where(F.pmod(F.xxhash64(key_string("doc_id"), "text"), F.lit(1_000_000)) < F.when(F.col("label") == 1, share(k)).otherwise(share(n - k)))
-    got = sorted((r["label"], r["empty"], bytes(r["bag"])) for r in picked.select("text", "label").mapInPandas(bags, "bag binary, empty int, label int").collect())
+    got = sorted((r["label"], r["empty"], bytes(r["bag"])) for r in rows.select("text", "label").mapInPandas(bags, "bag binary, empty int, label int").collect())
     return fit([_sentences(bag) for _, _, bag in got], [empty for _, empty, _ in got], [label for label, _, _ in got], top)
 
 
