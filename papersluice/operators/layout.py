@@ -94,13 +94,15 @@ def cluster_regions(lines: DataFrame, labels: DataFrame, page_w: int, page_h: in
     return hull.select("doc_id", "cluster", "n", "x", "y", w.alias("w"), h.alias("h"), F.round(F.least(F.lit(1.0), 1000 * F.col("n") / (w * h)), 9).alias("confidence"))
 
 
-def words_in_region(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """doc_id, region_id, text, n_words: words whose centre lies in a region, edges included, in order."""
-    r = regions.select("doc_id", "region_id", *[F.col(c).alias(f"r{c}") for c in "xywh"])
-    cx, cy = F.expr("x + w DIV 2"), F.expr("y + h DIV 2")
-    inside = cx.between(F.col("rx"), F.col("rx") + F.col("rw")) & cy.between(F.col("ry"), F.col("ry") + F.col("rh"))
+def words_in_region(words: DataFrame, regions: DataFrame, band: int = 64) -> DataFrame:
+    """doc_id, region_id, text, n_words: words whose centre lies in a region, edges included, in order. A word meets only the regions that reach into its centre's band of pixels in height."""
+    bands = F.sequence(F.floor(F.col("y") / band), F.floor((F.col("y") + F.col("h")) / band))
+    r = regions.select("doc_id", "region_id", *[F.col(c).alias(f"r{c}") for c in "xywh"], F.explode(bands).alias("band"))
+    centred = words.select("doc_id", "line_num", "word_num", "text", F.expr("x + w DIV 2").alias("cx"), F.expr("y + h DIV 2").alias("cy")).withColumn("band", F.floor(F.col("cy") / band))
+    inside = F.col("cx").between(F.col("rx"), F.col("rx") + F.col("rw")) & F.col("cy").between(F.col("ry"), F.col("ry") + F.col("rh"))
     item = F.struct("line_num", "word_num", "text")
-    return words.join(r, "doc_id").where(inside).groupBy("doc_id", "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"))
+    met = centred.join(r, ["doc_id", "band"]).where(inside)
+    return met.groupBy("doc_id", "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"))
 
 
 def spatial_scores(boxes: DataFrame, most: float = 0.5, far: float = 500.0) -> DataFrame:

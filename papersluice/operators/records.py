@@ -78,14 +78,16 @@ def to_json_record() -> Column:
 
 
 def label_value_proximity(words: DataFrame, labels: list[str], below: int = BELOW) -> DataFrame:
-    """doc_id, label, value, gap: per label the nearest other word right of it in its line, or below it within reach and overlapping in width."""
+    """doc_id, label, value, gap: per label the nearest other word right of it in its line, or below it within reach and overlapping in width. Labels meet the words of their own line, and those of their own band of pixels and the next."""
     w = words.withColumn("is_label", F.lower("text").isin(labels))
     a = w.where("is_label").select("doc_id", F.lower("text").alias("label"), F.col("line_num").alias("al"), F.col("word_num").alias("aw"), *[F.col(c).alias(f"a{c}") for c in ("x", "y")], F.col("w").alias("width"))
     b = w.where("NOT is_label").select("doc_id", "text", "line_num", "word_num", "x", "y", "w")
     end = F.col("ax") + F.col("width")
-    right = (F.col("y") == F.col("ay")) & (F.col("x") >= end)
-    under = (F.col("y") > F.col("ay")) & (F.col("y") <= F.col("ay") + below) & (F.col("x") < end) & (F.col("x") + F.col("w") > F.col("ax"))
-    gap = F.when(F.col("y") == F.col("ay"), F.col("x") - end).otherwise(F.col("y") - F.col("ay"))
-    met = a.join(b, "doc_id").where(right | under).withColumn("gap", gap)
+    right = a.join(b.withColumn("ay", F.col("y")), ["doc_id", "ay"]).where(F.col("x") >= end).withColumn("gap", F.col("x") - end)
+    band = lambda c: F.floor(F.col(c) / below)
+    reach = a.select("*", F.explode(F.sequence(band("ay"), band("ay") + 1)).alias("band")).join(b.withColumn("band", band("y")), ["doc_id", "band"])
+    under = reach.where((F.col("y") > F.col("ay")) & (F.col("y") <= F.col("ay") + below) & (F.col("x") < end) & (F.col("x") + F.col("w") > F.col("ax"))).withColumn("gap", F.col("y") - F.col("ay"))
+    keep = ["doc_id", "label", "al", "aw", "gap", "line_num", "word_num", "text"]
+    met = right.select(*keep).unionByName(under.select(*keep))
     best = met.groupBy("doc_id", "label", "al", "aw").agg(F.min(F.struct("gap", "line_num", "word_num", "text")).alias("m"))
     return best.select("doc_id", "label", F.col("m.text").alias("value"), F.col("m.gap").alias("gap"))

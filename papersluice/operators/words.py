@@ -15,27 +15,30 @@ def full_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(pairs, lambda x: x["text"]), "\n").alias("full_text"))
 
 
+#: Words of a line whose widths are summed at a time.
+BLOCK = 32
+
+
 def line_words(lines: DataFrame) -> DataFrame:
-    """A row per word. Boxes are estimated along the line: a word's width is its share of the line's, and the next one starts an average character later. Running sums stay inside a line's array, so nothing is shuffled."""
+    """A row per word. Boxes are estimated along the line: a word's width is its share of the line's, and the next one starts an average character later.
+
+    Running sums stay inside a line's array, so nothing is shuffled: sums of
+    blocks of words first, then within a block, so that a long line isn't
+    summed anew for every word.
+    """
     t = F.trim(F.regexp_replace("text", r"\s+", " "))
     per_char = F.col("w") / F.length(F.trim("text"))
     width = lambda x: F.floor(F.length(x) * F.col("per_char")).cast("int")
-    sums = F.aggregate("tokens", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + width(x))))
-    one = lines.withColumns({"tokens": F.split(t, " "), "per_char": per_char}).withColumn("sums", sums)
-    two = one.select("doc_id", "line_num", "confidence", "x", "y", "h", "per_char", "sums", F.posexplode("tokens").alias("i", "t"))
-    return two.select(
-        "doc_id",
-        (F.col("line_num") + 1).alias("line_num"),
-        (F.col("i") + 1).alias("word_num"),
-        F.col("t").alias("text"),
-        "confidence",
-        F.floor(F.col("x") + F.get("sums", F.col("i")) + F.col("i") * F.col("per_char")).cast("int").alias("x"),
-        "y",
-        width(F.col("t")).alias("w"),
-        "h",
-        is_numeric(F.col("t")).alias("is_numeric"),
-        is_stopword(F.col("t")).alias("is_stopword"),
-    )
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    one = lines.withColumns({"tokens": F.split(t, " "), "per_char": per_char}).withColumn("widths", F.transform("tokens", width))
+    starts = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / BLOCK).cast("int"))
+    two = one.withColumn("sums", F.aggregate(F.transform(starts, lambda b: total(F.slice("widths", b * BLOCK + 1, F.lit(BLOCK)))), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    before = lambda i: F.get("sums", block(i)) + total(F.slice("widths", block(i) * BLOCK + 1, i % BLOCK))
+    place = lambda i: F.floor(F.col("x") + before(i) + i * F.col("per_char")).cast("int")
+    items = F.transform("tokens", lambda x, i: F.struct((i + 1).alias("word_num"), x.alias("text"), place(i).alias("x"), width(x).alias("w")))
+    each = two.select("doc_id", (F.col("line_num") + 1).alias("line_num"), "confidence", "y", "h", F.explode(items).alias("i"))
+    return each.select("doc_id", "line_num", "i.word_num", "i.text", "confidence", "i.x", "y", "i.w", "h", is_numeric(F.col("i.text")).alias("is_numeric"), is_stopword(F.col("i.text")).alias("is_stopword"))
 
 
 def by_confidence(words: DataFrame, least: float) -> DataFrame:

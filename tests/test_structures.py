@@ -225,3 +225,44 @@ def test_records_carry_quality_and_regions(spark):
     q, r = row.select(F.to_json(documents.quality_dict()), F.to_json(documents.region_dict(F.col("r")))).first()
     assert json.loads(q) == {m: float(i) for i, m in enumerate(documents.METRICS)} | {"composite_score": 0.5, "passed": False, "failure_reasons": ["dark"]}
     assert json.loads(r) == {"bbox": [1, 2, 30, 0], "confidence": 0.9, "detection_method": "merged", "area_ratio": 0.1, "aspect_ratio": 0}
+
+
+def test_a_line_of_many_words(spark):
+    from papersluice.operators import words
+
+    n = 100_000
+    text = " ".join("ab" if i % 3 else "abcde" for i in range(n))
+    line = spark.createDataFrame([(1, 0, text, 90.0, 5, 7, 2 * len(text), 9)], "doc_id int, line_num int, text string, confidence double, x int, y int, w int, h int")
+    got = {r.word_num: (r.x, r.w) for r in words.line_words(line).where("word_num % 9999 = 1 OR word_num < 40").select("word_num", "x", "w").collect()}
+    x = 5
+    for i in range(n):
+        width = 4 if i % 3 else 10
+        if i + 1 in got:
+            assert got[i + 1] == (x, width)
+        x += width + 2
+    assert len(got) > 45
+
+
+def test_words_meet_regions_and_labels_in_bands(spark):
+    from papersluice.operators import records
+
+    r = random.Random(12)
+    words_ = [(d, i // 5, i % 5, r.choice(["dob:", "a", "b"]), r.randrange(0, 400), 20 * r.randrange(0, 30), r.randrange(5, 60), r.randrange(0, 20)) for d in range(3) for i in range(120)]
+    regions = [(d, k, r.randrange(0, 300), r.randrange(0, 500), r.randrange(0, 200), r.randrange(0, 200)) for d in range(3) for k in range(20)]
+    w = spark.createDataFrame(words_, "doc_id int, line_num int, word_num int, text string, x int, y int, w int, h int")
+    g = spark.createDataFrame(regions, "doc_id int, region_id int, x int, y int, w int, h int")
+    got = {(x.doc_id, x.region_id): (x.text, x.n_words) for x in layout.words_in_region(w, g).collect()}
+    want = {}
+    for d, k, x, y, rw, rh in regions:
+        own = [v[3] for v in sorted(words_) if v[0] == d and x <= v[4] + v[6] // 2 <= x + rw and y <= v[5] + v[7] // 2 <= y + rh]
+        if own:
+            want[d, k] = (" ".join(own), len(own))
+    assert got == want
+    found = sorted((x.doc_id, x.label, x.gap) for x in records.label_value_proximity(w, ["dob:"]).collect())
+    nearest = []
+    for a in (v for v in words_ if v[3] == "dob:"):
+        gaps = [b[4] - a[4] - a[6] for b in words_ if b[0] == a[0] and b[3] != "dob:" and b[5] == a[5] and b[4] >= a[4] + a[6]]
+        gaps += [b[5] - a[5] for b in words_ if b[0] == a[0] and b[3] != "dob:" and a[5] < b[5] <= a[5] + 60 and b[4] < a[4] + a[6] and b[4] + b[6] > a[4]]
+        if gaps:
+            nearest.append((a[0], "dob:", min(gaps)))
+    assert found == sorted(nearest)
