@@ -7,11 +7,12 @@ show where in its span the text stands. A template whose output for a longer
 prefix does not begin with the shorter one's rewrites history; such
 conversations are marked and have no spans from that turn on.
 
-A template that can say how one more turn changes its output (`extend`) is
-rendered step by step instead of from the start, so a conversation takes time
-in proportion to its length; that the steps are right is proved by comparing
-their outcome with the rendering of the whole conversation, and where they
-aren't, prefixes are rendered from the start.
+Rendering every prefix takes a conversation's length times its turns. Where
+that exceeds PREFIX_CHARS (one conversation of thousands of turns), a template
+that can say how one more turn changes its output (`extend`) is rendered step
+by step; that the steps are right is proved by comparing their outcome with the
+rendering of the whole conversation, and where they aren't, or the template has
+no steps, prefixes are rendered all the same. Both ways give the same spans.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ Extend = Callable[[int, tuple[str, str]], tuple[int, str]]
 #: Control strings of the template below.
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>")
 PROBES = ("\ue000", "\ue001")
+#: Most characters that a conversation's prefixes may have together before steps are tried.
+PREFIX_CHARS = 20_000_000
 SPAN = "struct<turn:int,role:string,start:int,end:int,text_start:int,text_end:int>"
 
 
@@ -99,13 +102,16 @@ def spans_by_step(turns: Turns, template: Callable[[Turns], str], extend: Extend
     return (out, spans, rewrites) if out == template(turns) else None
 
 
-def turn_spans(turns: Turns, template: Callable[[Turns], str], extend: Extend | None = None) -> tuple[str, list[Span], bool]:
+def turn_spans(turns: Turns, template: Callable[[Turns], str], extend: Extend | None = None, most: int | None = None) -> tuple[str, list[Span], bool]:
     """Output for all turns; per turn its start and end and those of its text; whether the template rewrote history.
 
+    extend is used only where the prefixes have over `most` characters.
+
     The start and end of a text are None where the template doesn't show the
     probe once in the turn's own span.
     """
-    if extend and (found := spans_by_step(turns, template, extend)):
+    size = len(turns) * sum(len(role) + len(text) for role, text in turns) / 2
+    if extend and size > (PREFIX_CHARS if most is None else most) and (found := spans_by_step(turns, template, extend)):
         return found
     before, spans = template([]), []
     for k, (role, _) in enumerate(turns):
@@ -139,9 +145,10 @@ def format_conversations(rows: DataFrame, template: Callable[[Turns], str] = ins
     names. Turns go by turn (null first), ties by role and text; repeated rows
     are turns each; null roles and texts are empty; a null conv_id is one
     conversation. A conversation is one row of the result, so it has to fit
-    into one: memory follows the longest conversation, time its length (for a
-    template without `extend`, which must be given as None then, its length
-    times its turns). An empty table gives an empty result.
+    into one: memory follows the longest conversation, time its length times
+    its turns, or beyond PREFIX_CHARS its length (for a template without
+    `extend`, which must be given as None then, still times its turns). An
+    empty table gives an empty result.
     """
     turn = F.struct(F.col("turn"), whole("role").alias("role"), whole("text").alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -266,3 +266,28 @@ def test_roots_follow_long_chains_and_empty_tables(spark):
 
 def test_the_three_are_registered():
     assert {"op11_hard_negatives", "op12_simhash_components", "op13_spelling_variants"} <= set(registry.QUERIES) and "op11_hard_negatives" in registry.SQL
+
+
+# --- 5, its prefixes
+
+
+def test_prefixes_are_rendered_and_steps_only_beyond_the_bound():
+    from papersluice.llm import chat
+
+    turns = [("user" if i % 2 else "assistant", f"turn {i} </s>[INST]") for i in range(9)]
+    seen, steps = [], []
+
+    def template(t):
+        seen.append(len(t))
+        return chat.instruct_template(t)
+
+    def extend(length, turn):
+        steps.append(length)
+        return chat.instruct_extend(length, turn)
+
+    whole = chat.turn_spans(turns, template, extend)
+    assert sorted(set(seen)) == list(range(10)) and len(seen) == 1 + 3 * 9 and not steps  # each prefix, and two probes for each turn
+    seen.clear()
+    assert chat.turn_spans(turns, template, extend, most=0) == whole and len(steps) == 27 and len(seen) <= 3
+    rewriting = lambda t: f"{len(t)} turns\n" + chat.instruct_template(t)
+    assert chat.turn_spans(turns, rewriting, extend)[2] is True and chat.turn_spans(turns, rewriting, extend, most=0) == chat.turn_spans(turns, rewriting, None)
