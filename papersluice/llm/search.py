@@ -27,8 +27,9 @@ from papersluice.session import read_table, written
 
 SCALE = 256
 SEGMENTS = (1, 4, 16, 32)
-#: Rows and queries that meet in a task, and the least number of row blocks.
+#: Rows and queries that meet in a task, and the least number of row blocks; components that either may have, which bounds a task's memory at any dimension.
 ROWS, QUERIES, BLOCKS = 65_536, 16_384, 64
+COMPONENTS = 1 << 22
 #: Rows and queries compared at a time: bounds the memory of a task.
 STEP, QUERY_STEP = 2048, 1024
 #: Share of live pairs from which a level is worked out for all pairs at once.
@@ -57,10 +58,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Rows and queries that meet: bounds by level, and exact products of pairs."""
+    """Rows and queries that meet: bounds by level, and exact products of pairs. query_ids and row_ids tell whether both are one row; vec_ids are the rows' ids in the result (default row_ids)."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray | None = None):
         self.query_ids, self.queries, self.row_ids, self.rows = query_ids, queries, row_ids, rows
+        self.vec_ids = row_ids if vec_ids is None else vec_ids
         self.levels = [(statistics(queries, s), statistics(rows, s)) for s in SEGMENTS]
         norm = lambda x: np.linalg.norm(x.astype("f8"), axis=1)
         self.slack = 1e-9 * norm(queries)[:, None] * norm(rows)[None, :] + 1e-6
@@ -97,7 +99,7 @@ class Block:
 
     def best(self, i: np.ndarray, j: np.ndarray, k: int) -> pd.DataFrame:
         """Per query the k best of the given pairs: query_id, vec_id, score; ties to the smaller vec_id."""
-        found = pd.DataFrame({"query_id": self.query_ids[i], "vec_id": self.row_ids[j], "score": self.exact(i, j)})
+        found = pd.DataFrame({"query_id": self.query_ids[i], "vec_id": self.vec_ids[j], "score": self.exact(i, j)})
         return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
@@ -114,7 +116,7 @@ def blocks_of(q: pd.DataFrame, x: pd.DataFrame) -> Iterator[tuple[Block, pd.Data
         queries = np.stack(part["q"].to_numpy())
         for at in range(0, len(x), STEP):
             rows = x.iloc[at : at + STEP]
-            yield Block(part["vec_id"].to_numpy(), queries, rows["vec_id"].to_numpy(), np.stack(rows["q"].to_numpy())), part
+            yield Block(part["key"].to_numpy(), queries, rows["key"].to_numpy(), np.stack(rows["q"].to_numpy()), rows["vec_id"].to_numpy()), part
 
 
 def likely(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,49 +151,58 @@ def search_block(x: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
-def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, int, int] = (ROWS, QUERIES, BLOCKS)) -> DataFrame:
+def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, int, int] = (ROWS, QUERIES, BLOCKS), key: str = "vec_id") -> DataFrame:
     """Per query its k rows of highest inner product: query_id, rank, vec_id, score.
 
     rows and queries: vec_id long, q array<long> (from quantized()); they are
     dealt into hash blocks, and each pair of blocks meets in one task of bounded
-    size. Only vectors of equal length are compared; null vectors and null ids
-    take no part; of repeated query ids one vector (the least) counts; repeated
-    rows are candidates each, but for the query's own id; ties go to the smaller
-    vec_id. Other columns don't matter. Empty tables give an empty result.
+    size. key: a long column of both that names a row; a query's own row is no
+    candidate, and of queries with one key one vector (the least) counts. With
+    a key of its own for every row, rows that share a vec_id are queries and
+    candidates each. Only vectors of equal length are compared; null vectors,
+    keys and ids take no part; repeated rows are candidates each; ties go to
+    the smaller vec_id. Other columns don't matter. Empty tables give an empty
+    result.
     """
-    rows = written(rows.where("q IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "q"), "vectors")
-    queries = written(queries.where("q IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
-    n = rows.count()
-    row_blocks, query_blocks = max(1, min(blocks[2], -(-n // STEP)), -(-n // blocks[0])), max(1, -(-queries.count() // blocks[1]))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    named = lambda df: df.where(f"q IS NOT NULL AND vec_id IS NOT NULL AND `{key}` IS NOT NULL").select(F.col(key).alias("key"), "vec_id", "q")
+    rows = written(named(rows), "vectors")
+    queries = named(queries).groupBy("key").agg(F.min(F.struct("q", "vec_id")).alias("v"))
+    queries = written(queries.select("key", F.col("v.vec_id").alias("vec_id"), F.col("v.q").alias("q")), "queries")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("d")).first()
+    most = [max(1, min(b, COMPONENTS // max(1, size.d))) for b in blocks[:2]]
+    row_blocks, query_blocks = max(1, min(blocks[2], -(-size.n // STEP)), -(-size.n // most[0])), max(1, -(-queries.count() // most[1]))
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keys, schema = ["rb", "qb", "dim"], "query_id long, vec_id long, score long"
 
     def meet(asked: DataFrame, run: Callable) -> DataFrame:
-        left = rows.select(F.col("vec_id").alias("vec_id"), F.col("q").alias("q"), F.size("q").alias("dim"), deal(row_blocks).alias("rb"), each(query_blocks).alias("qb"))
+        held = [F.col(c).alias(c) for c in ("key", "vec_id", "q")]
+        left = rows.select(*held, F.size("q").alias("dim"), deal(row_blocks).alias("rb"), each(query_blocks).alias("qb"))
         right = asked.select("*", F.size("q").alias("dim"), deal(query_blocks).alias("qb"), each(row_blocks).alias("rb"))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, q: run(x, q, k), schema)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     likely_ones = meet(queries, floor_block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    floors = written(likely_ones.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")), "floors")
-    asked = written(queries.join(floors, "vec_id", "left").select("vec_id", "q", "floor"), "asked")
+    floors = written(likely_ones.select(F.col("query_id").alias("key"), F.col("score").cast("double").alias("floor")), "floors")
+    asked = written(queries.join(floors, "key", "left").select("key", "q", "floor"), "asked")
     met = meet(asked, search_block)
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    ids = queries.select("key", F.col("vec_id").alias("asked_id"))
+    return best.withColumnRenamed("query_id", "key").join(ids, "key").select(F.col("asked_id").alias("query_id"), "rank", "vec_id", "score")
 
 
 def op4_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best rows of every query vector; nulls, ties and repeated rows as in exact_top_k()."""
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", quantized("embedding").alias("q"))
-    return exact_top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+    """The five best rows of every query vector; each row is a query or candidate of its own, whatever its id; nulls and ties as in exact_top_k()."""
+    given = read_table(spark, sf_dir, "embeddings").select(F.monotonically_increasing_id().alias("row"), "vec_id", quantized("embedding").alias("q"))
+    rows = written(given, "rows")
+    return exact_top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5, key="row")
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
-SELECT * FROM k WHERE rank <= 5
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r AS q, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """

@@ -291,3 +291,30 @@ def test_prefixes_are_rendered_and_steps_only_beyond_the_bound():
     assert chat.turn_spans(turns, template, extend, most=0) == whole and len(steps) == 27 and len(seen) <= 3
     rewriting = lambda t: f"{len(t)} turns\n" + chat.instruct_template(t)
     assert chat.turn_spans(turns, rewriting, extend)[2] is True and chat.turn_spans(turns, rewriting, extend, most=0) == chat.turn_spans(turns, rewriting, None)
+
+
+# --- 4, rows that share an id
+
+
+def test_search_takes_rows_that_share_an_id_as_their_own(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 60), [float(np.float32(x)) for x in rng.normal(size=7)], 0) for i in range(150)] + [(0, [float("nan")] * 7, 0), (None, [1.0] * 7, 0), (50, None, 0), (100, [0.5] * 3, 0)]
+    got = search.op4_segment_top_k(spark, stored(spark, tmp_path, "embeddings", rows, VECTORS))
+    kept = [(v, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for v, e, _ in rows if v is not None and e is not None and np.isfinite(e).all()]
+    want = []
+    for i, (v, q) in enumerate(kept):
+        if v % 50 == 0:
+            best = sorted((-dot(q, w), u) for j, (u, w) in enumerate(kept) if j != i and len(w) == len(q))[:5]
+            want += [(v, k + 1, u, -s) for k, (s, u) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 25
+
+
+def test_search_blocks_of_wide_vectors_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(search, "COMPONENTS", 1024 * 40)
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-50, 50, (160, 1024))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, q array<long>")
+    got = search.exact_top_k(frame, frame.where("vec_id % 50 = 0"), 3).collect()
+    scores = vectors @ vectors.T
+    want = [(q, k + 1, v, int(scores[q, v])) for q in range(0, 160, 50) for k, v in enumerate(sorted((j for j in range(160) if j != q), key=lambda j: (-scores[q, j], j))[:3])]
+    assert sorted(map(tuple, got)) == sorted(want)
