@@ -2,7 +2,8 @@
 
 Each function returns SQL text per field for a dialect; t is the text, l the
 array of its lines (trimmed, without empty ones), w the array of its words.
-An absent value is null.
+An absent value is null. The label patterns are fixed values: they, and the
+order of their alternatives, equal those that results are compared with.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def vehicle_rc(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E
     kinds = "CASE " + " ".join(f"WHEN {d.like(f'upper({t})', rf'\b{c}\b')} THEN '{c}'" for c in rules.VEHICLE_CLASSES) + " END"
     hyp = lambda p: upper_if(d.sub(f"trim({d.sub(d.first(n, p), r'(?is)(insurance|fitness|owner|validity).*$', '')})", r"[:\s.,&-]+$", ""), lambda x: f"(length({x}) > 3 AND {d.like(x, '[A-Za-z]')})")
     until = lambda p: d.sub(d.first(t, rf"(?i)(?:{p})\s*(?:valid|upto)?\s*[:.-]?\s*([0-9]{{2}}[/.-][0-9]{{2}}[/.-][0-9]{{4}})"), "[.-]", "/")
-    bank = r"\s*([A-Z0-9\s.,&]{3,80})"
+    bank = r"([A-Z0-9\s.,&]{3,80})"
     owner = [r"(?i)(?:owner|owner'?s?\s+name|registered\s+owner)\s*:?\s*([A-Z][A-Za-z\s]{3,50})", r"(?i)(?:name|नाम)\s*:?\s*([A-Z][A-Za-z\s]{3,50})"]
     return {
         "registration_number": f"CASE WHEN {d.size(every)} = 1 THEN {d.head(every)} END",
@@ -183,7 +184,7 @@ def vehicle_rc(d: Dialect, t: str, l: str, w: str) -> dict[str, str]:  # noqa: E
         "wheelbase": generic(["wheel", "base", "wb"], "([0-9]{4})"),
         "unladen_weight": generic(["unladen", "ulw", "wt"], "([0-9]{3,5})"),
         "vehicle_color": generic(["colour", "color"], "([A-Z]{3,10})"),
-        "hypothecation": chain([rf"(?i)(?:hypothecation|hypothecated|financed)[:\s.-]*(?:to|by|with)?{bank}", rf"(?i)(?:hpa|hp|fin)[:\s.-]*(?:to|by|with)?{bank}", rf"(?i)(?:financier)[:\s.-]*{bank[3:]}"], hyp),
+        "hypothecation": chain([rf"(?i)(?:hypothecation|hypothecated|financed)[:\s.-]*(?:to|by|with)?\s*{bank}", rf"(?i)(?:hpa|hp|fin)[:\s.-]*(?:to|by|with)?\s*{bank}", rf"(?i)(?:financier)[:\s.-]*{bank}"], hyp),
         "fitness_validity_date": until("fitness|fit"),
         "insurance_validity_date": until("insurance|ins"),
         "manufacturing_date": d.first(t, r"(?i)(?:mfg|manufacturing)\s*(?:date)?\s*[:.-]?\s*([0-9]{2}[/.-][0-9]{4}|[0-9]{4})"),

@@ -26,22 +26,27 @@ PATTERNS = {
 PATTERN_WEIGHT, PHRASE_WEIGHT = 5, 2
 #: Between equal scores the later type here wins.
 TIE_ORDER = ("aadhaar", "pan", "vehicle_rc")
+# Fixed values.
 ANCHORS = {
     "aadhaar": {"required": ["aadhaar", "uidai", "government of india", "date of birth", "आधार"], "optional": ["name", "address", "gender", "pin", "enrollment", "vid"]},
     "pan": {"required": ["income tax", "permanent account number", "pan", "government of india"], "optional": ["father", "fathers name", "signature", "date of birth", "dob"]},
     "vehicle_rc": {"required": ["registration certificate", "registration number", "engine", "chassis", "owner"], "optional": ["vehicle", "make", "model", "fuel", "color", "fitness", "insurance"]},
 }
 ANCHOR_THRESHOLD = 80.0
+# Fixed values.
 #: type: least share of digits, most of special characters, range of the mean word length.
 PROFILES = {"aadhaar": (0.15, 0.10, 3, 15), "pan": (0.10, 0.05, 3, 12), "vehicle_rc": (0.20, 0.15, 2, 15)}
+# Fixed values.
 FIELD_WEIGHTS = {
     "aadhaar": {"aadhaar_number": 0.4, "name": 0.3, "date_of_birth": 0.3},
     "pan": {"pan_number": 0.5, "name": 0.25, "date_of_birth": 0.25},
     "vehicle_rc": {"registration_number": 0.4, "owner_name": 0.2, "engine_number": 0.2, "chassis_number": 0.2},
 }
 CRITICAL_WEIGHT = 0.25
+# Fixed values.
 REQUIRED = {"aadhaar": ["aadhaar_number", "name", "date_of_birth"], "pan": ["pan_number", "name", "date_of_birth"], "vehicle_rc": ["registration_number", "owner_name"]}
 REQUIRED_ELSE = ["id_number", "name"]
+# Fixed values.
 PRIORITY = {
     "aadhaar": ["aadhaar_number", "name", "date_of_birth", "gender", "address"],
     "pan": ["pan_number", "name", "father_name", "date_of_birth"],
@@ -54,6 +59,7 @@ QUALITY_WEIGHTS = {"blur": 0.30, "brightness": 0.20, "resolution": 0.20, "contra
 STOPWORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
 WORD_WEIGHTS = {"stopword": 0.3, "numeric": 1.5, "other": 1.0}
 LOW_CONFIDENCE, LEAST_WORDS = 60.0, 5
+# Fixed values.
 #: type: (keyword, band, tolerance) of layout anchors.
 LAYOUT = {
     "aadhaar": [("aadhaar", "top", 0.3), ("uidai", "top", 0.3), ("government of india", "top", 0.3), ("date of birth", "center", 0.4), ("आधार", "top", 0.3)],
@@ -61,6 +67,7 @@ LAYOUT = {
     "vehicle_rc": [("registration certificate", "top", 0.3), ("registration number", "top", 0.3), ("engine no", "center", 0.4), ("chassis no", "center", 0.4), ("owner", "top", 0.3)],
 }
 LAYOUT_LEAST = 2
+# Fixed values.
 #: type: field and the pattern configured for it.
 FIELD_PATTERNS = {
     "aadhaar": {"aadhaar_number": r"[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}", "vid": r"[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}", "name": r"[A-Z][a-z]+(\s+[A-Z][a-z]+)*", "date_of_birth": r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}", "pin_code": r"[0-9]{6}", "enrollment_id": r"[0-9]{14}"},
@@ -76,13 +83,20 @@ DEFAULT_CONFIDENCE = {
         "seating_capacity": 0.8, "wheelbase": 0.7, "unladen_weight": 0.7, "vehicle_color": 0.7, "hypothecation": 0.6, "fitness_validity_date": 0.7, "insurance_validity_date": 0.7, "manufacturing_date": 0.7,
     },
 }
-STATE_CODES = "AN AP AR AS BR CH CG DD DL DN GA GJ HP HR JH JK KA KL LA LD MH ML MN MP MZ NL OD OR PB PY RJ SK TN TR TS UK UP WB".split()
+# Fixed values.
+STATE_CODES = [
+    "AN", "AP", "AR", "AS", "BR", "CH", "CG", "DD", "DL", "DN", "GA", "GJ", "HP", "HR", "JH", "JK", "KA", "KL", "LA", "LD",
+    "MH", "ML", "MN", "MP", "MZ", "NL", "OD", "OR", "PB", "PY", "RJ", "SK", "TN", "TR", "TS", "UK", "UP", "WB",
+]
+# Fixed values.
 NOT_NAMES = {
     "aadhaar": ["government", "india", "aadhaar", "male", "female", "address", "date", "birth", "dob", "yob", "pata", "unique", "identification", "authority", "enrollment", "s/o", "d/o", "w/o", "c/o", "care of", "son of", "daughter of", "wife of", "vid", "help", "email", "www.", "website", "download", "uidai", "govt", "भारत", "सरकार", "आबकारी", "विभाग", "nrc", "pib", "name", "नाम", "नामा", "नाभ"],
     "pan": ["income", "tax", "department", "government", "india", "permanent", "account", "number", "signature", "date", "birth", "father"],
     "vehicle_rc": ["registration", "certificate", "vehicle", "engine", "chassis", "authority", "date", "class", "model", "make"],
 }
+# Fixed values.
 FUELS = ["PETROL", "DIESEL", "CNG", "LPG", "ELECTRIC", "HYBRID", "PETRO"]
+# Fixed values.
 VEHICLE_CLASSES = ["MCWG", "MCWOG", "LMV", "LMV-NT", "HMV", "HTV", "MGV", "LGV", "PSV", "HPMV", "HGMV", "TRANS"]
 
 
