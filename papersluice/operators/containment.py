@@ -27,9 +27,12 @@ def candidates(values: DataFrame, tokens: DataFrame) -> DataFrame:
     v, t = values.where("v <> ''"), tokens.where("t <> ''")
     inside = v.select("doc_id", "v", F.explode(substrings(F.col("v"))).alias("key")).join(t.select("doc_id", "t", F.left("t", F.lit(GRAM)).alias("key")), ["doc_id", "key"])
     inside = inside.where(F.length("t") <= F.length("v"))
-    shortest = v.groupBy("doc_id").agg(F.min(F.length("v")).alias("least"))
-    longer = t.join(shortest, "doc_id").where(F.length("t") > F.col("least"))
-    around = longer.select("doc_id", "t", F.explode(substrings(F.col("t"))).alias("key")).join(v.select("doc_id", "v", F.left("v", F.lit(GRAM)).alias("key")), ["doc_id", "key"])
+    lengths = F.length("v")
+    least = v.groupBy("doc_id").agg(F.min(F.when(lengths >= GRAM, lengths)).alias("least"), F.min(F.when(lengths < GRAM, lengths)).alias("short"))
+    longer = t.join(least, "doc_id").where(F.length("t") > F.least("least", "short"))
+    whole = lambda g: F.length(g) == GRAM
+    asked = F.filter(substrings(F.col("t")), lambda g: F.when(whole(g), F.length("t") > F.col("least")).otherwise(F.length(g) >= F.col("short")))
+    around = longer.select("doc_id", "t", F.explode(asked).alias("key")).join(v.select("doc_id", "v", F.left("v", F.lit(GRAM)).alias("key")), ["doc_id", "key"])
     around = around.where(F.length("t") > F.length("v"))
     return inside.select("doc_id", "v", "t").unionByName(around.select("doc_id", "v", "t"))
 

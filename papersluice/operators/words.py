@@ -19,6 +19,14 @@ def full_text(lines: DataFrame) -> DataFrame:
 BLOCK = 32
 
 
+def plain_words(lines: DataFrame) -> DataFrame:
+    """line_words() without the boxes, for statistics of words: doc_id, line_num, word_num, text, confidence, is_numeric, is_stopword."""
+    tokens = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    each = lines.select("doc_id", (F.col("line_num") + 1).alias("line_num"), "confidence", F.posexplode(tokens).alias("i", "t"))
+    word = F.col("t")
+    return each.select("doc_id", "line_num", (F.col("i") + 1).alias("word_num"), word.alias("text"), "confidence", is_numeric(word).alias("is_numeric"), is_stopword(word).alias("is_stopword"))
+
+
 def line_words(lines: DataFrame) -> DataFrame:
     """A row per word. Boxes are estimated along the line: a word's width is its share of the line's, and the next one starts an average character later.
 

@@ -36,7 +36,7 @@ def schema_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of every field of the cards, from the words that it is made of."""
-    w = written(words.line_words(fixtures.card_lines(spark, sf_dir)).select("doc_id", "text", "confidence", "is_numeric", "is_stopword"), "words")
+    w = written(words.plain_words(fixtures.card_lines(spark, sf_dir)).drop("line_num", "word_num"), "words")
     return fields.field_confidence(written(card_fields(spark, sf_dir), "fields"), w, words.ocr_stats(w))
 
 

@@ -55,7 +55,7 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_passes(spark: SparkSession, sf_dir: str, first: DataFrame | None = None) -> DataFrame:
     """Which pass of a card counts: the second is needed unless the first scores above 0.9 with all required fields, and is primary with more words."""
     passes = (fixtures.card_lines(spark, sf_dir), fixtures.layout_lines(fixtures.cards(spark, sf_dir, clean=True), "full_text"))
-    one, two = (words.ocr_stats(words.line_words(x)) for x in passes)
+    one, two = (words.ocr_stats(words.plain_words(x)) for x in passes)
     missing = records.missing_fields(_typed(spark, sf_dir), card_fields(spark, sf_dir) if first is None else first)
     scores = classify.type_scores(fixtures.cards(spark, sf_dir), "full_text")
     top = scores.select("doc_id", F.greatest(*[f"score_{k}" for k in rules.TYPES]).alias("top_score"))

@@ -40,7 +40,7 @@ def word_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wo.ocr_stats(wo.line_words(fixtures.document_lines(spark, sf_dir)))
+    return wo.ocr_stats(wo.plain_words(fixtures.document_lines(spark, sf_dir)))
 
 
 def digit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
