@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papersluice.operators import containment, density, greedy, hull, keywords, layout
+from papersluice.plans import catalogue
 
 REGIONS = "doc_id int, region_id int, x int, y int, w int, h int, confidence double"
 
@@ -124,6 +125,39 @@ def test_containment_meets_few_pairs(spark):
     assert containment.candidates(v, t).count() < 0.25 * sum(len(values[d]) * len(tokens[d]) for d in values)
 
 
+def test_containment_without_and_with_the_index(spark):
+    v = spark.createDataFrame([(d, x) for d in range(3) for x in ("abcd", "b", "xyz", "", None)], "doc_id int, v string")
+    tokens = [(0, "bc", 1), (0, "wxyz", 2), (1, "xyz", 3), (1, "é", 4), (1, None, 5)] + [(2, f"a{i}b", i) for i in range(50)]
+    t = spark.createDataFrame(tokens, "doc_id int, t string, n int")
+    want = {(d, x, y, n) for d, x in ((r.doc_id, r.v) for r in v.collect()) for e, y, n in tokens if d == e and x and y and (x in y or y in x)}
+    assert {r.doc_id for r in containment.large_documents(v.where("v <> ''"), t.where("t <> ''"), 10).collect()} == {2}
+    for pairs in (0, 10, 1000):
+        got = [(r.doc_id, r.v, r.t, r.n) for r in containment.containments(v, t, pairs).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_hulls_of_many_documents_go_to_python_together(spark):
+    rows = [(d, 3.0 * (i % 2), 4.0 * (i % 2)) for d in range(12_000) for i in range(3)]
+    far = hull.farthest(spark.createDataFrame(rows, "doc_id int, px double, py double").repartition(5))
+    assert far.groupBy("distance").count().collect() == [(5.0, 12_000)]
+    assert "FlatMapGroupsInPandas" not in far._jdf.queryExecution().toString()
+
+
+#: Queries that join tables which grow with the input.
+GROWING = ["field_boxes"]
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_no_growing_table_goes_through_the_driver(spark, name):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = store.executionsList()
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(seen.size()) if seen.apply(i).executionId() >= before]
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_a_hundred_thousand_keywords(spark):
     r = random.Random(6)
     word = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
