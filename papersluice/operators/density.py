@@ -50,12 +50,12 @@ def _least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = written(edges.unionByName(edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = written(nodes.select("doc_id", "node", F.col("node").alias("label")), "labels")
     while both.take(1):
-        met = both.join(labels.select("doc_id", F.col("node").alias("b"), "label"), ["doc_id", "b"]).select("doc_id", F.col("a").alias("node"), "label")
+        met = both.hint("merge").join(labels.select("doc_id", F.col("node").alias("b"), "label"), ["doc_id", "b"]).select("doc_id", F.col("a").alias("node"), "label")
         near = met.unionByName(labels.select("doc_id", "node", "label")).groupBy("doc_id", "node").agg(F.min("label").alias("label"))
         near = written(near, "labels")
         up = near.select("doc_id", F.col("node").alias("label"), F.col("label").alias("up"))
-        after = written(near.join(up, ["doc_id", "label"]).select("doc_id", "node", F.col("up").alias("label")), "labels")
-        moved = after.join(labels.withColumnRenamed("label", "was"), ["doc_id", "node"]).where("label <> was").take(1)
+        after = written(near.hint("merge").join(up, ["doc_id", "label"]).select("doc_id", "node", F.col("up").alias("label")), "labels")
+        moved = after.hint("merge").join(labels.withColumnRenamed("label", "was"), ["doc_id", "node"]).where("label <> was").take(1)
         labels = after
         if not moved:
             break
@@ -76,21 +76,21 @@ def density_clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN
     placed = points.where("px IS NOT NULL AND py IS NOT NULL").select("doc_id", "id", "px", "py", cell("px").alias("gx"), cell("py").alias("gy"))
     spots = written(placed.groupBy(*at, "px", "py").agg(F.count("*").alias("m"), F.min("id").alias("id")), "spots")
     full = spots.groupBy(*at).agg((F.sum("m") >= min_samples).alias("dense"))
-    spots = written(spots.join(full, at), "spots")
+    spots = written(spots.hint("merge").join(full, at), "spots")
     around = spots.where("NOT dense").select("doc_id", "px", "py", "gx", "gy", _offsets(False))
     around = around.select("doc_id", "px", "py", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    many = around.join(_other(spots, "m"), at).where(_within(eps)).groupBy("doc_id", "px", "py").agg((F.sum("m") >= min_samples).alias("enough"))
-    judged = spots.join(many, ["doc_id", "px", "py"], "left").withColumn("core", F.col("dense") | F.coalesce("enough", F.lit(False)))
+    many = around.hint("merge").join(_other(spots, "m"), at).where(_within(eps)).groupBy("doc_id", "px", "py").agg((F.sum("m") >= min_samples).alias("enough"))
+    judged = spots.hint("merge").join(many, ["doc_id", "px", "py"], "left").withColumn("core", F.col("dense") | F.coalesce("enough", F.lit(False)))
     judged = written(judged.drop("enough", "dense"), "judged")
     named = judged.where("core").groupBy(*at).agg(F.min("id").alias("node"))
-    cores = written(judged.where("core").join(named, at), "cores")
+    cores = written(judged.where("core").hint("merge").join(named, at), "cores")
     ends = written(cell_ends(cores), "ends")
     ahead = ends.select("*", _offsets(True))
     ahead = ahead.select("doc_id", F.col("node").alias("a"), "px", "py", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    edges = ahead.join(_other(ends, "node"), at).where(_within(eps)).select("doc_id", "a", F.col("node").alias("b")).distinct()
+    edges = ahead.hint("merge").join(_other(ends, "node"), at).where(_within(eps)).select("doc_id", "a", F.col("node").alias("b")).distinct()
     labels = _least_labels(written(edges, "edges"), named.select("doc_id", "node"))
     border = judged.where("NOT core").select("doc_id", "px", "py", "gx", "gy", _offsets(False))
     border = border.select("doc_id", "px", "py", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-    joins = border.join(_other(ends, "node"), at).where(_within(eps)).join(labels, ["doc_id", "node"]).groupBy("doc_id", "px", "py").agg(F.min("label").alias("cluster"))
-    own = cores.select("doc_id", "px", "py", "node").join(labels, ["doc_id", "node"]).select("doc_id", "px", "py", F.col("label").alias("cluster"))
-    return placed.join(own.unionByName(joins), ["doc_id", "px", "py"]).select("doc_id", "id", "cluster")
+    joins = border.hint("merge").join(_other(ends, "node"), at).where(_within(eps)).hint("merge").join(labels, ["doc_id", "node"]).groupBy("doc_id", "px", "py").agg(F.min("label").alias("cluster"))
+    own = cores.select("doc_id", "px", "py", "node").hint("merge").join(labels, ["doc_id", "node"]).select("doc_id", "px", "py", F.col("label").alias("cluster"))
+    return placed.hint("merge").join(own.unionByName(joins), ["doc_id", "px", "py"]).select("doc_id", "id", "cluster")
