@@ -22,7 +22,7 @@ def region_overlaps(regions: DataFrame, least: float) -> DataFrame:
     band = 64
     banded = regions.select("doc_id", "region_id", "x", "y", "w", "h", F.explode(F.sequence(F.expr(f"y DIV {band}"), F.expr(f"(y + h) DIV {band}"))).alias("band"))
     a, b = (banded.select("doc_id", "band", F.struct("region_id", "x", "y", "w", "h").alias(n)) for n in "ab")
-    met = a.join(b, ["doc_id", "band"]).where(F.col("a.region_id") < F.col("b.region_id"))
+    met = a.hint("merge").join(b, ["doc_id", "band"]).where(F.col("a.region_id") < F.col("b.region_id"))
     first = F.greatest(F.col("a.y"), F.col("b.y"))
     met = met.where(F.col("band") == F.floor(first / band))
     v = iou(box(F.col("a")), box(F.col("b")))

@@ -34,11 +34,11 @@ def dropped(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, b: the regions that an earlier kept one overlaps. edges: doc_id, a, b (distinct; a comes before b)."""
     left, out = edges, []
     for _ in range(rounds or ROUNDS):
-        firsts = left.select("doc_id", "a").distinct().join(left.select("doc_id", F.col("b").alias("a")), ["doc_id", "a"], "left_anti")
-        hit = written(left.join(firsts, ["doc_id", "a"]).select("doc_id", "b").distinct(), "hit")
+        firsts = left.select("doc_id", "a").distinct().hint("merge").join(left.select("doc_id", F.col("b").alias("a")), ["doc_id", "a"], "left_anti")
+        hit = written(left.hint("merge").join(firsts, ["doc_id", "a"]).select("doc_id", "b").distinct(), "hit")
         out.append(hit)
         gone = hit.withColumnRenamed("b", "a")
-        rest = left.join(firsts, ["doc_id", "a"], "left_anti").join(gone, ["doc_id", "a"], "left_anti").join(hit, ["doc_id", "b"], "left_anti")
+        rest = left.hint("merge").join(firsts, ["doc_id", "a"], "left_anti").hint("merge").join(gone, ["doc_id", "a"], "left_anti").hint("merge").join(hit, ["doc_id", "b"], "left_anti")
         left = written(rest.select("doc_id", "a", "b"), "overlaps")
         if not left.take(1):
             break
@@ -63,6 +63,6 @@ def seeds(regions: DataFrame, order: list[Column], least: float, rounds: int | N
     boxes = placed.where("w > 0 AND h > 0").groupBy("doc_id", "x", "y", "w", "h").agg(F.min("place").alias("region_id"))
     edges = written(region_overlaps(boxes, least).select("doc_id", "a", "b"), "overlaps")
     gone = written(dropped(edges, rounds), "dropped")
-    keeps = edges.join(gone.withColumnRenamed("b", "a"), ["doc_id", "a"], "left_anti").groupBy("doc_id", "b").agg(F.min("a").alias("seed"))
-    taken = boxes.join(keeps.withColumnRenamed("b", "region_id"), ["doc_id", "region_id"], "left").select("doc_id", "x", "y", "w", "h", F.coalesce("seed", "region_id").alias("seed"))
-    return placed.join(taken, ["doc_id", "x", "y", "w", "h"], "left").select(*placed.columns, F.coalesce("seed", "place").alias("seed"))
+    keeps = edges.hint("merge").join(gone.withColumnRenamed("b", "a"), ["doc_id", "a"], "left_anti").groupBy("doc_id", "b").agg(F.min("a").alias("seed"))
+    taken = boxes.hint("merge").join(keeps.withColumnRenamed("b", "region_id"), ["doc_id", "region_id"], "left").select("doc_id", "x", "y", "w", "h", F.coalesce("seed", "region_id").alias("seed"))
+    return placed.hint("merge").join(taken, ["doc_id", "x", "y", "w", "h"], "left").select(*placed.columns, F.coalesce("seed", "place").alias("seed"))
