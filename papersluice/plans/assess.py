@@ -41,7 +41,7 @@ def spatial_flags(scored: DataFrame, lines: DataFrame) -> DataFrame:
     placed = layout.spatial_scores(boxes).select("doc_id", "spatial_score", (F.col("n_clusters") > 1).alias("conflicting_schemas"))
     has = F.exists("fields", lambda f: f["field_name"] != "signature_present")
     score = F.when(~has, 1.0).otherwise(F.coalesce("spatial_score", F.lit(0.5)))
-    return scored.select("doc_id", "fields").join(placed, "doc_id", "left").select("doc_id", score.alias("spatial_score"), F.coalesce("conflicting_schemas", F.lit(False)).alias("conflicting_schemas"))
+    return scored.select("doc_id", "fields").hint("merge").join(placed, "doc_id", "left").select("doc_id", score.alias("spatial_score"), F.coalesce("conflicting_schemas", F.lit(False)).alias("conflicting_schemas"))
 
 
 def document_regions(lines: DataFrame, page_w: int, page_h: int, least_confidence: float = 0.3, least_area: float = 0.05) -> DataFrame:
@@ -49,10 +49,10 @@ def document_regions(lines: DataFrame, page_w: int, page_h: int, least_confidenc
     points = lines.select("doc_id", F.col("line_num").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"))
     found = layout.cluster_regions(lines, layout.clusters(points), page_w, page_h).withColumnRenamed("cluster", "region_id")
     high = lines.groupBy("doc_id").agg(F.greatest(F.lit(page_h), F.max(F.col("y") + F.col("h")) + layout.PADDING).alias("high"))
-    sized = found.join(high, "doc_id").withColumn("area_ratio", F.col("w") * F.col("h") / (page_w * F.col("high")))
+    sized = found.hint("merge").join(high, "doc_id").withColumn("area_ratio", F.col("w") * F.col("h") / (page_w * F.col("high")))
     good = written(layout.filter_regions(sized, least_confidence, least_area), "regions")
     kept = layout.suppress_duplicates(good).select("doc_id", F.explode("kept").alias("region_id"))
-    return good.join(kept, ["doc_id", "region_id"]).select("doc_id", "region_id", "x", "y", "w", "h", "confidence", "area_ratio")
+    return good.hint("merge").join(kept, ["doc_id", "region_id"]).select("doc_id", "region_id", "x", "y", "w", "h", "confidence", "area_ratio")
 
 
 def assess(docs: DataFrame, as_of: str, page: tuple[int, int], dates: list[str] = fields.DATE_FIELDS, least_confidence: float = 0.3, least_area: float = 0.05) -> DataFrame:
@@ -66,10 +66,10 @@ def assess(docs: DataFrame, as_of: str, page: tuple[int, int], dates: list[str]
     scored = written(tr.scored(used.drop("enhanced", "reclassified")), "scored")
     regions = document_regions(lines, *page, least_confidence, least_area).groupBy("doc_id").agg(F.count("*").alias("n_regions"))
     failed = fields.business_rules(documents.fields_of(scored), as_of, dates)
-    rows = scored.drop("spatial_score", "conflicting_schemas", "multi_document", "rule_failures").join(spatial_flags(scored, lines), "doc_id").join(regions, "doc_id", "left").join(failed, "doc_id", "left")
+    rows = scored.drop("spatial_score", "conflicting_schemas", "multi_document", "rule_failures").hint("merge").join(spatial_flags(scored, lines), "doc_id").hint("merge").join(regions, "doc_id", "left").hint("merge").join(failed, "doc_id", "left")
     rows = rows.withColumns({"n_regions": F.coalesce("n_regions", F.lit(1)), "rule_failures": F.coalesce("rule_failures", F.lit(""))}).withColumn("multi_document", F.col("n_regions") > 1)
     rows = written(rows, "flagged")
-    return tr.decide(tr.settled(rows.select(*tr.SCORED))).join(rows.select("doc_id", "n_regions"), "doc_id").join(used.select("doc_id", "reclassified"), "doc_id")
+    return tr.decide(tr.settled(rows.select(*tr.SCORED))).hint("merge").join(rows.select("doc_id", "n_regions"), "doc_id").hint("merge").join(used.select("doc_id", "reclassified"), "doc_id")
 
 
 AS_OF, SECOND_X = "2010-06-30", 900
@@ -87,7 +87,7 @@ def photo_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = first.withColumn("text", F.when(F.expr(_SPOILT), F.lit("~~ ~~")).otherwise(F.col("text")))
     item = F.array_sort(F.collect_list(F.struct("line_num", "text", "confidence", "x", "y", "w", "h")))
     lines = [x.groupBy("doc_id").agg(item.alias(n)) for x, n in ((seen, "lines"), (clean, "enhanced"))]
-    return customers.selectExpr("*", *METRIC_EXPRS).drop("c_acctbal").join(lines[0], "doc_id").join(lines[1], "doc_id")
+    return customers.selectExpr("*", *METRIC_EXPRS).drop("c_acctbal").hint("merge").join(lines[0], "doc_id").hint("merge").join(lines[1], "doc_id")
 
 
 def assessed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
