@@ -60,7 +60,7 @@ def attach_documents(results: DataFrame, confidences: DataFrame) -> DataFrame:
         F.struct(F.col("field_name"), F.col("ocr").alias("ocr_confidence"), F.col("semantic").cast("double").alias("semantic_validity"), F.lit(1.0).alias("positional_validity"), F.col("confidence").alias("composite_score")),
     )
     scored = confidences.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("scored"))
-    rows = results.join(scored, "doc_id", "left").withColumn("v", F.map_from_entries("fields"))
+    rows = results.hint("merge").join(scored, "doc_id", "left").withColumn("v", F.map_from_entries("fields"))
     composite = F.transform_values("scored", lambda _, s: s["composite_score"])
     composite = F.coalesce(composite, F.create_map().cast("map<string,double>"))
     document = F.lit(None).cast("variant")
