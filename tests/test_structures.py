@@ -144,7 +144,7 @@ def test_hulls_of_many_documents_go_to_python_together(spark):
 
 
 #: Queries that join tables which grow with the input.
-GROWING = ["field_boxes", "dbscan_regions", "merge_overlaps", "words_in_region", "assessed_decisions", "attached_documents", "spatial_score", "field_spatial_score"]
+GROWING = ["field_boxes", "dbscan_regions", "merge_overlaps", "words_in_region", "assessed_decisions", "attached_documents", "spatial_score", "field_spatial_score", "field_confidence"]
 
 
 @pytest.mark.parametrize("name", GROWING)
