@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from papersluice.functions.dialect import SPARK
 from papersluice.operators import classify, fields, keywords
 from papersluice.plans import triage as tr
-from papersluice.session import read_table, spread, written
+from papersluice.session import dealt, read_table, written
 from papersluice.sources import rules
 
 
+#: Documents that a task holds with all their lines, words and fields.
+DOCS_A_TASK = 50_000
+
+
 def labelled_fields(docs: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, doc_type, field_name, value: per field the first of its patterns that finds something in the text. docs: doc_id, doc_type, full_text; values: type, field_name, place, pattern (one group)."""
-    asked = docs.join(values.withColumnRenamed("type", "doc_type"), "doc_type")
+    asked = docs.join(F.broadcast(values.withColumnRenamed("type", "doc_type")), "doc_type")
     found = asked.withColumn("value", F.nullif(F.trim(F.expr("regexp_extract(full_text, pattern, 1)")), F.lit(""))).where("value IS NOT NULL")
     first = found.groupBy("doc_id", "doc_type", "field_name").agg(F.min(F.struct("place", "value")).alias("f"))
     return first.select("doc_id", "doc_type", "field_name", F.col("f.value").alias("value"))
@@ -27,7 +31,7 @@ def labelled_fields(docs: DataFrame, values: DataFrame) -> DataFrame:
 
 def anchor_scores(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id, fuzzy_score: found required anchors over all, and 0.05 for each optional one, 0.2 at most. Documents of types without required anchors have no row."""
-    asked = docs.select("doc_id", "doc_type", "full_text").join(anchors.withColumnRenamed("type", "doc_type"), "doc_type")
+    asked = docs.select("doc_id", "doc_type", "full_text").join(F.broadcast(anchors.withColumnRenamed("type", "doc_type")), "doc_type")
     found = asked.select("doc_id", "required", (classify.anchor_similarity_to(F.col("full_text"), F.col("anchor")) >= F.col("threshold")).alias("found"))
     counted = found.groupBy("doc_id").agg(F.count_if("required").alias("n"), F.count_if(F.col("required") & F.col("found")).alias("met"), F.count_if(~F.col("required") & F.col("found")).alias("more"))
     score = F.least(F.lit(1.0), F.col("met") / F.col("n") + F.least(F.lit(0.2), F.col("more") * 0.05))
@@ -40,8 +44,8 @@ def _by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     long = written(labelled_fields(docs, tables["labelled_values"]), "fields")
     scores = fields.schema_scores(docs.select("doc_id", "doc_type"), long, tables["field_weights"], tables["required_fields"])
     held = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_name", "value"))).alias("fields"))
-    rows = docs.join(scores.drop("doc_type"), "doc_id", "left").join(held, "doc_id", "left").join(anchor_scores(docs, tables["anchors"]), "doc_id", "left")
-    rows = rows.join(tables["profiles"].select(F.col("type").alias("doc_type"), "min_numeric", "max_special"), "doc_type", "left")
+    rows = docs.hint("merge").join(scores.drop("doc_type"), "doc_id", "left").hint("merge").join(held, "doc_id", "left").hint("merge").join(anchor_scores(docs, tables["anchors"]), "doc_id", "left")
+    rows = rows.join(F.broadcast(tables["profiles"].select(F.col("type").alias("doc_type"), "min_numeric", "max_special")), "doc_type", "left")
     size = F.greatest(F.length("full_text"), F.lit(1))
     share = lambda p: F.regexp_count("full_text", F.lit(p)) / size
     none = F.array().cast("array<struct<field_name:string,value:string>>")
@@ -72,9 +76,9 @@ def triage_by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     docs = docs.withColumns({c: F.expr(v) for c, v in tr.FLAGS.items() if c not in docs.columns})
     base = written(tr.settled(tr.run_stages(docs, tr.unsorted(SPARK))).select(*[c for c in tr.BASE if c != "doc_type"]), "read")
     best = keywords.best_types(keywords.rule_scores(base.select("doc_id", "full_text"), "full_text", tables), rules.TIE_ORDER)
-    typed = base.join(best.select("doc_id", "doc_type"), "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit(rules.TIE_ORDER[0])))
+    typed = dealt(base, "doc_id", DOCS_A_TASK).hint("merge").join(best.select("doc_id", "doc_type"), "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit(rules.TIE_ORDER[0])))
     typed = written(typed.select(*tr.BASE), "typed")
-    out = _by_rules(typed.where(~F.col("doc_type").isin(*rules.TYPES)), tables)
+    out = _by_rules(dealt(typed.where(~F.col("doc_type").isin(*rules.TYPES)), "doc_id", DOCS_A_TASK), tables)
     for kind in rules.TYPES:
         out = out.unionByName(tr.run_stages(typed.where(F.col("doc_type") == kind), tr.branch(SPARK, kind)).select(*tr.RESULT))
     return out
@@ -98,7 +102,7 @@ SLIPS = """SELECT o_orderkey AS doc_id, concat_ws(chr(10), CASE WHEN o_orderkey
 
 def slip_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slips as triage input, without image metrics."""
-    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    orders = dealt(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_orderkey", DOCS_A_TASK)
     slips = spark.sql(SLIPS, orders=orders)
     lines = F.transform(F.split("full_text", "\n"), lambda t, i: F.struct(t.alias("text"), (70 + (F.col("doc_id") + i) % 30).cast("double").alias("confidence")))
     metrics = ("blur_score", "brightness_score", "resolution_score", "contrast_score", "edge_density", "glare_ratio")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from papersluice.operators import containment, density, greedy, hull, keywords, layout
 from papersluice.plans import catalogue
+from papersluice.session import dealt
 
 REGIONS = "doc_id int, region_id int, x int, y int, w int, h int, confidence double"
 
@@ -158,6 +159,25 @@ def test_no_growing_table_goes_through_the_driver(spark, name):
     assert plans and not [p for p in plans if "BroadcastExchange" in p]
 
 
+def test_a_type_is_no_key_to_deal_documents_by(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert catalogue.QUERIES["slip_triage"](spark, "/root/testdata/sf0.001").count() == 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = store.executionsList()
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(seen.size()) if seen.apply(i).executionId() >= before]
+    assert plans and not [p for p in plans if "hashpartitioning(doc_type" in p]
+
+
+def test_rows_are_dealt_whatever_the_files(spark):
+    sizes = dealt(spark.range(0, 3000, 1, 1), "id", 100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 30 and max(n for _, n in sizes) < 200
+
+
 def test_a_hundred_thousand_keywords(spark):
     r = random.Random(6)
     word = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
