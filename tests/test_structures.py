@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from papersluice.operators import containment, density, greedy, hull, keywords, layout
+from papersluice.operators import containment, density, extract, greedy, hull, keywords, layout
 from papersluice.plans import catalogue
 from papersluice.session import dealt
 
@@ -145,7 +145,7 @@ def test_hulls_of_many_documents_go_to_python_together(spark):
 
 
 #: Queries that join tables which grow with the input.
-GROWING = ["field_boxes", "dbscan_regions", "merge_overlaps", "words_in_region", "assessed_decisions", "attached_documents", "spatial_score", "field_spatial_score", "field_confidence"]
+GROWING = ["dbscan_regions", "merge_overlaps", "words_in_region", "field_boxes", "field_spatial_score", "assessed_decisions", "attached_documents", "field_confidence", "spatial_score", "merge_passes"]
 
 
 @pytest.mark.parametrize("name", GROWING)
@@ -178,6 +178,13 @@ def test_rows_are_dealt_whatever_the_files(spark):
     assert len(sizes) == 30 and max(n for _, n in sizes) < 200
 
 
+def test_a_second_pass_of_the_same_text_is_not_read_anew(spark, monkeypatch):
+    read, real = [], extract.extract_fields
+    monkeypatch.setattr(extract, "extract_fields", lambda docs: (read.append(docs.count()), real(docs))[1])
+    catalogue.QUERIES["merge_passes"](spark, "/root/testdata/sf0.001")
+    assert read[0] == 150 and 0 < read[1] < 50
+
+
 def test_a_hundred_thousand_keywords(spark):
     r = random.Random(6)
     word = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
