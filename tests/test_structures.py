@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from papersluice.operators import containment, density, extract, greedy, hull, keywords, layout
-from papersluice.plans import catalogue
+from papersluice.operators import containment, density, extract, fields, greedy, hull, keywords, layout
+from papersluice.plans import catalogue, join_queries
 from papersluice.session import dealt
 
 REGIONS = "doc_id int, region_id int, x int, y int, w int, h int, confidence double"
@@ -159,6 +159,18 @@ def test_no_growing_table_goes_through_the_driver(spark, name):
     assert plans and not [p for p in plans if "BroadcastExchange" in p]
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_boxes_are_joined_once(spark, monkeypatch):
+    asked, scored = [], []
+    monkeypatch.setattr(fields, "containments", lambda v, t: asked.append((v, t)) or containment.containments(v, t))
+    monkeypatch.setattr(join_queries.layout, "spatial_scores", lambda boxes: scored.append(boxes) or boxes)
+    join_queries.field_spatial_score(spark, "/root/testdata/sf0.001")
+    assert [shuffles(df) for pair in asked for df in pair] + [shuffles(df) for df in scored] == [0, 0, 0]
+
+
 def test_a_type_is_no_key_to_deal_documents_by(spark):
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
