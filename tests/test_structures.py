@@ -171,6 +171,13 @@ def test_boxes_are_joined_once(spark, monkeypatch):
     assert [shuffles(df) for pair in asked for df in pair] + [shuffles(df) for df in scored] == [0, 0, 0]
 
 
+def test_values_of_confidences_are_worked_out_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(fields, "containments", lambda v, t: asked.append((v, t)) or containment.containments(v, t))
+    join_queries.field_confidence(spark, "/root/testdata/sf0.001")
+    assert [shuffles(df) for pair in asked for df in pair] == [0, 0]
+
+
 def test_a_type_is_no_key_to_deal_documents_by(spark):
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
