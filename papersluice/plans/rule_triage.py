@@ -7,62 +7,92 @@ is the one of all documents. Types of the library keep their own branches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersluice.functions.dialect import SPARK
-from papersluice.operators import classify, fields, keywords
+from papersluice.operators import classify, keywords
 from papersluice.plans import triage as tr
 from papersluice.session import dealt, read_table, written
 from papersluice.sources import rules
 
-
 #: Documents that a task holds with all their lines, words and fields.
 DOCS_A_TASK = 50_000
 
 
-def labelled_fields(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """doc_id, doc_type, field_name, value: per field the first of its patterns that finds something in the text. docs: doc_id, doc_type, full_text; values: type, field_name, place, pattern (one group)."""
-    asked = docs.join(F.broadcast(values.withColumnRenamed("type", "doc_type")), "doc_type")
-    found = asked.withColumn("value", F.nullif(F.trim(F.expr("regexp_extract(full_text, pattern, 1)")), F.lit(""))).where("value IS NOT NULL")
-    first = found.groupBy("doc_id", "doc_type", "field_name").agg(F.min(F.struct("place", "value")).alias("f"))
-    return first.select("doc_id", "doc_type", "field_name", F.col("f.value").alias("value"))
+def type_rules(tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_type and all its rules in one row: values, weights, their total, required, anchors (classify.holds_anchor()), n_asked of them required, profile; empty arrays or null where a table has none."""
+    a = F.struct("required", "threshold", F.lower("anchor").alias("low"), F.size(classify.lower_words(F.col("anchor"))).alias("n"), classify.sorted_words(F.col("anchor")).alias("wanted"))
+    parts = [
+        tables["labelled_values"].select("type", F.struct("field_name", "place", "pattern").alias("values")),
+        tables["field_weights"].select("type", F.struct("field_name", "weight").alias("weights")),
+        tables["required_fields"].select("type", F.col("field_name").alias("required")),
+        tables["anchors"].select("type", a.alias("anchors")),
+        tables["profiles"].select("type", F.struct("min_numeric", "max_special").alias("profile")),
+    ]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).where("type IS NOT NULL")
+    lists = [F.array_sort(F.collect_list(c)).alias(c) for c in ("values", "weights", "required", "anchors")]
+    rows = rows.groupBy("type").agg(*lists, F.count_if("anchors.required").alias("n_asked"), F.min("profile").alias("profile"))
+    return rows.withColumn("total", _sum("weights", lambda w: w["weight"])).withColumnRenamed("type", "doc_type")
+
+
+def _sum(rows: str, number: Callable[[Column], Column]) -> Column:
+    """Sum over an array, in its order; nulls count nothing."""
+    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + F.coalesce(number(r), F.lit(0.0)))
+
 
+#: Per document, first what its type's patterns find, by field and place; then each field's first value. text, values.
+LABELLED = [
+    {"found": "array_sort(filter(transform(values, v -> named_struct('field_name', v.field_name, 'place', v.place, 'value', trim(regexp_extract(text, v.pattern, 1)))), f -> f.value <> ''))"},
+    {"fields": "transform(filter(found, (f, i) -> i = 0 OR NOT (f.field_name <=> get(found, i - 1).field_name)), f -> named_struct('field_name', f.field_name, 'value', f.value))"},
+]
 
-def anchor_scores(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, fuzzy_score: found required anchors over all, and 0.05 for each optional one, 0.2 at most. Documents of types without required anchors have no row."""
-    asked = docs.select("doc_id", "doc_type", "full_text").join(F.broadcast(anchors.withColumnRenamed("type", "doc_type")), "doc_type")
-    found = asked.select("doc_id", "required", (classify.anchor_similarity_to(F.col("full_text"), F.col("anchor")) >= F.col("threshold")).alias("found"))
-    counted = found.groupBy("doc_id").agg(F.count_if("required").alias("n"), F.count_if(F.col("required") & F.col("found")).alias("met"), F.count_if(~F.col("required") & F.col("found")).alias("more"))
-    score = F.least(F.lit(1.0), F.col("met") / F.col("n") + F.least(F.lit(0.2), F.col("more") * 0.05))
-    return counted.where("n > 0").select("doc_id", score.alias("fuzzy_score"))
+
+#: What the library's own branches need of a document besides triage.RESULT.
+OWN = [c for c in tr.BASE if c not in tr.RESULT]
 
 
 def _by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """triage.RESULT for documents (triage.BASE) of types without a branch."""
-    d = SPARK
-    long = written(labelled_fields(docs, tables["labelled_values"]), "fields")
-    scores = fields.schema_scores(docs.select("doc_id", "doc_type"), long, tables["field_weights"], tables["required_fields"])
-    held = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_name", "value"))).alias("fields"))
-    rows = docs.hint("merge").join(scores.drop("doc_type"), "doc_id", "left").hint("merge").join(held, "doc_id", "left").hint("merge").join(anchor_scores(docs, tables["anchors"]), "doc_id", "left")
-    rows = rows.join(F.broadcast(tables["profiles"].select(F.col("type").alias("doc_type"), "min_numeric", "max_special")), "doc_type", "left")
-    size = F.greatest(F.length("full_text"), F.lit(1))
-    share = lambda p: F.regexp_count("full_text", F.lit(p)) / size
-    none = F.array().cast("array<struct<field_name:string,value:string>>")
-    lacks = F.coalesce("missing_required", F.array().cast("array<string>"))
+    """docs (triage.BASE) with triage.RESULT for those of types without a branch; the library's types keep OWN, which is null for the others.
+
+    A document meets the one row of its type's rules; everything about it is
+    computed from its own row, without a row a field or an anchor. `text` is
+    null for the library's types, so that nothing is sought in them.
+    """
+    d, own = SPARK, F.col("doc_type").isin(*rules.TYPES)
+    rows = docs.withColumns({"rule_type": F.when(~own, F.col("doc_type")), "text": F.when(~own, F.col("full_text")), **{c: F.when(own, F.col(c)) for c in ("full_text", "line_texts", "word_texts")}})
+    rows = rows.join(F.broadcast(type_rules(tables).withColumnRenamed("doc_type", "rule_type")), "rule_type", "left").drop("rule_type")
+    empty = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("values", "weights", "required", "anchors")}
+    rows = rows.withColumns(empty | {"low": F.lower("text"), "held": classify.lower_words(F.col("text"))})
+    rows = tr.run_stages(tr.settled(rows), LABELLED)
+    names = F.transform("fields", lambda f: f["field_name"])
+    present = lambda name: F.coalesce(F.array_contains("names", name), F.lit(False))
+    rows = tr.settled(rows.withColumn("names", names).drop("found", "values"))
+    has = F.transform("weights", lambda w: F.struct(w["field_name"].alias("field_name"), w["weight"].alias("weight"), present(w["field_name"]).alias("has")))
+    rows = tr.settled(rows.withColumns({"weights": has, "lacks": F.exists("required", lambda r: r.isNotNull() & ~present(r))}).drop("required", "names"))
+    critical = F.transform(F.filter("weights", lambda w: ~w["has"] & (w["weight"] >= rules.CRITICAL_WEIGHT)), lambda w: w["field_name"])
+    found = lambda required: F.size(F.filter("anchors", lambda a: (a["required"] == F.lit(required)) & classify.holds_anchor(F.col("low"), F.col("held"), a)))
+    size, chars = F.greatest(F.length("text"), F.lit(1)), F.length("text")
+    others = lambda p: F.length(F.regexp_replace("text", p, ""))
     rows = rows.withColumns({
-        "fields": F.coalesce("fields", none), "schema_score": F.coalesce("schema_score", F.lit(0.0)), "fuzzy_score": F.coalesce("fuzzy_score", F.lit(0.0)),
-        "missing_critical": F.coalesce(F.array_join("missing_critical", ", "), F.lit("")), "required_present": F.size(lacks) == 0,
-        "digit_share": share("[0-9]"), "special_share": F.when(F.length("full_text") > 0, 1 - share(r"[\p{L}\p{N}\s]")).otherwise(0.0),
-    })
+        "schema_score": F.coalesce(F.try_divide(_sum("weights", lambda w: F.when(w["has"], w["weight"])), "total"), F.lit(0.0)),
+        "missing_critical": F.array_join(F.array_sort(critical), ", "), "required_present": (F.size("weights") == 0) | ~F.col("lacks"), "n_met": found(True), "n_more": found(False),
+        "digit_share": others("[^0-9]+") / size, "special_share": F.when(chars > 0, 1 - (chars - others(r"[\p{L}\p{N}\s]+")) / size).otherwise(0.0),
+        "min_numeric": F.col("profile.min_numeric"), "max_special": F.col("profile.max_special"),
+    }).drop("low", "held", "lacks", "weights", "total", "anchors", "profile")
+    rows = tr.settled(rows)
+    fuzzy = F.least(F.lit(1.0), F.try_divide("n_met", "n_asked") + F.least(F.lit(0.2), F.col("n_more") * 0.05))
     short = F.when(F.col("digit_share") < F.col("min_numeric"), (F.col("min_numeric") - F.col("digit_share")) / F.col("min_numeric") * 0.5).otherwise(0.0)
     over = F.when(F.col("special_share") > F.col("max_special"), (F.col("special_share") - F.col("max_special")) / (1 - F.col("max_special")) * 0.8).otherwise(0.0)
-    spread_score = F.when(F.length("full_text") == 0, 0.0).when(F.col("min_numeric").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - short - over))
+    spread_score = F.when(F.length("text") == 0, 0.0).when(F.col("min_numeric").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - short - over))
     rows = rows.withColumns({
-        "regex_score": F.col("schema_score"), "layout_score": F.col("ocr_confidence_score"), "kv_score": F.lit(0.5), "distribution_score": spread_score,
+        "fuzzy_score": F.when(F.col("n_asked") > 0, fuzzy).otherwise(0.0), "regex_score": F.col("schema_score"), "layout_score": F.col("ocr_confidence_score"), "kv_score": F.lit(0.5), "distribution_score": spread_score,
         "consistency_score": F.when(F.col("required_present"), 1.0).otherwise(0.5), "mandatory_present": F.col("required_present") & (F.col("missing_critical") == ""),
-    })
-    return tr.run_stages(tr.settled(rows), [tr.final(d), *tr.decided(d)]).select(*tr.RESULT)
+    }).drop("text")
+    return tr.run_stages(tr.settled(rows), [tr.final(d), *tr.decided(d)]).select(*tr.RESULT, *OWN)
 
 
 def triage_by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -72,15 +102,25 @@ def triage_by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     to the library's types. A type without weights has a schema score of 0,
     without required fields none is missing, without anchors a fuzzy score of
     0, without a profile a distribution score of 1.
+
+    All documents are typed, and those of types without a branch decided, in one
+    pass that is written once; the library's branches read it. Only rule tables
+    too large for the workers take joins, by doc_id.
     """
     docs = docs.withColumns({c: F.expr(v) for c, v in tr.FLAGS.items() if c not in docs.columns})
-    base = written(tr.settled(tr.run_stages(docs, tr.unsorted(SPARK))).select(*[c for c in tr.BASE if c != "doc_type"]), "read")
-    best = keywords.best_types(keywords.rule_scores(base.select("doc_id", "full_text"), "full_text", tables), rules.TIE_ORDER)
-    typed = dealt(base, "doc_id", DOCS_A_TASK).hint("merge").join(best.select("doc_id", "doc_type"), "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit(rules.TIE_ORDER[0])))
-    typed = written(typed.select(*tr.BASE), "typed")
-    out = _by_rules(dealt(typed.where(~F.col("doc_type").isin(*rules.TYPES)), "doc_id", DOCS_A_TASK), tables)
-    for kind in rules.TYPES:
-        out = out.unionByName(tr.run_stages(typed.where(F.col("doc_type") == kind), tr.branch(SPARK, kind)).select(*tr.RESULT))
+    base = tr.settled(tr.run_stages(docs, tr.unsorted(SPARK))).select(*[c for c in tr.BASE if c != "doc_type"])
+    kind = keywords.best_type(F.col("full_text"), tables, rules.TIE_ORDER)
+    if kind is None:
+        base = written(base, "read")
+        best = keywords.best_types(keywords.rule_scores(base.select("doc_id", "full_text"), "full_text", tables), rules.TIE_ORDER)
+        typed = dealt(base, "doc_id", DOCS_A_TASK).hint("merge").join(best.select("doc_id", "doc_type"), "doc_id", "left")
+    else:
+        typed = base.withColumn("doc_type", kind)
+    typed = typed.withColumn("doc_type", F.coalesce("doc_type", F.lit(rules.TIE_ORDER[0])))
+    done = written(_by_rules(typed.select(*tr.BASE), tables), "typed")
+    out = done.where(~F.col("doc_type").isin(*rules.TYPES)).select(*tr.RESULT)
+    for k in rules.TYPES:
+        out = out.unionByName(tr.run_stages(done.where(F.col("doc_type") == k).select(*tr.BASE), tr.branch(SPARK, k)).select(*tr.RESULT))
     return out
 
 

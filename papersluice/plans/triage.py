@@ -68,23 +68,26 @@ def texts(d: Dialect) -> Stage:
 
 def tokens(d: Dialect) -> Stage:
     split = lambda x: d.keep(d.split(extract.collapsed(d, f"{x}.text"), "' '"), lambda w: f"{w} <> ''", "w")
-    word = lambda w, x: d.struct(text=w, c=f"{x}.confidence")
+    word = lambda w, x: d.struct(text=w, c=f"{x}.confidence", **({} if d.duck else {"numeric": _numeric(d, w)}))
     return {"words": f"flatten({d.map('lines', lambda x: d.map(split(x), lambda w: word(w, x), 'w'))})"}
 
 
 def _numeric(d: Dialect, t: str) -> str:
     bare = d.sub(t, r"[,.\s$€£¥]", "")
+    if not d.duck:  # the same without an expression for words that have no digit
+        return f"({d.like(t, '[0-9]')} AND {d.double('length(' + d.sub(t, '[^0-9]+', '') + ')')} / length({bare}) > 0.5)"
     return f"(length({bare}) > 0 AND {d.double(d.chars(bare, '0-9'))} / greatest(length({bare}), 1) > 0.5)"
 
 
 def counted(d: Dialect) -> Stage:
     stop = ", ".join(f"'{s}'" for s in rules.STOPWORDS)
-    weight = lambda x: f"CASE WHEN lower({x}.text) IN ({stop}) THEN {d.double('0.3')} WHEN {_numeric(d, f'{x}.text')} THEN {d.double('1.5')} ELSE {d.double('1.0')} END"
+    numeric = lambda x: _numeric(d, f"{x}.text") if d.duck else f"{x}.numeric"
+    weight = lambda x: f"CASE WHEN lower({x}.text) IN ({stop}) THEN {d.double('0.3')} WHEN {numeric(x)} THEN {d.double('1.5')} ELSE {d.double('1.0')} END"
     return {
         "word_texts": d.map("words", lambda x: f"{x}.text"),
         "total_words": d.size("words"),
         "low_words": d.size(d.keep("words", lambda x: f"{x}.c < {rules.LOW_CONFIDENCE}")),
-        "numeric_words": d.size(d.keep("words", lambda x: _numeric(d, f"{x}.text"))),
+        "numeric_words": d.size(d.keep("words", numeric)),
         "weight_sum": d.total(d.map("words", weight)),
         "weighted_sum": d.total(d.map("words", lambda x: f"{x}.c * {weight(x)}")),
     }

@@ -346,3 +346,48 @@ def test_words_meet_regions_and_labels_in_bands(spark):
         if gaps:
             nearest.append((a[0], "dob:", min(gaps)))
     assert found == sorted(nearest)
+
+
+def test_slips_are_triaged_without_joins(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ids = lambda seen: [seen.apply(i).executionId() for i in range(seen.size())]
+    before = max(ids(store.executionsList()), default=-1)
+    assert catalogue.QUERIES["slip_triage"](spark, "/root/testdata/sf0.001").count() == 1500
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = store.executionsList()
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(seen.size()) if seen.apply(i).executionId() > before]
+    assert sum("InsertIntoHadoopFsRelationCommand" in p for p in plans) == 1
+    assert not [p for p in plans if "SortMergeJoin" in p or "hashpartitioning(doc_id" in p]
+
+
+def test_types_chosen_in_the_workers_are_those_of_all_scores(spark):
+    r = random.Random(21)
+    bits = ["order", "Order No 7", "slip", "pan", "UIDAI", "é 12", "zz9", "model", "x", "1234 5678 9012", "İ"]
+    texts = [" ".join(r.choices(bits, k=r.randint(0, 5))) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
+    words = spark.createDataFrame([("a", "order", 2), ("a", "slip", -3), ("b", "pan", 2), ("pan", "pan", 2), ("aadhaar", "x", 1), ("c", "é", 4), (None, "x", 9), ("c", None, 9)], "type string, keyword string, weight int")
+    patterns = spark.createDataFrame([("a", r"order no", 5), ("a", r"z+9", -4), ("b", r"(^|\s)x", 3), ("pan", "model", 3), ("aadhaar", "uidai", 5), ("vehicle_rc", r"(^|[^0-9])[0-9]{4} ", 5), ("d", "zz", 0), ("c", None, 9)], "type string, pattern string, weight int")
+    tables, order = {"type_keywords": words, "type_patterns": patterns}, ("aadhaar", "pan", "vehicle_rc")
+    want = {x.doc_id: x.doc_type for x in keywords.best_types(keywords.rule_scores(docs, "t", tables), order).collect()}
+    got = {x.doc_id: x.k for x in docs.select("doc_id", keywords.best_type(F.col("t"), tables, order).alias("k")).collect()}
+    assert len(set(want.values())) > 5 and got == {d: want.get(d) for d in got}
+    assert keywords.best_type(F.col("t"), tables, order, 10) is None
+
+
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_rules_of_a_type_by_hand(spark, most, monkeypatch):
+    from papersluice.plans import rule_triage
+    from papersluice.sources import rules
+
+    monkeypatch.setattr(keywords.best_type, "__defaults__", (most,))
+    more = [rules.DocumentType("bill", ["bill"], [], {"no": 0.6, "sum": 0.25, "day": 0.15}, ["no", "who"], {"no": ["No ([0-9]+)"], "sum": ["Total ([0-9]+)", "Sum ([0-9]+)"], "who": ["By( *)", "by ([a-z]+)"]}, ["bill of sale", "due now"], ["vat"]), rules.DocumentType("memo", ["memo"], required=["x"])]
+    lines = {1: ["Bill of sale", "No 7 Sum 5", "by ann due now vat"], 2: ["bill", "Sum 5 Total 6", "sale of bil"], 3: ["memo a b c d e"], 4: ["UIDAI 1 2 3 4 5"], 5: []}
+    docs = spark.createDataFrame([(k, [(t, 90.0) for t in v]) for k, v in lines.items()], "doc_id long, lines array<struct<text:string,confidence:double>>")
+    docs = docs.withColumns({m: F.lit(None).cast("double") for m in ("blur_score", "brightness_score", "resolution_score", "contrast_score", "edge_density", "glare_ratio")})
+    out = {r.doc_id: r for r in rule_triage.triage_by_rules(docs, rules.rule_tables(spark, more)).collect()}
+    shown = lambda r: (r.doc_type, {f.field_name: f.value for f in r.fields}, round(r.schema_score, 9), r.fuzzy_score, r.missing_critical, r.mandatory_present)
+    assert shown(out[1]) == ("bill", {"no": "7", "sum": "5", "who": "ann"}, 0.85, 1.0, "", True)
+    assert shown(out[2]) == ("bill", {"sum": "6"}, 0.25, 0.5, "no", False)  # two of twelve letters differ
+    assert shown(out[3]) == ("memo", {}, 0.0, 0.0, "", True)
+    assert out[4].doc_type == out[5].doc_type == "aadhaar" and "No text detected in image" in out[5].reasons and len(out) == 5
