@@ -68,11 +68,9 @@ def _by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     empty = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("values", "weights", "required", "anchors")}
     rows = rows.withColumns(empty | {"low": F.lower("text"), "held": classify.lower_words(F.col("text"))})
     rows = tr.run_stages(tr.settled(rows), LABELLED)
-    names = F.transform("fields", lambda f: f["field_name"])
-    present = lambda name: F.coalesce(F.array_contains("names", name), F.lit(False))
-    rows = tr.settled(rows.withColumn("names", names).drop("found", "values"))
+    present = lambda name: F.coalesce(F.exists("fields", lambda f: f["field_name"] == name), F.lit(False))
     has = F.transform("weights", lambda w: F.struct(w["field_name"].alias("field_name"), w["weight"].alias("weight"), present(w["field_name"]).alias("has")))
-    rows = tr.settled(rows.withColumns({"weights": has, "lacks": F.exists("required", lambda r: r.isNotNull() & ~present(r))}).drop("required", "names"))
+    rows = tr.settled(rows.withColumns({"weights": has, "lacks": F.exists("required", lambda r: r.isNotNull() & ~present(r))}).drop("found", "values", "required"))
     critical = F.transform(F.filter("weights", lambda w: ~w["has"] & (w["weight"] >= rules.CRITICAL_WEIGHT)), lambda w: w["field_name"])
     found = lambda required: F.size(F.filter("anchors", lambda a: (a["required"] == F.lit(required)) & classify.holds_anchor(F.col("low"), F.col("held"), a)))
     size, chars = F.greatest(F.length("text"), F.lit(1)), F.length("text")
@@ -83,7 +81,6 @@ def _by_rules(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         "digit_share": others("[^0-9]+") / size, "special_share": F.when(chars > 0, 1 - (chars - others(r"[\p{L}\p{N}\s]+")) / size).otherwise(0.0),
         "min_numeric": F.col("profile.min_numeric"), "max_special": F.col("profile.max_special"),
     }).drop("low", "held", "lacks", "weights", "total", "anchors", "profile")
-    rows = tr.settled(rows)
     fuzzy = F.least(F.lit(1.0), F.try_divide("n_met", "n_asked") + F.least(F.lit(0.2), F.col("n_more") * 0.05))
     short = F.when(F.col("digit_share") < F.col("min_numeric"), (F.col("min_numeric") - F.col("digit_share")) / F.col("min_numeric") * 0.5).otherwise(0.0)
     over = F.when(F.col("special_share") > F.col("max_special"), (F.col("special_share") - F.col("max_special")) / (1 - F.col("max_special")) * 0.8).otherwise(0.0)
